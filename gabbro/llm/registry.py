@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from gabbro.llm import bpe_automaton, chat_format, compression_rules
+from gabbro.llm import bpe_automaton, chat_format, compression_rules, mtree, warc_zip
 
 QUERIES = {}
 ORACLE_SQL = {}
 
-for _m in (chat_format, compression_rules, bpe_automaton):
+for _m in (chat_format, compression_rules, bpe_automaton, mtree, warc_zip):
     QUERIES |= _m.QUERIES
     ORACLE_SQL |= getattr(_m, "ORACLE_SQL", {})
