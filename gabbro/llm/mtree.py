@@ -230,7 +230,7 @@ def top_k(trees: DataFrame, queries: DataFrame, k: int = 10, groups: int | None
     spark = trees.sparkSession
     groups = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
     left = trees.select(F.pmod(F.xxhash64("tree"), F.lit(groups)).alias("part"), "content")
-    right = query_blocks(queries).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("part"), "queries")
+    right = query_blocks(queries).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("part"), "queries")
     schema = "query_id long, vec_id long, score long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
