@@ -5,8 +5,9 @@ whole part of the rate is taken of every document; the fraction is an inclusion
 more copy. The flight phase moves a vector of such probabilities inside the cube [0, 1]^N through the
 null space of the balancing constraints (documents and words): p + 1 undecided documents at a time are
 moved along a null vector until one of them is decided, so sums of words and of documents stay as they
-are. At most p documents stay undecided in a cell; those of all cells fly again together, level by
-level, until a source has one last cell of p or fewer, whose landing draws the rest.
+are. At most p documents, and a dozen kept out of the flight, stay undecided in a cell; those of all cells
+fly again together, level by level, until a source has one last cell, whose landing picks the best of
+all outcomes of the dozen or so that are left.
 
 Cells hold a bounded number of documents by hash, so a source with a third of all rows flies in many
 tasks at once. Random numbers come from a seed and the cell: reruns agree.
@@ -31,6 +32,8 @@ from gabbro.tables import table
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 CELL = 4096
+#: Units of a cell that stay out of the flight, so that the landing has outcomes to choose from.
+RESERVE = 12
 EPS = 1e-9
 
 
@@ -65,15 +68,16 @@ def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray
 
 
 def land(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Decides the last few units: of all 2^n outcomes the likelier the closer to the balance. The
-    number of units is that of the constraints at most, so this is a fixed small table."""
+    """Decides the last few units (RESERVE + the constraints, at most): of all their outcomes the one
+    nearest to the balance, the last constraint counting first."""
     open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
     p = p.copy()
-    if len(open_):
-        n = len(open_)
+    n = len(open_)
+    if n:
         outcomes = (np.arange(2**n)[:, None] >> np.arange(n)) & 1
-        off = (outcomes - p[open_]) @ (x[open_] / np.maximum(np.abs(x[open_]).max(0), 1))
-        p[open_] = outcomes[int(np.argmin((off**2).sum(1) + 1e-12 * rng.random(2**n)))]
+        off = np.abs((outcomes - p[open_]) @ x[open_]) / np.maximum(np.abs(x[open_]).sum(0), 1)
+        cost = off @ np.array([0.01] * (x.shape[1] - 1) + [1.0]) + 1e-12 * rng.random(2**n)
+        p[open_] = outcomes[int(np.argmin(cost))]
     return np.round(p)
 
 
@@ -115,8 +119,8 @@ def targets(by_source: DataFrame) -> DataFrame:
 
 def choose(units: DataFrame, seed: int = 1, cell: int = CELL) -> DataFrame:
     """units (doc_id, stratum, n, size, p, copies), n being the stratum's documents, with p decided to
-    0 or 1. n documents leave 2 a cell undecided, so three levels of cells end with one cell a stratum
-    of about 4 n / cell^2 units (two of a million documents' four thousand), which lands."""
+    0 or 1. n documents leave RESERVE + 2 a cell undecided, so three levels of cells end with one cell
+    a stratum, of about (14 / 4096)^2 n units, which lands."""
     schema = "doc_id long, stratum int, n long, size long, p double, copies int"
 
     def fly(last: bool, level: int):
@@ -125,9 +129,9 @@ def choose(units: DataFrame, seed: int = 1, cell: int = CELL) -> DataFrame:
             t = t.sort_by([("doc_id", "ascending"), ("size", "ascending"), ("p", "ascending")])
             rng = np.random.default_rng([seed, level, zlib.crc32(repr([k.as_py() for k in key]).encode())])
             t = t.take(rng.permutation(t.num_rows))
-            p = t["p"].to_numpy()
+            p = t["p"].to_numpy().copy()
             x = np.stack([np.ones(len(p)), t["size"].to_numpy().astype(np.float64)], 1)
-            p = flight(p, x, rng)
+            p[RESERVE:] = flight(p[RESERVE:], x[RESERVE:], rng)
             if last:
                 p = land(p, x, rng)
             return t.set_column(t.schema.get_field_index("p"), "p", pa.array(p)).select(schema_names)
@@ -146,7 +150,7 @@ def choose(units: DataFrame, seed: int = 1, cell: int = CELL) -> DataFrame:
             break
         open_ = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
         decided.append(flown.filter(~open_))
-        now, cells = flown.filter(open_), F.ceil(2 * cells / cell)
+        now, cells = flown.filter(open_), F.ceil((RESERVE + 2) * cells / cell)
     return decided[0].unionByName(decided[1]).unionByName(decided[2])
 
 
