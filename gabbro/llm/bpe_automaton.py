@@ -14,9 +14,9 @@ the left spine of w, each before its parent on the spine was made (`Automaton.fo
 are kept in the transition table). In a gadget of (u, u) the arc goes before w's arcs are added, so
 no w = (u, u) starts right after a u.
 
-A word is encoded by walking a trie of the tokens from each position that the automaton has reached:
-a prefix of the word has one path only, so there is one state a position and the walk is linear in
-the word for a bounded token length. No merge loop runs over the text.
+A word is encoded by walking the tokens' prefixes from positions that the automaton has reached, long
+arcs first: a prefix of the word has one path only, so a position has one state, is expanded once, and
+the walk is linear in the word for a bounded token length. No merge loop runs over the text.
 
 Edge cases: null text = empty, with no tokens and the digests of the empty string; words of any
 length (their states are arrays, not recursion); repeated rows are encoded one by one; an empty
@@ -62,11 +62,11 @@ class Automaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         self.ids = vocab
         self.label = {i: t for t, i in vocab.items()}
-        self.gadget: dict[tuple[int, int], int] = {}  # (u, v) -> time
+        self.gadget: dict[int, int] = {}  # u and v as one number -> time
         made: dict[int, tuple[int, int, int]] = {}  # token -> (u, v, time)
         for time, (a, b) in enumerate(merges):
             u, v = vocab[a], vocab[b]
-            self.gadget.setdefault((u, v), time)
+            self.gadget.setdefault(u << 32 | v, time)
             made.setdefault(vocab[a + b], (u, v, time))
         self.left = {w: self._spine(w, made, 0) for w in vocab.values()}
         self.right = {w: self._spine(w, made, 1) for w in vocab.values()}
@@ -89,20 +89,20 @@ class Automaton:
             row = self.table[u] = {}
         known = row.get(w)
         if known is None:
-            gadget = self.gadget
-            known = True
-            for y, y_until in self.right[u]:
-                for x, x_until in self.left[w]:
-                    time = gadget.get((y, x))
-                    # a gadget (u, u) leaves no u arc to build w = (u, u) on after u: hence <= for x
-                    if time is not None and time < y_until and time <= x_until:
-                        known = False
-                        break
-                if not known:
-                    break
-            row[w] = known
+            known = row[w] = self._arc(u, w)
         return known
 
+    def _arc(self, u: int, w: int) -> bool:
+        time_of, left = self.gadget.get, self.left[w]
+        for y, y_until in self.right[u]:
+            y <<= 32
+            for x, x_until in left:
+                time = time_of(y | x)
+                # a gadget (u, u) leaves no u arc to build w = (u, u) on after u: hence <= for x
+                if time is not None and time < y_until and time <= x_until:
+                    return False
+        return True
+
 
 class Encoder:
     """Pre-split words to token ids, for a vocabulary whose last symbol of a word carries a suffix."""
@@ -131,64 +131,63 @@ class Encoder:
                 self.inner[t] = i
         self.prefixes = {t[:k] for t in self.inner for k in range(1, len(t) + 1)}
         self.longest_last = max(map(len, self.last), default=1)
-        self.words: dict[str, tuple[str, str, int]] = {}
+        self.ids_of: dict[str, str] = _Words(self)
+        self.labels_of: dict[str, str] = {s: s for s in self.special}
+        self.stand_in = {b: ord(c) for b, c in enumerate(self.symbol) if b != ord(c)}
 
     def encode_word(self, word: bytes) -> list[int]:
         """The arc labels of the one path over the word's symbols, then its end."""
-        s = "".join([self.symbol[b] for b in word])
+        s = word.decode("latin-1").translate(self.stand_in)
         n = len(s)
-        auto, inner, prefixes = self.auto, self.inner, self.prefixes
-        state: list[int] = [-1] * (n + 1)  # the token that reaches a position
+        inner, prefixes, last, follows = self.inner, self.prefixes, self.last, self.auto.follows
+        state = [-1] * (n + 1)  # the token that reaches a position
         reached = bytearray(n + 1)
         reached[0] = 1
-        for i in range(n):
-            if not reached[i]:
-                continue
-            u = state[i]
+        # depth first, longest arcs first: a position that is reached has its one state for good
+        todo = [(0, 0, -1)]
+        while not reached[n]:
+            i, j, w = todo.pop()
+            if j:
+                if reached[j] or (i and not follows(state[i], w)):
+                    continue
+                reached[j], state[j] = 1, w
+                if j == n:
+                    break
+                i = j
             j = i + 1
             while j < n:  # an inner token never holds the last symbol
                 part = s[i:j]
                 if part not in prefixes:
                     break
                 w = inner.get(part)
-                if w is not None and not reached[j] and (u < 0 or auto.follows(u, w)):
-                    reached[j], state[j] = 1, w
+                if w is not None:
+                    todo.append((i, j, w))
                 j += 1
             if n - i <= self.longest_last:
-                w = self.last.get(s[i:])
-                if w is not None and (u < 0 or auto.follows(u, w)):
-                    reached[n], state[n] = 1, w
+                w = last.get(s[i:])
+                if w is not None:
+                    todo.append((i, n, w))
         out, at = [], n
         while at:
             out.append(state[at])
-            label = auto.label[state[at]]
+            label = self.auto.label[state[at]]
             at -= len(label) - (len(self.suffix) if at == n else 0)
         return out[::-1]
 
-    def word(self, word: str) -> tuple[str, str, int]:
-        """(ids joined, labels joined, how many) of a pre-split word, kept by word."""
-        ids = self.encode_word(word.encode())
-        got = (" ".join(map(str, ids)), " ".join([self.auto.label[i] for i in ids]), len(ids))
-        if len(self.words) >= self.KEEP:
-            self.words.clear()
+    def pieces(self, text: str) -> list[str]:
+        """The pre-split words of a text, and its special tokens, in order."""
+        if len(self.ids_of) >= self.KEEP:
+            self.ids_of.clear()
+            self.labels_of.clear()
+            self.labels_of.update({s: s for s in self.special})
+            self.ids_of.update({s: str(i) for s, i in self.special.items()})
             self.auto.table.clear()
-        if len(word) <= 64:
-            self.words[word] = got
-        return got
-
-    def pieces(self, text: str) -> Iterator[tuple[str, str, int]]:
-        """The encoded words of a text, and its special tokens."""
-        parts = self.cut.split(text) if self.cut and "<|" in text else [text]
-        words = self.words
-        for part in parts:
-            if part in self.special:
-                yield str(self.special[part]), part, 1
-                continue
-            for w in self.split(normalized(part)):
-                yield words.get(w) or self.word(w)
+        if not (self.cut and "<|" in text):
+            return self.split(normalized(text))
+        return [w for k, part in enumerate(self.cut.split(text)) for w in ([part] if k % 2 else self.split(normalized(part)))]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _, _ in self.pieces(text) for i in ids.split(" ")]
+        return [int(i) for w in self.pieces(text) for i in self.ids_of[w].split(" ")]
 
     def decode(self, ids: list[int]) -> str:
         """Arc labels joined by one space, as a vocabulary without a decoder reads."""
@@ -216,11 +215,35 @@ def unicode_tables() -> tuple[dict[str, str], dict[int, int]]:
 
 def python_pattern(pattern: str) -> str:
     r"""A vocabulary file's pattern for Python's re, which lacks \p and has a wider \s."""
+    letters = r"[\p{L}]+|"
+    if letters in pattern and pattern[0] == "'":  # the alternatives before it begin with no letter: the order is free
+        pattern = letters + pattern.replace(letters, "", 1)
     for kind, text in unicode_tables()[0].items():
         pattern = pattern.replace(kind, text)
     return pattern
 
 
+class _Words(dict):
+    """Word -> its ids as text; a new word is encoded and its labels kept beside."""
+
+    def __init__(self, enc: Encoder):
+        self.enc = enc
+        self.update({s: str(i) for s, i in enc.special.items()})
+
+    def __missing__(self, word: str) -> str:
+        ids = self.enc.encode_word(word.encode())
+        label = self.enc.auto.label
+        self[word] = text = " ".join(map(str, ids))
+        self.enc.labels_of[word] = " ".join([label[i] for i in ids])
+        return text
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder a Python worker: its tables and words serve all tasks that run there."""
+    return Encoder(path)
+
+
 def normalized(text: str) -> str:
     """NFC, then lower case character by character (no rule for a final sigma)."""
     text = unicodedata.normalize("NFC", text)
@@ -243,17 +266,16 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
 
 
 def _full(enc: Encoder, text: str) -> tuple:
-    got = list(enc.pieces(text))
-    ids = [int(i) for x in got for i in x[0].split(" ")]
+    ids = enc.encode(text)
     return ids, enc.decode(ids)
 
 
 def _digest(enc: Encoder, text: str) -> tuple:
-    got = list(enc.pieces(text))
-    if not got:
-        return 0, hashlib.sha256().hexdigest(), hashlib.sha256().hexdigest()
-    ids, labels, n = zip(*got)
-    return sum(n), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(labels).encode()).hexdigest()
+    words = enc.pieces(text)
+    ids = " ".join(map(enc.ids_of.__getitem__, words))
+    labels = " ".join(map(enc.labels_of.__getitem__, words))
+    n = ids.count(" ") + 1 if ids else 0
+    return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(labels.encode()).hexdigest()
 
 
 def _run(docs: DataFrame, path: str, schema: str, of) -> DataFrame:
@@ -263,7 +285,7 @@ def _run(docs: DataFrame, path: str, schema: str, of) -> DataFrame:
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = encoder(path)
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
                 rows = [of(enc, t or "") for t in b.column("text").to_pylist()]
