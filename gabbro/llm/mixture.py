@@ -169,6 +169,16 @@ def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     return picked.join(goal.drop("n"), "stratum").select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """The documents as the mix takes them, all columns kept: a document taken twice is two rows, one
+    taken not at all is gone. Rows that share a doc_id share its copies: each gets their rounded mean,
+    so give documents unique ids first (near-duplicate stages do)."""
+    copies = mix(docs, seed).groupBy(F.col("doc_id").alias("mix_id")).agg(F.round(F.avg("copies")).cast("int").alias("mix_copies"))
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mix_id"]))
+    out = joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col("mix_copies"))).alias("mix_copy"))
+    return out.filter("mix_copy > 0").drop("mix_copy")
+
+
 def op6_cube_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(text_columns(table(spark, sf_dir, "documents"), "doc_id", "source", "text")).select(
         "doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")

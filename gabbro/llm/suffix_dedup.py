@@ -450,6 +450,28 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     return packed.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(run, schema)
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The documents without repeated passages, all columns kept; n_chars, where there is one, is that
+    of the new text. Blocks carry ids and texts only, so ids are joined back: rows that share a doc_id
+    are numbered by their old text's digest first, and rows with a null doc_id stay as they are."""
+    names = docs.columns
+    known = docs.filter(F.col("doc_id").isNotNull())
+    twice = known.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("twice_id"))
+    new = dedup(docs, texts=True).select(F.col("doc_id").alias("new_id"), F.col("kept_text").alias("new_text")).filter("new_id is not null")
+    new = new.join(twice, new["new_id"] == twice["twice_id"], "left_anti")
+    joined = docs.join(new, docs["doc_id"] == new["new_id"], "left")
+    text = F.when(F.col("new_id").isNotNull() & docs["text"].isNotNull(), F.col("new_text")).otherwise(docs["text"])
+    cols = []
+    for c in names:
+        if c == "text":
+            cols.append(text.alias("text"))
+        elif c == "n_chars":
+            cols.append(F.when(F.col("new_id").isNotNull() & docs["text"].isNotNull(), F.char_length("new_text").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"]).alias("n_chars"))
+        else:
+            cols.append(docs[c])
+    return joined.select(*cols)
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 
