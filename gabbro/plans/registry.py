@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from gabbro.plans import gold
+
+QUERIES: dict = dict(gold.QUERIES)
+ORACLE_SQL: dict = dict(gold.ORACLE_SQL)
