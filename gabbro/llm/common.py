@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -30,6 +31,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gabbro/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # the plan that wrote is garbage now; collecting it lets Spark delete its shuffle files early
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # noqa: SLF001
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,13 +5,15 @@ A byte goes if it lies in a string of L bytes that also starts in a document wit
 Sorting every suffix of a corpus in one order needs many times the corpus in shuffles, so suffixes are
 sorted where a repeat is possible. Of each L-byte window the K-gram with the smallest hash is its anchor:
 equal windows have equal anchors at equal places, so only contexts (the L + L - K bytes that windows
-with this anchor can cover) of anchors that occur in two documents can hold a repeat. Contexts are
-dealt to shards by anchor, equal ones as one row for each block of documents, and every shard's text
-is sorted by external induced sorting (induced_sort). In the suffix array, neighbours that agree in L
-bytes are one string, whose smallest document is known then; blocks get back a bit for each window.
-
-Blocks are packed runs of documents, some MB each, and all tables between the steps are written, so a
-lost executor repeats one step. A passage that a third of all documents share is one row for each block;
+with this anchor can cover) of anchors that occur in two documents can hold a repeat. Of equal contexts
+the one in the smallest document stands for all: the others lose all their windows. What is left are
+different contexts of one anchor. Their texts are dealt to shards by anchor, and every shard is sorted
+by external induced sorting (induced_sort). In the suffix array, neighbours that agree in L bytes are
+one string, whose smallest document is known then.
+
+Blocks are packed runs of documents, some MB each. A block sends sorted lists and can make them again,
+so answers are a bit or two an entry. All tables between the steps are written, so a lost executor
+repeats one step. A passage that a third of all documents share is one row for each block;
 at its edges contexts differ in each document, and anchors that many documents have are therefore cut
 by the windows' own content (RANGES), so no shard receives all of them.
 
@@ -44,6 +46,7 @@ ALL = ((0, W - 1),)
 RANGES = ((0, 0), (1, 2), (3, 6), (7, W - 8), (W - 7, W - 4), (W - 3, W - 2), (W - 1, W - 1))
 HOT = 256  # documents, as estimated from blocks
 BLOCK = 4 << 20
+SHARD = 2 << 20  # bytes of contexts in one suffix array, unless one key alone has more
 CHUNK = 1 << 18  # bytes hashed at once: the arrays stay in cache
 
 _RNG = np.random.default_rng(20240229)
@@ -101,7 +104,7 @@ def pack_block(ids: np.ndarray, flat: np.ndarray, off: np.ndarray) -> bytes:
 
     out = io.BytesIO()
     np.savez(out, ids=ids, off=off, flat=flat, mask=np.packbits(anchors(flat, off)))
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+    return zstandard.ZstdCompressor(level=3).compress(out.getvalue())
 
 
 class Block:
@@ -205,99 +208,221 @@ def by_bucket(at: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
             yield k, order[cut[k] : cut[k + 1]]
 
 
+class Lists:
+    """What a block sends to each bucket, in an order it can make again: answers are then a bit or two
+    for each entry, in that order, and name nothing."""
+
+    def __init__(self, block: Block, buckets: int):
+        self.block, self.buckets = block, buckets
+        self.keys = block.keys()
+        ids = block.ids[block.doc]
+        order = np.lexsort((ids, self.keys))
+        k, ids = self.keys[order], ids[order]
+        new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
+        other = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(k) else new
+        first = np.flatnonzero(new)
+        docs = np.add.reduceat((new | other).astype(np.int64), first) if len(first) else first
+        self.unique = k[first]
+        self.few = np.searchsorted([2, 32], docs, "right").astype(np.uint64)  # a class of how many documents
+
+    def first(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(bucket, entries) of the anchors."""
+        return by_bucket(((self.unique >> np.uint64(2)) % np.uint64(self.buckets)).astype(np.int64), self.buckets)
+
+    def second(self, answers: dict[int, bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        """(bucket, entries) of the contexts of shared anchors; fills rec, the contexts of every anchor,
+        and one, the first (of the smallest document) of each different context."""
+        shared, hot = np.zeros(len(self.unique), bool), np.zeros(len(self.unique), bool)
+        for k, i in self.first():
+            if k in answers:
+                bits = np.unpackbits(np.frombuffer(answers[k], np.uint8), count=2 * len(i)).astype(bool)
+                shared[i], hot[i] = bits[::2], bits[1::2]
+        at = np.searchsorted(self.unique, self.keys)
+        self.rec = self.block.records(shared[at], hot[at], self.keys)
+        order = np.lexsort((self.rec["doc"], self.rec["hash"]))
+        h = self.rec["hash"][order]
+        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+        self.one = order[new]
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        return by_bucket(((self.rec["key"][self.one] >> np.uint64(8)) % np.uint64(self.buckets)).astype(np.int64), self.buckets)
+
+
 def shared_anchors(packed: DataFrame, buckets: int) -> DataFrame:
-    """(block, keys): for each block, those of its anchors that occur in another document; bit 0 tells
-    that many documents have it. Blocks send each anchor once, with a class of how many documents."""
+    """(block, bucket, bits): for each anchor of a block whether it occurs in another document, and
+    whether in many. Blocks send an anchor once, with a class of how many documents have it."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, raw in zip(b.column("block").to_pylist(), b.column("content")):
-                x = Block(raw.as_py())
-                keys, ids = x.keys(), x.ids[x.doc]
-                order = np.lexsort((ids, keys))
-                keys, ids = keys[order], ids[order]
-                new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-                other = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(keys) else new
-                first = np.flatnonzero(new)
-                n = np.add.reduceat((new | other).astype(np.int64), first) if len(first) else first
-                out = keys[first] | np.searchsorted([2, 32], n, "right").astype(np.uint64)
-                rows = [(k, block, np.sort(out[i]).tobytes()) for k, i in by_bucket(((out >> np.uint64(2)) % np.uint64(buckets)).astype(np.int64), buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "block", "keys"])
-
-    def meet(_: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                lists = Lists(Block(raw.as_py()), buckets)
+                entries = lists.unique | lists.few
+                rows = [(k, block, entries[i].tobytes()) for k, i in lists.first()]
+                yield batch(rows, bucket=pa.int64(), block=pa.int64(), keys=pa.binary())
+
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, keys = [], []
         for b in batches:
             names += b.column("block").to_pylist()
             keys += [np.frombuffer(x, np.uint64) for x in b.column("keys").to_pylist()]
-        at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         k = np.concatenate(keys)
         order = np.argsort(k, kind="stable")
-        k, at = k[order], at[order]
-        pure, few = k & ~np.uint64(3), (k & np.uint64(3)).astype(np.int64)
+        pure, few = k[order] & ~np.uint64(3), (k[order] & np.uint64(3)).astype(np.int64)
         new = np.concatenate([[True], pure[1:] != pure[:-1]])
         first = np.flatnonzero(new)
         group = np.cumsum(new) - 1
-        blocks_ = np.diff(np.concatenate([first, [len(k)]]))
+        n_blocks = np.diff(np.concatenate([first, [len(k)]]))
         many = np.add.reduceat(np.array([1, 8, 64])[few], first)
-        two = (blocks_ > 1) | (np.maximum.reduceat(few, first) > 0)
-        keep = two[group]
-        out = (pure | (many >= HOT).astype(np.uint64)[group])[keep]
-        at = at[keep]
-        order = np.argsort(at, kind="stable")
-        out, at = out[order], at[order]
-        cut = np.searchsorted(at, np.arange(len(names) + 1))
-        rows = [(names[i], out[cut[i] : cut[i + 1]].tobytes()) for i in range(len(names)) if cut[i] < cut[i + 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 2, (pa.int64(), pa.binary()))], names=["block", "keys"])
+        bits = np.zeros((len(k), 2), bool)
+        bits[order, 0] = ((n_blocks > 1) | (np.maximum.reduceat(few, first) > 0))[group]
+        bits[order, 1] = (many >= HOT)[group]
+        cut = np.cumsum([0, *map(len, keys)])
+        yield batch([(n, key[0].as_py(), np.packbits(bits[i:j].ravel()).tobytes()) for n, i, j in zip(names, cut, cut[1:])], block=pa.int64(), bucket=pa.int64(), bits=pa.binary())
 
     sent = packed.mapInArrow(send, "bucket long, block long, keys binary")
-    return written(sent.groupBy("bucket").applyInArrow(meet, "block long, keys binary"), "suffix-shared")
+    return written(sent.groupBy("bucket").applyInArrow(meet, ANSWER), "suffix-shared")
+
+
+ANSWER = "block long, bucket long, bits binary"
+
+
+def batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    cols = zip(*rows) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values())], names=list(kinds))
+
+
+def answered(t: pa.Table, kind: int) -> dict[int, bytes]:
+    return {k: x for n, k, x in zip(t["kind"].to_pylist(), t["bucket"].to_pylist(), t["bits"].to_pylist()) if n == kind}
+
 
+def visit(packed: DataFrame, answers: list[DataFrame], run, schema: str) -> DataFrame:
+    """run(lists' block name, content, answers of it) where a block and all its answers meet."""
+    union = None
+    for kind, a in enumerate(answers):
+        a = a.withColumn("kind", F.lit(kind))
+        union = a if union is None else union.unionByName(a)
 
-def members(block: Block, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shared, hot, keys) of a block's anchors."""
-    keys = block.keys()
-    known = np.sort(np.concatenate([np.frombuffer(f, np.uint64) for f in found])) if found else np.zeros(0, np.uint64)
-    if not len(known):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), bool), keys
-    at = np.minimum(np.searchsorted(known & ~np.uint64(3), keys), len(known) - 1)
-    shared = (known[at] & ~np.uint64(3)) == keys
-    return shared, shared & ((known[at] & np.uint64(1)) > 0), keys
+    def both(_: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([run(name, raw.as_py(), right) for name, raw in zip(left["block"].to_pylist(), left["content"])])
 
+    return packed.groupBy("block").cogroup(union.groupBy("block")).applyInArrow(both, schema)
 
-def contexts(packed: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, content): a block's different contexts for a shard, with the smallest document."""
 
-    def run(_: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+def context_owners(packed: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, bits): for each different context of a block whether a smaller document has it
+    in another block, or else whether its text is wanted, because other contexts share its key."""
+
+    def send(name: int, raw: bytes, t: pa.Table) -> pa.RecordBatch:
         import zstandard
 
+        press = zstandard.ZstdCompressor(level=1).compress
+        lists = Lists(Block(raw), buckets)
         rows = []
+        for k, i in lists.second(answered(t, 0)):
+            i = lists.one[i]
+            rec = lists.rec
+            rows.append((k, name, rec["key"][i].tobytes(), rec["hash"][i].tobytes(), press(rec["doc"][i].tobytes())))
+        return batch(rows, bucket=pa.int64(), block=pa.int64(), keys=pa.binary(), hashes=pa.binary(), docs=pa.binary())
+
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        open_ = zstandard.ZstdDecompressor().decompress
+        names, keys, hashes, docs = [], [], [], []
+        for b in batches:
+            names += b.column("block").to_pylist()
+            keys += [np.frombuffer(x, np.uint64) for x in b.column("keys").to_pylist()]
+            hashes += [np.frombuffer(x, np.uint64) for x in b.column("hashes").to_pylist()]
+            docs += [np.frombuffer(open_(x), np.int64) for x in b.column("docs").to_pylist()]
+        cut = np.cumsum([0, *map(len, keys)])
+        k, h, d = (np.concatenate(x) for x in (keys, hashes, docs))
+        order = np.lexsort((d, h, k))
+        k, h, d = k[order], h[order], d[order]
+        new_key = np.concatenate([[True], k[1:] != k[:-1]])
+        new = new_key | np.concatenate([[True], h[1:] != h[:-1]])
+        low = d[new][np.cumsum(new) - 1]
+        several = (np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_key)) > 1)[np.cumsum(new_key) - 1]
+        bits = np.zeros((len(k), 2), bool)
+        bits[order, 0] = low < d
+        bits[order, 1] = (low == d) & several
+        yield batch([(n, key[0].as_py(), np.packbits(bits[i:j].ravel()).tobytes()) for n, i, j in zip(names, cut, cut[1:])], block=pa.int64(), bucket=pa.int64(), bits=pa.binary())
+
+    sent = visit(packed, [shared], send, "bucket long, block long, keys binary, hashes binary, docs binary")
+    return written(sent.groupBy("bucket").applyInArrow(meet, ANSWER), "suffix-owners")
+
+
+def two_bits(raw: bytes | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    bits = np.unpackbits(np.frombuffer(raw or b"", np.uint8), count=2 * n).astype(bool) if raw else np.zeros(2 * n, bool)
+    return bits[::2], bits[1::2]
+
+
+def window_bits(packed: DataFrame, shared: DataFrame, owners: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, bits): for each context whose text was wanted, which of its windows start in a
+    smaller document: 32 bits a context."""
+
+    def send(name: int, raw: bytes, t: pa.Table) -> pa.RecordBatch:
+        import zstandard
+
         press = zstandard.ZstdCompressor(level=1).compress
-        for name, raw in zip(left["block"].to_pylist(), left["content"]):
-            x = Block(raw.as_py())
-            rec = x.records(*members(x, right["keys"].to_pylist()))
-            order = np.lexsort((rec["doc"], rec["hash"]))
-            h = rec["hash"][order]
-            order = order[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else order
-            for k, i in by_bucket((rec["key"][order] >> np.uint64(8)).astype(np.int64) % buckets if len(order) else np.zeros(0, np.int64), buckets):
-                i = order[i]
-                out = io.BytesIO()
-                np.savez(out, key=rec["key"][i], doc=rec["doc"][i], size=rec["size"][i].astype(np.uint8), text=_joined(x, rec, i))
-                rows.append((k, name, press(out.getvalue())))
-        kinds = (pa.int64(), pa.int64(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, kinds)], names=["bucket", "block", "content"])
-
-    return packed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, "bucket long, block long, content binary")
-
-
-def _joined(x: Block, rec: dict[str, np.ndarray], i: np.ndarray) -> np.ndarray:
-    size = rec["size"][i]
+        lists = Lists(Block(raw), buckets)
+        owner = answered(t, 1)
+        rows = []
+        for k, i in lists.second(answered(t, 0)):
+            want = i[two_bits(owner.get(k), len(i))[1]]
+            if len(want):
+                rec, j = lists.rec, lists.one[want]
+                rows.append((k, name, rec["key"][j].tobytes(), press(rec["doc"][j].tobytes()), rec["size"][j].astype(np.uint8).tobytes(), press(joined(lists.block, rec["begin"][j], rec["size"][j]).tobytes())))
+        return batch(rows, bucket=pa.int64(), block=pa.int64(), keys=pa.binary(), docs=pa.binary(), sizes=pa.binary(), texts=pa.binary())
+
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        open_ = zstandard.ZstdDecompressor().decompress
+        names, keys, docs, sizes, texts = [], [], [], [], []
+        for b in batches:
+            names += b.column("block").to_pylist()
+            keys += [np.frombuffer(x, np.uint64) for x in b.column("keys").to_pylist()]
+            docs += [np.frombuffer(open_(x), np.int64) for x in b.column("docs").to_pylist()]
+            sizes += [np.frombuffer(x, np.uint8) for x in b.column("sizes").to_pylist()]
+            texts += [np.frombuffer(open_(x), np.uint8) for x in b.column("texts").to_pylist()]
+        cut = np.cumsum([0, *map(len, keys)])
+        k, d, size = np.concatenate(keys), np.concatenate(docs), np.concatenate(sizes).astype(np.int64)
+        text = np.concatenate(texts)
+        texts.clear()
+        begin = np.cumsum(size) - size
+        bits = np.zeros(len(k), np.int32)
+        order = np.argsort(k, kind="stable")
+        # runs of whole keys of about SHARD bytes: equal windows have equal keys
+        edge = np.flatnonzero(np.concatenate([[True], k[order][1:] != k[order][:-1]]))
+        total = np.concatenate([[0], np.cumsum(size[order])])
+        i = 0
+        while i < len(edge):
+            j = max(i + 1, int(np.searchsorted(total[edge], total[edge[i]] + SHARD, "right")) - 1)
+            j = min(j, len(edge)) if total[edge[i]] + SHARD < total[-1] else len(edge)
+            part = order[edge[i] : edge[j] if j < len(edge) else len(order)]
+            of, least = smallest_holder(text[ranges(begin[part], size[part])], size[part], d[part])
+            col = np.arange(len(of)) - np.searchsorted(of, of, "left")
+            np.bitwise_or.at(bits, part[of], np.where(least < d[part[of]], np.int32(1) << col.astype(np.int32), np.int32(0)).astype(np.int32))
+            i = j
+        yield batch([(n, key[0].as_py(), bits[a:b].tobytes()) for n, a, b in zip(names, cut, cut[1:])], block=pa.int64(), bucket=pa.int64(), bits=pa.binary())
+
+    sent = visit(packed, [shared, owners], send, "bucket long, block long, keys binary, docs binary, sizes binary, texts binary")
+    return written(sent.groupBy("bucket").applyInArrow(meet, ANSWER), "suffix-windows")
+
+
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places in [begin, begin + size), one range after another."""
     ends = np.cumsum(size)
-    return x.flat[np.repeat(rec["begin"][i] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def joined(x: Block, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return x.flat[ranges(begin, size)]
 
 
 def smallest_holder(text: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each L-byte window of different texts (joined, with sizes and documents): the smallest
-    document whose text has it, by the suffix array. Windows in order: (text, smallest)."""
+    """For each L-byte window of texts (joined, with sizes and documents): the smallest document whose
+    text has it, by the suffix array. Windows in order: (text, smallest)."""
     n, total = len(size), int(size.sum())
     begin = np.cumsum(size) - size
     of = np.repeat(np.arange(n), size)
@@ -331,77 +456,27 @@ def smallest_holder(text: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tupl
     return of[win], low[win]
 
 
-def repeats(sent: DataFrame) -> DataFrame:
-    """(block, hashes, bits): for each context of a block, which of its windows start in a smaller
-    document than the block's smallest with that context."""
-
-    def meet(_: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        open_ = zstandard.ZstdDecompressor().decompress
-        names, got = [], []
-        for b in batches:
-            names += b.column("block").to_pylist()
-            got += [dict(np.load(io.BytesIO(open_(x)))) for x in b.column("content").to_pylist()]
-        count = np.array([len(g["size"]) for g in got])
-        size, key, doc = (np.concatenate([g[c] for g in got]) for c in ("size", "key", "doc"))
-        size = size.astype(np.int64)
-        text = np.concatenate([g["text"] for g in got])
-        begin = np.cumsum(size) - size
-        h = np.concatenate([rows_hash(rows_of(text, begin[i : i + 65536], size[i : i + 65536]), size[i : i + 65536]) for i in range(0, len(size), 65536)])
-        at = np.repeat(np.arange(len(got)), count)
-        # equal contexts of different blocks are one text, of their smallest document
-        order = np.lexsort((doc, h))
-        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-        text_of = np.empty(len(h), np.int64)
-        text_of[order] = np.cumsum(new) - 1
-        one = order[new]
-        low_doc = doc[one]
-        # only texts that share their key with another one can have windows in common with it
-        u_key = key[one]
-        by = np.argsort(u_key, kind="stable")
-        edge = np.concatenate([[True], u_key[by][1:] != u_key[by][:-1]])
-        n_key = np.diff(np.concatenate([np.flatnonzero(edge), [len(by)]]))
-        several = np.empty(len(by), bool)
-        several[by] = (n_key > 1)[np.cumsum(edge) - 1]
-        some = np.flatnonzero(several)
-        u_size = size[one]
-        low = np.repeat(low_doc[:, None], W, 1)
-        if len(some):
-            s = u_size[some]
-            ends = np.cumsum(s)
-            joined = text[np.repeat(begin[one[some]] - (ends - s), s) + np.arange(ends[-1])]
-            of, least = smallest_holder(joined, s, low_doc[some])
-            col = np.arange(len(of)) - np.searchsorted(of, of, "left")
-            low[some[of], col] = np.minimum(low[some[of], col], least)
-        fits = np.arange(W)[None, :] <= (u_size - L)[:, None]
-        weight = np.int64(1) << np.arange(W, dtype=np.int64)
-        bits = (((low[text_of] < doc[:, None]) & fits[text_of]) * weight[None, :]).sum(1)
-        rows = []
-        cut = np.concatenate([[0], np.cumsum(count)])
-        for k, name in enumerate(names):
-            i = slice(cut[k], cut[k + 1])
-            rows.append((name, h[i].tobytes(), bits[i].astype(np.int32).tobytes(), doc[i].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "hashes", "bits", "docs"])
-
-    return written(sent.groupBy("bucket").applyInArrow(meet, "block long, hashes binary, bits binary, docs binary"), "suffix-repeats")
-
-
-def covered(x: Block, found: list[bytes], replies: list[tuple[bytes, bytes, bytes]]) -> np.ndarray:
-    """The bytes of a block that go."""
+def covered(x: Block, t: pa.Table, buckets: int) -> np.ndarray:
+    """The bytes of a block that go, from all answers."""
     n = len(x.flat)
     starts = np.zeros(n + 1, bool)
-    if replies:
-        h, bits, low = (np.concatenate([np.frombuffer(r[k], t) for r in replies]) for k, t in ((0, np.uint64), (1, np.int32), (2, np.int64)))
-        order = np.argsort(h, kind="stable")
-        h, bits, low = h[order], bits[order], low[order]
-        rec = x.records(*members(x, found))
-        at = np.searchsorted(h, rec["hash"])
-        # documents above the block's smallest with this context lose all its windows
-        mask = np.where(rec["doc"] > low[at], np.int32((1 << W) - 1), bits[at])
-        for j in range(W):
-            hit = ((mask >> j) & 1 > 0) & (j + L <= rec["size"])
-            starts[rec["begin"][hit] + j] = True
+    lists = Lists(x, buckets)
+    owner, windows = answered(t, 1), answered(t, 2)
+    every = np.int32((1 << W) - 1)
+    mask = np.zeros(0, np.int32)
+    parts = list(lists.second(answered(t, 0)))
+    mask = np.zeros(len(lists.one), np.int32)
+    for k, i in parts:
+        gone, want = two_bits(owner.get(k), len(i))
+        mask[i[gone]] = every
+        if k in windows:
+            mask[i[want]] = np.frombuffer(windows[k], np.int32)
+    rec = lists.rec
+    # documents above the block's smallest with a context lose all its windows
+    own = np.where(rec["doc"] > rec["doc"][lists.one][lists.of], every, mask[lists.of]) if len(lists.of) else mask
+    for j in range(W):
+        hit = ((own >> j) & 1 > 0) & (j + L <= rec["size"])
+        starts[rec["begin"][hit] + j] = True
     total = np.concatenate([[0], np.cumsum(starts[:n], dtype=np.int64)])
     i = np.arange(n)
     return total[i + 1] - total[np.maximum(i - L + 1, 0)] > 0
@@ -420,34 +495,29 @@ def whole_characters(gone: np.ndarray, flat: np.ndarray) -> np.ndarray:
 def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept_text, in which a character
     that would be cut in part stays whole."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = blocks(docs)
     shared = shared_anchors(packed, buckets)
-    answer = repeats(contexts(packed, shared, buckets))
+    owners = context_owners(packed, shared, buckets)
+    windows = window_bits(packed, shared, owners, buckets)
+    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if texts else {})
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else "")
 
-    def run(_: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(name: int, raw: bytes, t: pa.Table) -> pa.RecordBatch:
         rows = []
-        found = [k for k in right["keys"].to_pylist() if k is not None]
-        replies = [r for r in zip(right["hashes"].to_pylist(), right["bits"].to_pylist(), right["docs"].to_pylist()) if r[0] is not None]
-        for raw in left["content"]:
-            x = Block(raw.as_py())
-            gone = covered(x, found, replies)
-            for k, i in enumerate(x.ids.tolist()):
-                a, b = int(x.off[k]), int(x.off[k + 1])
-                g, t = gone[a:b], x.flat[a:b]
-                n = int(g.sum())
-                spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0
-                kept = (t[~g] if n else t).tobytes()
-                row = (None if i == NO_ID else i, b - a, n, spans, hashlib.sha256(kept).hexdigest())
-                rows.append((*row, (t[~whole_characters(g, t)].tobytes() if n else kept).decode()) if texts else row)
-        kinds = [pa.int64()] * 4 + [pa.string()] * (1 + texts)
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=[c.split()[0] for c in schema.split(", ")])
-
-    none = F.lit(None).cast("binary")
-    both = shared.select("block", "keys", none.alias("hashes"), none.alias("bits"), none.alias("docs")).unionByName(answer.select("block", none.alias("keys"), "hashes", "bits", "docs"))
-    return packed.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(run, schema)
+        x = Block(raw)
+        gone = covered(x, t, buckets)
+        for k, i in enumerate(x.ids.tolist()):
+            a, b = int(x.off[k]), int(x.off[k + 1])
+            g, part = gone[a:b], x.flat[a:b]
+            n = int(g.sum())
+            spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0
+            kept = (part[~g] if n else part).tobytes()
+            row = (None if i == NO_ID else i, b - a, n, spans, hashlib.sha256(kept).hexdigest())
+            rows.append((*row, (part[~whole_characters(g, part)].tobytes() if n else kept).decode()) if texts else row)
+        return batch(rows, **kinds)
+
+    return visit(packed, [shared, owners, windows], run, schema)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
