@@ -13,7 +13,8 @@ and is left out, unless a document has so many of them that it could share no ot
 Groups are connected, not expanded. Within a task, and then within a bucket, all that share a fragment
 are paired with the smallest of them; identical sets are linked without being counted. After the
 verified links are joined to components, only fragments whose members still lie in different components
-are looked at again, and their pairs across components counted. Links inside a component can't change
+are looked at again: their documents' n-grams are counted, those with too many that nobody else has are
+put aside, and the remaining pairs across components are counted as above. Links inside a component can't change
 it, so the result is that of all pairs. Before the shuffle each task sends one document a fragment, so
 a fragment in a third of all documents is a row for each task.
 
@@ -240,41 +241,87 @@ def set_fragments(docs: DataFrame, n: int) -> DataFrame:
     return one.select("doc_id", "frag", "s.n", "s.part")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) that are links: partial overlaps by fragment, summed by pair."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def sets_of(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """The sets of all documents in pairs, in fragments, written."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = written(set_fragments(typed.join(ids, "doc_id", "left_semi"), n), "ngram-sets")
+    return written(set_fragments(typed.join(ids, "doc_id", "left_semi"), n), "ngram-sets")
+
+
+def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) that are links: partial overlaps by fragment, summed by pair."""
     left = sets.select(F.col("doc_id").alias("a"), "frag", F.col("n").alias("n_a"), F.col("part").alias("part_a"))
     right = sets.select(F.col("doc_id").alias("b"), "frag", F.col("n").alias("n_b"), F.col("part").alias("part_b"))
     # every pair has its own row for each fragment: a large set's fragments meet in different tasks
-    parts = pairs.select("a", "b", F.explode(F.array(*map(F.lit, range(VERTICAL)))).alias("frag"))
-    overlap = parts.join(left, ["a", "frag"]).join(right, ["b", "frag"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("shared"))
+    overlap = pairs.select("a", "b").join(left, "a").join(right, ["b", "frag"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("shared"))
     total = overlap.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
     return total.filter(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
+def alone(sets: DataFrame) -> DataFrame:
+    """(doc_id, n, own): how many n-grams of a set no other of these sets has."""
+    buckets = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = b.column("part")
+            h = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            d = np.repeat(b.column("doc_id").to_numpy(), part.value_lengths().to_numpy(zero_copy_only=False))
+            at = (h % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            cut = np.searchsorted(at[order], np.arange(buckets + 1))
+            rows = [(k, h[i].tobytes(), d[i].tobytes()) for k in range(buckets) if len(i := order[cut[k] : cut[k + 1]])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "hashes", "docs"])
+
+    def meet(_: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, d = [], []
+        for b in batches:
+            h += [np.frombuffer(x, np.uint64) for x in b.column("hashes").to_pylist()]
+            d += [np.frombuffer(x, np.int64) for x in b.column("docs").to_pylist()]
+        h, d = np.concatenate(h), np.concatenate(d)
+        order = np.argsort(h, kind="stable")
+        h, d = h[order], d[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        single = new & np.concatenate([new[1:], [True]])
+        doc, count = np.unique(d[single], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(count.astype(np.int64))], names=["doc_id", "own"])
+
+    own = sets.select("doc_id", "part").mapInArrow(send, "bucket long, hashes binary, docs binary").groupBy("bucket").applyInArrow(meet, "doc_id long, own long")
+    sizes = sets.filter("frag = 0").select("doc_id", "n", F.lit(0).cast("long").alias("own"))
+    return sizes.unionByName(own.select("doc_id", F.lit(None).cast("long").alias("n"), "own")).groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("own").alias("own"))
+
+
+def mixed_keys(members: DataFrame) -> DataFrame:
+    """The keys whose members have different labels."""
+    return members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+
+
 def near_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs."""
     found = candidates(docs, n, percent)
     same = found.filter(F.col("kind") == SAME).select("a", "b")
     maybe = found.filter(F.col("kind") == MAYBE).select("key", "a", "b")
     pairs = written(maybe.select("a", "b").distinct(), "ngram-pairs")
-    links = same.unionByName(verified(docs, pairs, n, percent))
-    links = written(links, "ngram-links")
+    sets = sets_of(docs, pairs, n)
+    links = written(same.unionByName(verified(sets, pairs, percent)), "ngram-links")
     labels = components(links)
 
     # fragments whose members still lie in different components
-    members = maybe.select("key", F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    members = written(members, "ngram-members")
-    mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    open_ = members.join(mixed, "key", "left_semi")
-    x = open_.select("key", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    y = open_.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    across = x.join(y, "key").filter((F.col("label_a") != F.col("label_b")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    across = written(across.join(pairs, ["a", "b"], "left_anti"), "ngram-across")
+    members = maybe.select("key", F.col("a").alias("node")).unionByName(maybe.select("key", F.col("b").alias("node"))).distinct()
+    members = written(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "ngram-members")
+    open_ = written(members.join(mixed_keys(members), "key", "left_semi"), "ngram-open")
+    # of these, documents with more n-grams that no other one has than a link allows can't be linked
+    here = sets.join(open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    nodes = alone(here).filter(F.lit(100) * F.col("own") <= F.lit(100 - percent) * F.col("n"))
+    open_ = written(open_.join(nodes.withColumnRenamed("doc_id", "node"), "node"), "ngram-open")
+    open_ = open_.join(mixed_keys(open_), "key", "left_semi")
+    x, y = (open_.select("key", F.col("node").alias(c), F.col("label").alias(f"label_{c}"), F.col("n").alias(f"n_{c}"), F.col("own").alias(f"own_{c}")) for c in "ab")
+    # a link shares at least percent (n_a + n_b) / (100 + percent) n-grams, and these are nobody's own
+    shared = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
+    across = x.join(y, "key").filter((F.col("label_a") != F.col("label_b")) & (F.col("a") < F.col("b")) & (F.col("n_a") - F.col("own_a") >= shared) & (F.col("n_b") - F.col("own_b") >= shared))
+    across = written(across.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-across")
     if across.limit(1).count():
-        more = written(verified(docs, across, n, percent), "ngram-links")
+        more = written(verified(sets, across, percent), "ngram-links")
         if more.limit(1).count():
             labels = components(links.unionByName(more))
 
