@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gabbro.plans import gold
+from gabbro.plans import gold, platform
 
-QUERIES: dict = dict(gold.QUERIES)
-ORACLE_SQL: dict = dict(gold.ORACLE_SQL)
+QUERIES: dict = gold.QUERIES | platform.QUERIES
+ORACLE_SQL: dict = gold.ORACLE_SQL | platform.ORACLE_SQL
