@@ -120,7 +120,8 @@ class Encoder:
         self.symbol = byte_symbols()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.split = re.compile(python_pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])).findall
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.splits = {top: re.compile(python_pattern(pattern, top)).findall for top in (0xFF, 0xFFFF, sys.maxunicode)}
         # tokens by their symbols: inner ones, and those that end a word
         self.inner: dict[str, int] = {}
         self.last: dict[str, int] = {}
@@ -174,6 +175,9 @@ class Encoder:
             at -= len(label) - (len(self.suffix) if at == n else 0)
         return out[::-1]
 
+    def split(self, text: str) -> list[str]:
+        return self.splits[width(text)](text)
+
     def pieces(self, text: str) -> list[str]:
         """The pre-split words of a text, and its special tokens, in order."""
         if len(self.ids_of) >= self.KEEP:
@@ -196,9 +200,8 @@ class Encoder:
 
 
 @functools.cache
-def unicode_tables() -> tuple[dict[str, str], dict[int, int]]:
-    """The character classes of the tokenizers library's regular expressions, as text for use inside
-    brackets, and the capitals whose lower case Python's tables lack. Unicode grows: Python's tables
+def unicode_tables() -> tuple[dict[str, list[tuple[int, int]]], dict[int, int]]:
+    """The character classes of the tokenizers library's regular expressions, as ranges, and the capitals whose lower case Python's tables lack. Unicode grows: Python's tables
     and the library's are of different years."""
     from tokenizers import Regex, normalizers
 
@@ -207,19 +210,27 @@ def unicode_tables() -> tuple[dict[str, str], dict[int, int]]:
     for kind in (r"\p{L}", r"\p{N}", r"\s"):
         held = sorted(map(ord, normalizers.Replace(Regex(f"[^{kind}]+"), "").normalize_str("".join(every))))
         cuts = [0, *(k for k in range(1, len(held)) if held[k] != held[k - 1] + 1), len(held)]
-        classes[kind] = "".join(f"\\U{held[i]:08x}-\\U{held[j - 1]:08x}" for i, j in zip(cuts, cuts[1:]))
+        classes[kind] = [(held[i], held[j - 1]) for i, j in zip(cuts, cuts[1:])]
     old = [c for c in every if c.lower() == c]
     new = normalizers.Lowercase().normalize_str("".join(old))
     return classes, {ord(c): ord(d) for c, d in zip(old, new) if c != d}
 
 
-def python_pattern(pattern: str) -> str:
-    r"""A vocabulary file's pattern for Python's re, which lacks \p and has a wider \s."""
+def width(text: str) -> int:
+    """The largest code point that a string of this one's memory layout can hold. (A string that also
+    keeps its UTF-8 is taken for a wider one, which gives the same results more slowly.)"""
+    size, n = sys.getsizeof(text), len(text)
+    return 0xFF if size <= n + 57 else 0xFFFF if size <= 2 * n + 58 else sys.maxunicode
+
+
+def python_pattern(pattern: str, top: int = sys.maxunicode) -> str:
+    r"""A vocabulary file's pattern for Python's re, which lacks \p and has a wider \s, for strings of
+    code points up to top: re looks small classes up in a table, but walks through large ones."""
     letters = r"[\p{L}]+|"
     if letters in pattern and pattern[0] == "'":  # the alternatives before it begin with no letter: the order is free
         pattern = letters + pattern.replace(letters, "", 1)
-    for kind, text in unicode_tables()[0].items():
-        pattern = pattern.replace(kind, text)
+    for kind, ranges in unicode_tables()[0].items():
+        pattern = pattern.replace(kind, "".join(f"\\U{a:08x}-\\U{min(b, top):08x}" for a, b in ranges if a <= top))
     return pattern
 
 
@@ -247,7 +258,7 @@ def encoder(path: str) -> Encoder:
 def normalized(text: str) -> str:
     """NFC, then lower case character by character (no rule for a final sigma)."""
     text = unicodedata.normalize("NFC", text)
-    if sys.getsizeof(text) > len(text) + 128:  # holds characters beyond Latin-1
+    if width(text) > 0xFF:
         text = text.translate(unicode_tables()[1])
     if "Σ" in text:
         text = text.replace("Σ", "σ")
