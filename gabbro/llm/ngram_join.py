@@ -11,12 +11,13 @@ of 90 % of its size falls into the class below, for that one. A fragment without
 and is left out, unless a document has so many of them that it could share no other.
 
 Groups are connected, not expanded. Within a task, and then within a bucket, all that share a fragment
-are paired with the smallest of them; identical sets are linked without being counted. After the
-verified links are joined to components, only fragments whose members still lie in different components
-are looked at again: their documents' n-grams are counted, those with too many that nobody else has are
-put aside, and the remaining pairs across components are counted as above. Links inside a component can't change
-it, so the result is that of all pairs. Before the shuffle each task sends one document a fragment, so
-a fragment in a third of all documents is a row for each task.
+are paired with the smallest of them, and of these pairs each document keeps one; identical sets are
+linked without being counted. Links inside a component can't change it, so only fragments whose members
+still lie in different components are looked at again: their documents' n-grams are counted, those with
+too many that nobody else has are put aside, the others are paired with the most ordinary member, and
+only what then still differs is paired across components. The result is that of all pairs. Before the
+shuffle each task sends one document a fragment, so a fragment in a third of all documents is a row for
+each task.
 
 Edge cases: null text = empty; an empty set is linked with nothing; a text of fewer than n words is one
 n-gram, its whole sequence; rows that share a doc_id are one document, its set being the one with the
@@ -241,9 +242,9 @@ def set_fragments(docs: DataFrame, n: int) -> DataFrame:
     return one.select("doc_id", "frag", "s.n", "s.part")
 
 
-def sets_of(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """The sets of all documents in pairs, in fragments, written."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def sets_of(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """The sets of all documents in members (node), in fragments, written."""
+    ids = members.select(F.col("node").alias("doc_id")).distinct()
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return written(set_fragments(typed.join(ids, "doc_id", "left_semi"), n), "ngram-sets")
 
@@ -291,9 +292,11 @@ def alone(sets: DataFrame) -> DataFrame:
     return sizes.unionByName(own.select("doc_id", F.lit(None).cast("long").alias("n"), "own")).groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("own").alias("own"))
 
 
-def mixed_keys(members: DataFrame) -> DataFrame:
-    """The keys whose members have different labels."""
-    return members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members (key, node, ...) with the nodes' labels, of those keys whose members have different ones."""
+    m = written(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "ngram-labelled")
+    mixed = m.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    return written(m.join(mixed, "key", "left_semi"), "ngram-mixed")
 
 
 def near_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -301,22 +304,35 @@ def near_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     found = candidates(docs, n, percent)
     same = found.filter(F.col("kind") == SAME).select("a", "b")
     maybe = found.filter(F.col("kind") == MAYBE).select("key", "a", "b")
-    pairs = written(maybe.select("a", "b").distinct(), "ngram-pairs")
-    sets = sets_of(docs, pairs, n)
+    members = written(maybe.select("key", F.col("a").alias("node")).unionByName(maybe.select("key", F.col("b").alias("node"))).distinct(), "ngram-members")
+    sets = sets_of(docs, members, n)
+
+    # first each document with the smallest one of those that stand for its fragments
+    pairs = written(maybe.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "ngram-pairs")
     links = written(same.unionByName(verified(sets, pairs, percent)), "ngram-links")
     labels = components(links)
 
-    # fragments whose members still lie in different components
-    members = maybe.select("key", F.col("a").alias("node")).unionByName(maybe.select("key", F.col("b").alias("node"))).distinct()
-    members = written(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "ngram-members")
-    open_ = written(members.join(mixed_keys(members), "key", "left_semi"), "ngram-open")
-    # of these, documents with more n-grams that no other one has than a link allows can't be linked
+    # fragments whose members still lie in different components; of these, documents with more n-grams
+    # that no other one has than a link allows can't be linked
+    open_ = labelled(members, labels)
     here = sets.join(open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    nodes = alone(here).filter(F.lit(100) * F.col("own") <= F.lit(100 - percent) * F.col("n"))
-    open_ = written(open_.join(nodes.withColumnRenamed("doc_id", "node"), "node"), "ngram-open")
-    open_ = open_.join(mixed_keys(open_), "key", "left_semi")
+    nodes = written(alone(here).filter(F.lit(100) * F.col("own") <= F.lit(100 - percent) * F.col("n")), "ngram-nodes")
+    open_ = labelled(open_.drop("label").join(nodes.withColumnRenamed("doc_id", "node"), "node"), labels)
+
+    # then with the member that has the fewest n-grams of its own: the middle of a group of copies
+    middle = open_.groupBy("key").agg(F.min(F.struct("own", "node", "label")).alias("m")).select("key", F.col("m.own").alias("own_m"), F.col("m.node").alias("m"), F.col("m.label").alias("label_m"))
+    near = open_.join(middle, "key").filter(F.col("label") != F.col("label_m")).groupBy("node").agg(F.min(F.struct("own_m", "m")).alias("best"))
+    near = near.select(F.least("node", "best.m").alias("a"), F.greatest("node", "best.m").alias("b")).distinct()
+    near = written(near.join(pairs, ["a", "b"], "left_anti"), "ngram-near")
+    if near.limit(1).count():
+        links = written(links.unionByName(verified(sets, near, percent)), "ngram-links")
+        labels = components(links)
+        open_ = labelled(open_.drop("label"), labels)
+        pairs = pairs.unionByName(near)
+
+    # at last all pairs across components that are left. A link shares at least
+    # percent (n_a + n_b) / (100 + percent) n-grams, and these are nobody's own
     x, y = (open_.select("key", F.col("node").alias(c), F.col("label").alias(f"label_{c}"), F.col("n").alias(f"n_{c}"), F.col("own").alias(f"own_{c}")) for c in "ab")
-    # a link shares at least percent (n_a + n_b) / (100 + percent) n-grams, and these are nobody's own
     shared = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
     across = x.join(y, "key").filter((F.col("label_a") != F.col("label_b")) & (F.col("a") < F.col("b")) & (F.col("n_a") - F.col("own_a") >= shared) & (F.col("n_b") - F.col("own_b") >= shared))
     across = written(across.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-across")
