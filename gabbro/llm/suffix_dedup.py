@@ -46,7 +46,7 @@ ALL = ((0, W - 1),)
 RANGES = ((0, 0), (1, 2), (3, 6), (7, W - 8), (W - 7, W - 4), (W - 3, W - 2), (W - 1, W - 1))
 HOT = 256  # documents, as estimated from blocks
 BLOCK = 4 << 20
-SHARD = 2 << 20  # bytes of contexts in one suffix array, unless one key alone has more
+SHARD = 1 << 20  # bytes of contexts in one suffix array, unless one key alone has more
 CHUNK = 1 << 18  # bytes hashed at once: the arrays stay in cache
 
 _RNG = np.random.default_rng(20240229)
