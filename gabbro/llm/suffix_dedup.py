@@ -128,14 +128,14 @@ class Block:
         parts = []
         for which, ranges in ((shared & ~hot, ALL), (shared & hot, RANGES)):
             pos, doc, key = self.pos[which], self.doc[which], keys[which]
-            for r, (near, far) in enumerate(ranges):
+            for near, far in ranges:
                 o2 = np.minimum(far, pos - self.off[doc])
                 o1 = np.maximum(near, pos + L - self.off[doc + 1])
                 fits = o1 <= o2
                 p, d = pos[fits], doc[fits]
                 k = key[fits]
                 if ranges is RANGES:
-                    k = bytes_hash(self.padded, p - near, np.full(len(p), L - far + near)) + np.uint64(r)
+                    k = bytes_hash(self.padded, p - near, np.full(len(p), L - far + near))
                 begin, size = p - o2[fits], (o2 - o1)[fits] + L
                 parts.append((begin, size, d, k))
         begin, size, doc, key = (np.concatenate(c) for c in zip(*parts))
@@ -231,7 +231,7 @@ class Lists:
 
     def second(self, answers: dict[int, bytes]) -> Iterator[tuple[int, np.ndarray]]:
         """(bucket, entries) of the contexts of shared anchors; fills rec, the contexts of every anchor,
-        and one, the first (of the smallest document) of each different context."""
+        and one, the first (of the smallest document) of each different context of a key."""
         shared, hot = np.zeros(len(self.unique), bool), np.zeros(len(self.unique), bool)
         for k, i in self.first():
             if k in answers:
@@ -239,9 +239,10 @@ class Lists:
                 shared[i], hot[i] = bits[::2], bits[1::2]
         at = np.searchsorted(self.unique, self.keys)
         self.rec = self.block.records(shared[at], hot[at], self.keys)
-        order = np.lexsort((self.rec["doc"], self.rec["hash"]))
-        h = self.rec["hash"][order]
-        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+        # by key too: anchors at several places can have one context, and each key is met by others
+        order = np.lexsort((self.rec["doc"], self.rec["hash"], self.rec["key"]))
+        k, h = self.rec["key"][order], self.rec["hash"][order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
         self.one = order[new]
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(new) - 1

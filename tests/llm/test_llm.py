@@ -94,6 +94,22 @@ def test_suffix_dedup_cleaned(docs, texts, empty, spark):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in suffix_dedup.dedup(twice).collect()) == [(0, 80), (1, 0), (1, 0)]
 
 
+def test_suffix_dedup_one_context_of_several_anchors(spark, monkeypatch):
+    """Anchors 24, 21 or 15 bytes apart at the edges of passages, one document a block, all of them hot."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1)
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    rows = []
+    for _ in range(40):
+        passage = letters(120)
+        rows += [letters(rng.choice([0, 5, 40])) + passage[rng.randrange(0, 40) :] + letters(rng.choice([0, 40])) for _ in range(6)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = {i: tuple(r)[1:] for i, r in by_id(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))).items()}
+    assert got == brute_dedup(rows)
+
+
 # ------------------------------------------------------------------ n-gram join
 
 
