@@ -13,9 +13,12 @@ one string, whose smallest document is known then.
 
 Blocks are packed runs of documents, some MB each. A block sends sorted lists and can make them again,
 so answers are a bit or two an entry. All tables between the steps are written, so a lost executor
-repeats one step. A passage that a third of all documents share is one row for each block;
-at its edges contexts differ in each document, and anchors that many documents have are therefore cut
-by the windows' own content (RANGES), so no shard receives all of them.
+repeats one step. A passage that a third of all documents share is one row for each block; at its
+edges contexts differ in each document. The windows of anchors that many documents or many places of a
+block have are therefore told by their own content: equal ones have one hash, so none of their texts is
+sorted. An anchor that is left has less than HOT blocks with less than HOT places in each, which bounds
+the contexts in a shard; its suffix array is made in memory, and the sort's queues stay below the size
+from which they spill.
 
 Edge cases: null text = no bytes; a null doc_id counts as larger than all others; rows that share a
 doc_id don't remove from each other; documents shorter than L lose nothing; repeats within one document
@@ -40,11 +43,7 @@ from gabbro.tables import table
 L, K = 50, 26
 W = L - K + 1  # K-grams of a window
 NO_ID = np.iinfo(np.int64).max
-#: Distances of a window's start from its anchor: all at once, or, for anchors in many documents, cut
-#: so that windows reaching far to one side are dealt by what lies there.
-ALL = ((0, W - 1),)
-RANGES = ((0, 0), (1, 2), (3, 6), (7, W - 8), (W - 7, W - 4), (W - 3, W - 2), (W - 1, W - 1))
-HOT = 256  # documents, as estimated from blocks
+HOT = 256  # documents, as estimated from blocks, or places in one block
 BLOCK = 4 << 20
 SHARD = 1 << 20  # bytes of contexts in one suffix array, unless one key alone has more
 CHUNK = 1 << 18  # bytes hashed at once: the arrays stay in cache
@@ -124,22 +123,26 @@ class Block:
         return bytes_hash(self.padded, self.pos, np.full(len(self.pos), K)) & ~np.uint64(3)
 
     def records(self, shared: np.ndarray, hot: np.ndarray, keys: np.ndarray) -> dict[str, np.ndarray]:
-        """Contexts of shared anchors, a row for each: begin, size, doc, the shard's key and a hash."""
-        parts = []
-        for which, ranges in ((shared & ~hot, ALL), (shared & hot, RANGES)):
-            pos, doc, key = self.pos[which], self.doc[which], keys[which]
-            for near, far in ranges:
-                o2 = np.minimum(far, pos - self.off[doc])
-                o1 = np.maximum(near, pos + L - self.off[doc + 1])
-                fits = o1 <= o2
-                p, d = pos[fits], doc[fits]
-                k = key[fits]
-                if ranges is RANGES:
-                    k = bytes_hash(self.padded, p - near, np.full(len(p), L - far + near))
-                begin, size = p - o2[fits], (o2 - o1)[fits] + L
-                parts.append((begin, size, d, k))
-        begin, size, doc, key = (np.concatenate(c) for c in zip(*parts))
-        return {"begin": begin, "size": size, "doc": self.ids[doc], "key": key, "hash": bytes_hash(self.padded, begin, size)}
+        """Contexts of shared anchors, a row for each: begin, size, doc, the shard's key and a hash. The
+        windows of hot anchors are contexts of their own, each once, with their own content as key."""
+
+        def reach(which: np.ndarray) -> tuple[np.ndarray, ...]:
+            pos, doc = self.pos[which], self.doc[which]
+            o2 = np.minimum(W - 1, pos - self.off[doc])
+            o1 = np.maximum(0, pos + L - self.off[doc + 1])
+            fits = o1 <= o2
+            return (pos - o2)[fits], (pos - o1)[fits], doc[fits], keys[which][fits]
+
+        begin, last, doc, key = reach(shared & ~hot)
+        size = last - begin + L
+        low, high, _, _ = reach(shared & hot)
+        if len(low):
+            n = len(self.flat) + 1
+            single = np.flatnonzero(np.cumsum(np.bincount(low, minlength=n) - np.bincount(high + 1, minlength=n)) > 0)
+            begin, size = np.concatenate([begin, single]), np.concatenate([size, np.full(len(single), L)])
+            doc = np.concatenate([doc, np.searchsorted(self.off, single, "right") - 1])
+        h = bytes_hash(self.padded, begin, size)
+        return {"begin": begin, "size": size, "doc": self.ids[doc], "key": np.concatenate([key, h[len(key) :]]), "hash": h}
 
 
 WIDE = 80  # L + W - 1 = 74 bytes at most, in whole words
@@ -224,6 +227,7 @@ class Lists:
         docs = np.add.reduceat((new | other).astype(np.int64), first) if len(first) else first
         self.unique = k[first]
         self.few = np.searchsorted([2, 32], docs, "right").astype(np.uint64)  # a class of how many documents
+        self.few[np.diff(np.concatenate([first, [len(k)]])) >= HOT] = 3  # or of many places
 
     def first(self) -> Iterator[tuple[int, np.ndarray]]:
         """(bucket, entries) of the anchors."""
@@ -273,7 +277,7 @@ def shared_anchors(packed: DataFrame, buckets: int) -> DataFrame:
         first = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         n_blocks = np.diff(np.concatenate([first, [len(k)]]))
-        many = np.add.reduceat(np.array([1, 8, 64])[few], first)
+        many = np.add.reduceat(np.array([1, 8, 64, HOT])[few], first)
         bits = np.zeros((len(k), 2), bool)
         bits[order, 0] = ((n_blocks > 1) | (np.maximum.reduceat(few, first) > 0))[group]
         bits[order, 1] = (many >= HOT)[group]

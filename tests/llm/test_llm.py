@@ -110,6 +110,25 @@ def test_suffix_dedup_one_context_of_several_anchors(spark, monkeypatch):
     assert got == brute_dedup(rows)
 
 
+def test_suffix_dedup_bounds_the_contexts_of_an_anchor():
+    """A passage at 300 places of one document, in different surroundings: none of its anchors' contexts is sorted."""
+    rng = np.random.default_rng(6)
+    passage = rng.integers(97, 123, 40)
+    flat = np.concatenate([x for _ in range(300) for x in (rng.integers(97, 123, 60), passage)]).astype(np.uint8)
+    lists = suffix_dedup.Lists(suffix_dedup.Block(suffix_dedup.pack_block(np.array([7]), flat, np.array([0, len(flat)]))), 4)
+    # all anchors shared, the hot ones as the block's own classes say
+    hot = lists.few == 3
+    assert hot.any()
+    bits = {k: np.packbits(np.stack([np.ones(len(i), bool), hot[i]], 1).ravel()).tobytes() for k, i in lists.first()}
+    list(lists.second(bits))
+    rec = {c: x[lists.one] for c, x in lists.rec.items()}
+    _, n = np.unique(rec["key"], return_counts=True)
+    assert n.max() < suffix_dedup.HOT
+    # every window is still in some context
+    starts = np.unique(np.concatenate([np.arange(b, b + s - 49) for b, s in zip(lists.rec["begin"], lists.rec["size"])]))
+    assert starts.tolist() == list(range(len(flat) - 49))
+
+
 # ------------------------------------------------------------------ n-gram join
 
 
