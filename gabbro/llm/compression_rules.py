@@ -1,8 +1,9 @@
 """Quality rules by compression bands.
 
 A text that zstandard shrinks far more than ordinary prose of its length is repetitive, one that it
-hardly shrinks is noise. Both the whole text and its fixed chunks are compressed, and each ratio
-(compressed bytes / bytes) has to lie inside a band that depends on the length compressed.
+hardly shrinks is noise. Both the whole text and its fixed chunks are compressed, the shorter last one
+too, and each ratio (compressed bytes / bytes) has to lie inside a band that depends on the length
+compressed.
 
 Edge cases: null text = empty text, which has no words and so fails the base rules; a text shorter
 than the first band has no ratio limit; repeated rows are judged one by one; an empty table gives an
@@ -29,11 +30,13 @@ WINDOW = 5
 class Bands:
     """(least bytes, lowest ratio, highest ratio), by rising length, at the given zstandard level.
     Whole texts and chunks share the table: a ratio depends on the bytes compressed, not on what
-    they are part of. A document goes when more than bad_chunks of its chunks are out of band."""
+    they are part of. A document goes when more than bad_chunks of its chunks, or more than bad_bytes
+    in all its chunks together, are out of band; no chunk of the documents labelled good is."""
 
     level: int = 3
     chunk: int = 2048
     bad_chunks: float = 0.25
+    bad_bytes: int = 2048
     limits: tuple[tuple[int, float, float], ...] = (
         (64, 0.66, 1.30),
         (128, 0.50, 1.05),
@@ -81,15 +84,15 @@ def verdict(raw: bytes, bands: Bands, press) -> tuple[float | None, int, int, bo
     if not raw:
         return None, 0, 0, True
     ratio = len(press(raw)) / len(raw)
-    bad = chunks = 0
+    bad = chunks = out = 0
     if len(raw) > bands.chunk:
         for at in range(0, len(raw), bands.chunk):
             part = raw[at : at + bands.chunk]
-            if len(part) < bands.chunk and at:
-                break  # the rest is judged with the whole
             chunks += 1
-            bad += not bands.inside(len(part), len(press(part)) / len(part))
-    return ratio, chunks, bad, bands.inside(len(raw), ratio) and bad <= bands.bad_chunks * chunks
+            if not bands.inside(len(part), len(press(part)) / len(part)):
+                bad += 1
+                out += len(part)
+    return ratio, chunks, bad, bands.inside(len(raw), ratio) and bad <= bands.bad_chunks * chunks and out <= bands.bad_bytes
 
 
 def judge(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:

@@ -281,6 +281,25 @@ def test_compression_rules(docs, texts, empty):
     assert compression_rules.judge(empty).count() == 0
 
 
+def test_compression_rules_judge_tails_and_bound_noise():
+    import base64
+
+    import zstandard
+
+    rng = np.random.default_rng(8)
+    bands = compression_rules.Bands()
+    press = zstandard.ZstdCompressor(level=bands.level).compress
+    # 600 words, often repeated ones first, are in band like prose
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(600)]
+    prose = " ".join(words[int(600 * rng.random() ** 2)] for _ in range(20000)).encode()
+    noise = base64.b64encode(rng.bytes(30000))
+    fine = lambda raw: compression_rules.verdict(raw, bands, press)[3]
+    assert fine(prose[:2048]) and fine(prose[:3548]) and fine(prose[:80000])
+    for n in (1500, 2000):
+        assert compression_rules.verdict(prose[:2048] + noise[:n], bands, press)[1:] == (2, 1, False)
+    assert not fine(prose[:40960] + noise[:18000] + prose[40960:80000])
+
+
 # ------------------------------------------------------------------ mixture
 
 
