@@ -497,16 +497,16 @@ def whole_characters(gone: np.ndarray, flat: np.ndarray) -> np.ndarray:
     return np.repeat(all_gone, np.diff(np.concatenate([first, [len(flat)]])))
 
 
-def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, texts: bool = False, digests: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept_text, in which a character
-    that would be cut in part stays whole."""
+    that would be cut in part stays whole; with digests also old_sha256, of the text before."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = blocks(docs)
     shared = shared_anchors(packed, buckets)
     owners = context_owners(packed, shared, buckets)
     windows = window_bits(packed, shared, owners, buckets)
-    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if texts else {})
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else "")
+    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if texts else {}) | ({"old_sha256": pa.string()} if digests else {})
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else "") + (", old_sha256 string" if digests else "")
 
     def run(name: int, raw: bytes, t: pa.Table) -> pa.RecordBatch:
         rows = []
@@ -519,7 +519,11 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
             spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0
             kept = (part[~g] if n else part).tobytes()
             row = (None if i == NO_ID else i, b - a, n, spans, hashlib.sha256(kept).hexdigest())
-            rows.append((*row, (part[~whole_characters(g, part)].tobytes() if n else kept).decode()) if texts else row)
+            if texts:
+                row += ((part[~whole_characters(g, part)].tobytes() if n else kept).decode(),)
+            if digests:
+                row += (hashlib.sha256(part.tobytes()).hexdigest() if n else row[4],)
+            rows.append(row)
         return batch(rows, **kinds)
 
     return visit(packed, [shared, owners, windows], run, schema)
@@ -527,24 +531,23 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents without repeated passages, all columns kept; n_chars, where there is one, is that
-    of the new text. Blocks carry ids and texts only, so ids are joined back: rows that share a doc_id
-    are numbered by their old text's digest first, and rows with a null doc_id stay as they are."""
+    of the new text. Blocks carry ids and texts only, so new texts are joined back by doc_id, null or not,
+    and the old text's digest: what a row loses depends on these two only."""
     names = docs.columns
-    known = docs.filter(F.col("doc_id").isNotNull())
-    twice = known.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("twice_id"))
-    new = dedup(docs, texts=True).select(F.col("doc_id").alias("new_id"), F.col("kept_text").alias("new_text")).filter("new_id is not null")
-    new = new.join(twice, new["new_id"] == twice["twice_id"], "left_anti")
-    joined = docs.join(new, docs["doc_id"] == new["new_id"], "left")
-    text = F.when(F.col("new_id").isNotNull() & docs["text"].isNotNull(), F.col("new_text")).otherwise(docs["text"])
-    cols = []
-    for c in names:
-        if c == "text":
-            cols.append(text.alias("text"))
-        elif c == "n_chars":
-            cols.append(F.when(F.col("new_id").isNotNull() & docs["text"].isNotNull(), F.char_length("new_text").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"]).alias("n_chars"))
-        else:
-            cols.append(docs[c])
-    return joined.select(*cols)
+    given, null_id, digest, new_text = ("_" * max(map(len, names)) + c for c in ("given", "null_id", "digest", "new_text"))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        i = F.col("doc_id").cast("long")
+        return df.withColumns({given: F.coalesce(i, F.lit(0).cast("long")), null_id: i.isNull(), digest: F.sha2(F.col("text").cast("string").cast("binary"), 256)})
+
+    cut = dedup(docs, texts=True, digests=True).filter("n_removed > 0")
+    new = cut.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias(given), F.col("doc_id").isNull().alias(null_id), F.col("old_sha256").alias(digest), F.col("kept_text").alias(new_text))
+    joined = keyed(docs).join(new.dropDuplicates([given, null_id, digest]), [given, null_id, digest], "left")
+    text = F.coalesce(new_text, F.col("text"))
+    put = {"text": text.alias("text")}
+    if "n_chars" in names:
+        put["n_chars"] = F.when(F.col("text").isNotNull(), F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+    return joined.select(*[put.get(c, F.col(c)) for c in names])
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,16 @@ def test_suffix_dedup_cleaned(docs, texts, empty, spark):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in suffix_dedup.dedup(twice).collect()) == [(0, 80), (1, 0), (1, 0)]
 
 
+def test_suffix_dedup_cleaned_repeated_and_null_ids(spark):
+    """Rows that share an id, or have none, lose what dedup() says they lose; their n_chars follows."""
+    a, b = "a passage of more than fifty bytes that smaller documents have", "another passage of more than fifty bytes that they have, too"
+    rows = [(1, a, 1), (1, b, 2), (5, a + "!", 3), (5, b + "?", 4), (5, b + "?", 5), (0, "of its own", 6), (None, a, 7), (None, "x" + b, 8), (None, "x" + b, 9), (None, None, 10), (7, "no repeat", 11)]
+    df = spark.createDataFrame([(i, t, -1, k) for i, t, k in rows], "doc_id long, text string, n_chars int, k int")
+    got = {r["k"]: (r["doc_id"], r["text"], r["n_chars"]) for r in suffix_dedup.cleaned(df).collect()}
+    want = {k: (i, t, -1 if t is None else len(t)) for i, t, k in rows} | {3: (5, "!", 1), 4: (5, "?", 1), 5: (5, "?", 1), 7: (None, "", 0), 8: (None, "x", 1), 9: (None, "x", 1)}
+    assert got == want
+
+
 def test_suffix_dedup_one_context_of_several_anchors(spark, monkeypatch):
     """Anchors 24, 21 or 15 bytes apart at the edges of passages, one document a block, all of them hot."""
     monkeypatch.setattr(suffix_dedup, "HOT", 2)
