@@ -355,10 +355,19 @@ def near_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
 
 
 def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """The documents without those that have a smaller doc_id in their component."""
-    parts = near_components(docs, n, percent)
-    gone = parts.filter("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """One row of each component: that with the smallest doc_id, a null one being the largest. Where ids
+    repeat or are null, the rows are compared under numbers of their own."""
+    known = docs.filter(F.col("doc_id").isNotNull())
+    if not docs.filter(F.col("doc_id").isNull()).limit(1).count() and not known.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        parts = near_components(docs, n, percent)
+        gone = parts.filter("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+        return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    row = "_" * max(map(len, docs.columns)) + "row"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "ngram-rows")
+    parts = near_components(rows.select(F.col(row).alias("doc_id"), "text"), n, percent)
+    parts = parts.select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, "doc_id"), row)
+    stay = parts.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))).alias("m"))
+    return rows.join(stay.select(F.col("m.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

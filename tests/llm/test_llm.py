@@ -192,6 +192,19 @@ def test_near_duplicate_filter(docs, texts):
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == want
 
 
+def test_near_duplicate_filter_repeated_and_null_ids(spark):
+    """One row of each group stays: copies with one id, copies without ids, and near copies across them."""
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a, 1), (1, a, 2), (1, b, 3), (None, c, 4), (None, c, 5), (None, d + " end", 6), (9, d, 7), (8, d, 8), (3, "", 9), (3, None, 10), (12, a, 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    out = ngram_join.keep_one(df, 5, 80)
+    assert out.columns == df.columns
+    got = {r["k"] for r in out.collect()}
+    assert got - {1, 2, 4, 5} == {3, 8, 9, 10} and len(got & {1, 2}) == 1 and len(got & {4, 5}) == 1
+
+
 def test_fragments_miss_no_pair():
     """Sets at the threshold share a fragment key, whatever the places in which they differ."""
     rng = np.random.default_rng(3)
