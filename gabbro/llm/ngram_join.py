@@ -6,8 +6,8 @@ cut into more than d fragments, one fragment at least is the same in both. So do
 whole fragment are the candidates, without any bound on frequent n-grams, and nothing is missed. The
 overlap of a candidate pair is then counted fragment by fragment, in separate rows, and summed.
 
-Sizes fall into classes that grow by a quarter; a document is cut for its own class and, if a partner
-of 90 % of its size falls into the class below, for that one. A fragment without n-grams says nothing
+Sizes fall into classes that grow by a quarter; a document is cut for its own class and for each one
+below down to that of its smallest partner: one at most from 80 % on. A fragment without n-grams says nothing
 and is left out, unless a document has so many of them that it could share no other.
 
 Groups are connected, not expanded. Within a task, and then within a bucket, all that share a fragment
@@ -89,14 +89,14 @@ def size_classes(percent: int) -> np.ndarray:
 
 
 def fragment_keys(s: np.ndarray, percent: int, ends: np.ndarray) -> np.ndarray:
-    """The keys of a set's fragments, for its class and the one of its smallest partner."""
+    """The keys of a set's fragments, for its class and all down to the one of its smallest partner."""
     size = len(s)
     own = int(np.searchsorted(ends, size, "right")) - 1
     low = int(np.searchsorted(ends, -(-size * percent // 100), "right")) - 1
     keys = []
     with np.errstate(over="ignore"):
         mixed = mix64(s)
-        for c in {own, low} - {-1}:
+        for c in range(max(low, 0), own + 1):
             top = int(ends[c + 1]) - 1
             most = top * (100 - percent) // percent
             cuts = most + 2 + most // 64

@@ -220,6 +220,17 @@ def test_fragments_miss_no_pair():
                 assert np.intersect1d(ngram_join.fragment_keys(x, percent, ends), ngram_join.fragment_keys(y, percent, ends)).size
 
 
+def test_fragments_miss_no_pair_of_distant_sizes():
+    """Below 80 % a class can lie between those of a set and its smallest partner."""
+    rng = np.random.default_rng(9)
+    for percent in (30, 50, 70):
+        ends = ngram_join.size_classes(percent)
+        for _ in range(100):
+            x = np.sort(rng.integers(0, 1 << 64, int(rng.integers(20, 300)), dtype=np.uint64))
+            y = np.delete(x, rng.permutation(len(x))[: int(rng.integers(1, len(x) * (100 - percent) // 100 + 1))])
+            assert np.intersect1d(ngram_join.fragment_keys(x, percent, ends), ngram_join.fragment_keys(y, percent, ends)).size
+
+
 # ------------------------------------------------------------------ chat formatting
 
 
