@@ -11,9 +11,9 @@ everything else covers all documents. Labels come only from rows with crc32(doc_
 
 Edge cases: null text = empty; an empty text has all statistics 0 and is scored like any other; a
 document without label is scored, a label without document or with null quality is ignored, and of
-labels that contradict each other the mean is learned; no labels at all, or one class only, give the
-share of ones (0.5 without any) as every score; a null doc_id is not held out; an empty table gives
-an empty table; other columns are ignored.
+labels that contradict each other the mean is learned; fewer than LEAST labelled rows, or one class only,
+fit no tree and give the share of ones (0.5 without any) as every score, and keep_good then rejects
+nothing; a null doc_id is not held out; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ NAMES = (
     *(f"share_{c}" for c in CLASSES), "log_bytes", "log_words", "mean_word", "long_words", "distinct_words", "top_word", "words_with_symbol",
     "words_with_digit", "upper_words", "words_a_line", "distinct_lines", "short_lines", "lines_with_stop", "repeated_pairs", "single_char_words", "low_then_up",
 )
+LEAST = 20  # labelled rows, to fit trees
 LUT = np.full(256, len(CLASSES), np.uint8)
 for _k, _b in enumerate(CLASSES.values()):
     LUT[list(_b)] = _k
@@ -120,7 +121,7 @@ def fit(x: np.ndarray, y: np.ndarray, s: Settings = Settings()) -> Forest:
     size = 2 ** (s.depth + 1) - 1
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
     base = float(np.log(share / (1 - share)))
-    if len(y) < 20 or y.min() == y.max():
+    if len(y) < LEAST or y.min() == y.max():
         return Forest(base, np.zeros((0, size), np.int64), np.zeros((0, size)), np.zeros((0, size)), s.depth)
     n, m = x.shape
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, s.bins + 1)[1:-1])) for j in range(m)]
@@ -200,7 +201,10 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
 
 def keep_good(docs: DataFrame, forest: Forest, threshold: float = 0.7) -> DataFrame:
     """The documents, with all their columns, that the classifier does not reject. The mask is made
-    batch by batch where the rows are, so nothing is joined and repeated ids are no matter."""
+    batch by batch where the rows are, so nothing is joined and repeated ids are no matter. A forest
+    without trees tells no documents apart and rejects none."""
+    if not len(forest.feature):
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -275,6 +275,11 @@ def test_quality_edges(spark, docs, empty):
     assert quality_gbdt.keep_good(docs, forest, 0.0).columns == docs.columns
 
 
+def test_keep_good_without_trees_rejects_nothing(docs):
+    forest = quality_gbdt.fit(np.zeros((19, len(quality_gbdt.NAMES))), np.array([0.0] * 10 + [1.0] * 9))
+    assert not len(forest.feature) and quality_gbdt.keep_good(docs, forest).count() == docs.count()
+
+
 def test_forest_matches_walk():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 4))
