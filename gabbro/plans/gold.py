@@ -444,12 +444,22 @@ def json_props(spark, sf):
     return e.groupBy("k", "event_type").agg(F.count("*").alias("n"))
 
 
+def word_places(docs: DataFrame) -> DataFrame:
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    return words.withColumn("pos", F.col("pos").cast("long"))
+
+
 @query(
     r"""SELECT doc_id, i AS pos, w AS word FROM (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents WHERE n_chars <= 400))"""
 )
 def posexplode_words(spark, sf):
-    d = table(spark, sf, "documents").filter("n_chars <= 400")
-    return d.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word")).withColumn("pos", F.col("pos").cast("long"))
+    return word_places(table(spark, sf, "documents").filter("n_chars <= 400"))
+
+
+@query()
+def posexplode_all_words(spark, sf):
+    """The same of all documents, whatever their n_chars; tested on a fixture, without SQL."""
+    return word_places(table(spark, sf, "documents"))
 
 
 @query(

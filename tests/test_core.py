@@ -262,3 +262,13 @@ def test_entry_and_registry(spark, sf):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_posexplode_takes_whole_tables(spark, tmp_path):
+    import __spark_entry__ as e
+
+    texts = {1: "a b", 2: " ".join(f"w{k}" for k in range(500)), 3: "c  d ", 4: None}
+    rows = [(i, t, None if i == 3 else len(t or "")) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, e.queries()["posexplode_all_words"](spark, str(tmp_path)).collect()))
+    assert got == [(i, k, w) for i, t in texts.items() if t is not None for k, w in enumerate(t.split(" "))]
