@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -14,16 +16,27 @@ class Files:
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
 
     def create(self, path: str, text: str) -> bool:
-        """Writes a new file; False if there is one already (the store's exclusive create decides)."""
+        """A new file that appears whole or not at all; False if there is one already. The text is written
+        beside it and renamed without overwriting, which the file system decides (as Spark's own
+        checkpoint files are made), so no reader sees a part and of two writers one wins."""
         p, fs = self._at(path)
+        if fs.exists(p):
+            return False
+        beside, _ = self._at(f"{path}.{uuid.uuid4().hex}.tmp")
+        out = fs.create(beside, False)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+        how = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)  # noqa: SLF001
         try:
-            out = fs.create(p, False)
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), conf).rename(beside, p, how)
         except Exception as e:  # noqa: BLE001  the store's own class of error
+            fs.delete(beside, False)
             if "AlreadyExists" in str(e) or "already exists" in str(e):
                 return False
             raise
-        out.write(bytearray(text.encode()))
-        out.close()
         return True
 
     def read(self, path: str) -> str:
