@@ -23,6 +23,12 @@ class Catalog:
     tags: dict[tuple[str, str], dict[str, str]] = field(default_factory=dict)
     policies: list[tuple[str, str, str, set[str]]] = field(default_factory=list)
 
+    views: dict[str, tuple[str, object]] = field(default_factory=dict)
+
+    def view(self, name: str, table: str, plan) -> None:
+        """A view: a plan over what its reader sees of a table. It can't have rules of its own."""
+        self.views[name] = table, plan
+
     def who(self, user: str) -> set[str]:
         return {user} | {g for g, members in self.groups.items() if user in members}
 
@@ -44,12 +50,24 @@ class Catalog:
 
     def mask(self, table: str, column: str, masked: Column | str, clear_for: set[str]) -> None:
         """Others than clear_for see `masked` (an expression, or a constant) instead of the column."""
+        self._no_view(table)
         self.masks[table, column] = masked, clear_for
 
     def row_filter(self, table: str, rules: dict[str, str]) -> None:
         """SQL conditions by principal; a user sees rows of any rule that is theirs, else none."""
+        self._no_view(table)
         self.filters[table] = rules
 
+    def _no_view(self, table: str) -> None:
+        if table in self.views:
+            raise ValueError(f"{table} is a view: masks and filters belong to its table")
+
+    def policies_on(self, schema: str) -> list[tuple[str, str, str]]:
+        """(object, kind, rule) of all masks and filters on tables of a schema."""
+        inside = lambda t: t == schema or t.startswith(f"{schema}.")
+        masks = [(f"{t}.{c}", "mask", str(m)) for (t, c), (m, _) in self.masks.items() if inside(t)]
+        return sorted(masks + [(t, "filter", f"{p}: {sql}") for t, rules in self.filters.items() if inside(t) for p, sql in rules.items()])
+
     def tag(self, table: str, column: str, **tags: str) -> None:
         self.tags.setdefault((table, column), {}).update(tags)
 
@@ -61,6 +79,12 @@ class Catalog:
         """What a user sees: a filter and a projection, which Spark pushes into the scan."""
         if not self.allowed(user, "SELECT", table):
             raise AccessDenied(f"{user} may not read {table}")
+        if table in self.views:
+            base, plan = self.views[table]
+            return plan(self._shown(user, base, df))
+        return self._shown(user, table, df)
+
+    def _shown(self, user: str, table: str, df: DataFrame) -> DataFrame:
         mine = self.who(user)
         if table in self.filters:
             rule = F.lit(False)

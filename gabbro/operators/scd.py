@@ -57,16 +57,23 @@ def auto_cdc(feed: DataFrame, keys: Sequence[str], sequence_by: str, kind: int =
     return closed.filter("not _gone").select(*keys, *data, F.col(sequence_by).alias("valid_from"), "valid_to", F.col("valid_to").isNull().alias("is_current"))
 
 
-def integrity(history: DataFrame, key: str) -> DataFrame:
-    """(check, violations) of a history: one aggregate over one window, no action for each check."""
-    w = Window.partitionBy(key).orderBy("valid_from")
-    seen = history.withColumn("_next", F.lead("valid_from").over(w)).withColumn("_n", F.sum(F.col("is_current").cast("int")).over(Window.partitionBy(key)))
+def change_log(history: DataFrame, key: str) -> DataFrame:
+    """A row for each version of a history: whether it opened its key or changed it, and when."""
+    first = F.min("valid_from").over(Window.partitionBy(key))
+    return history.select(key, F.when(F.col("valid_from") == first, "opened").otherwise("changed").alias("change"), F.col("valid_from").alias("changed_at"))
+
+
+def integrity(history: DataFrame, key: str, state: str | None = None) -> DataFrame:
+    """(check, violations) of a history: one aggregate over one window, no action for each check. With a
+    digest of the state also neighbours that are equal, which a rebuild would have collapsed."""
+    w = Window.partitionBy(key).orderBy("valid_from", F.col("valid_to").asc_nulls_last())
+    seen = history.withColumn("_next", F.lead("valid_from").over(w)).withColumn("_same", (F.lead(state).over(w) == F.col(state)) if state else F.lit(False)).withColumn("_n", F.sum(F.col("is_current").cast("int")).over(Window.partitionBy(key)))
     bad = {
         "several_current": F.col("is_current") & (F.col("_n") > 1),
         "no_current": F.col("_next").isNull() & (F.col("_n") == 0),
         "gap_or_overlap": F.col("_next").isNotNull() & ~F.col("valid_to").eqNullSafe(F.col("_next")),
         "empty_interval": F.col("valid_to") <= F.col("valid_from"),
         "current_is_closed": F.col("is_current") != F.col("valid_to").isNull(),
-    }
+    } | ({"equal_neighbours": F.coalesce(F.col("_same"), F.lit(False))} if state else {})
     sums = seen.agg(*[F.sum(F.when(c, 1).otherwise(0)).cast("long").alias(n) for n, c in bad.items()])
     return sums.unpivot([], list(bad), "check", "violations").withColumn("violations", F.coalesce("violations", F.lit(0).cast("long")))

@@ -48,7 +48,8 @@ def money(c) -> F.Column:
 
 def lines_once(spark: SparkSession, sf: str) -> DataFrame:
     """One row an order line, first by a total order over all columns."""
-    li = table(spark, sf, "lineitem").select(*LINE_COLUMNS)
+    # dealt by order: the window and every join or sum by order after it use this one exchange
+    li = table(spark, sf, "lineitem").select(*LINE_COLUMNS).repartition("l_orderkey")
     return R.dedup(li, ["l_orderkey", "l_linenumber"], R.total_order(li, ["l_orderkey", "l_linenumber"]))
 
 
@@ -75,7 +76,8 @@ def dedup_first(spark, sf):
   ORDER BY {', '.join(c + ' DESC' for c in LINE_COLUMNS)}) AS rn FROM lineitem) WHERE rn = 1"""
 )
 def dedup_last(spark, sf):
-    li = table(spark, sf, "lineitem").select(*LINE_COLUMNS)
+    # dealt by order: the window and every join or sum by order after it use this one exchange
+    li = table(spark, sf, "lineitem").select(*LINE_COLUMNS).repartition("l_orderkey")
     return R.dedup(li, ["l_orderkey", "l_linenumber"], R.total_order(li, ["l_orderkey", "l_linenumber"]), last=True)
 
 
@@ -138,9 +140,9 @@ GROUP BY ALL ORDER BY revenue DESC, p_partkey LIMIT 20"""
 )
 def top_products_90d(spark, sf):
     li, part = tables(spark, sf, "lineitem", "part")
-    # one row, a scalar subquery's equal: the bound is known before lines are scanned
+    # a scalar subquery: it runs first, and its value is pushed into the scan of the lines
     bound = li.agg(F.date_sub(F.max("l_shipdate"), 90).cast("timestamp_ntz").alias("after"))
-    recent = li.join(F.broadcast(bound), F.col("l_shipdate") > F.col("after"))
+    recent = li.filter(F.col("l_shipdate") > bound.scalar())
     per = recent.groupBy("l_partkey").agg(
         money(F.sum(net())).alias("revenue"), F.sum("l_quantity").alias("quantity"),
         F.round(F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).cast("double") / F.count("*"), 4).alias("return_rate"),

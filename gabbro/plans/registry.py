@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gabbro.plans import gold, platform
+from gabbro.plans import catalog, expressions, gold, platform, star
 
-QUERIES: dict = gold.QUERIES | platform.QUERIES
-ORACLE_SQL: dict = gold.ORACLE_SQL | platform.ORACLE_SQL
+QUERIES: dict = gold.QUERIES | platform.QUERIES | star.QUERIES | expressions.QUERIES | catalog.QUERIES
+ORACLE_SQL: dict = gold.ORACLE_SQL | platform.ORACLE_SQL | star.ORACLE_SQL | expressions.ORACLE_SQL | catalog.ORACLE_SQL

@@ -43,3 +43,44 @@ def sessions(stream: DataFrame, at: str, gap: str, by: str, late: str = "1 hour"
 def dedup_recent(stream: DataFrame, key: str, at: str, within: str = "1 day") -> DataFrame:
     """The first row of each key; state is kept for `within` only."""
     return stream.withWatermark(at, within).dropDuplicatesWithinWatermark([key])
+
+
+def sliding(stream: DataFrame, at: str, size: str, every: str, by: list[str], late: str = "1 hour") -> DataFrame:
+    """Counts by overlapping event-time windows."""
+    return stream.withWatermark(at, late).groupBy(F.window(at, size, every).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *by, "n")
+
+
+def interval_join(left: DataFrame, right: DataFrame, key: str, at: str, within: str, late: str = "400 days") -> DataFrame:
+    """Rows of two streams with one key, the right one up to `within` later; the watermarks and the interval
+    bound the state. Right columns are named right_*."""
+    r = right.select(*[F.col(c).alias(f"right_{c}") for c in right.columns])
+    near = F.expr(f"right_{at} >= {at} AND right_{at} <= {at} + interval {within}")
+    return left.withWatermark(at, late).join(r.withWatermark(f"right_{at}", late), (F.col(key) == F.col(f"right_{key}")) & near)
+
+
+def running_count(stream: DataFrame, key: str) -> DataFrame:
+    """(key, n): rows of a key so far, whenever it grows; the state is one number a key."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(k, batches, state: GroupState):
+        import pandas as pd
+
+        n = (state.get[0] if state.exists else 0) + sum(len(b) for b in batches)
+        state.update((n,))
+        yield pd.DataFrame({key: [k[0]], "n": [n]})
+
+    kind = stream.schema[key].dataType.simpleString()
+    return stream.select(key).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long", "n long", "update", GroupStateTimeout.NoTimeout)
+
+
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Runs a stream of updates to the end of what is there; every micro-batch is a folder of its own, so a
+    batch that is done again replaces itself."""
+    q = stream.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def every(stream: DataFrame, path: str, checkpoint: str, interval: str) -> StreamingQuery:
+    """A flow that goes on, a micro-batch each interval, until it is stopped."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=interval).start()
