@@ -13,11 +13,23 @@ and is left out, unless a document has so many of them that it could share no ot
 Groups are connected, not expanded. Within a task, and then within a bucket, all that share a fragment
 are paired with the smallest of them, and of these pairs each document keeps one; identical sets are
 linked without being counted. Links inside a component can't change it, so only fragments whose members
-still lie in different components are looked at again: their documents' n-grams are counted, those with
-too many that nobody else has are put aside, the others are paired with the most ordinary member, and
-only what then still differs is paired across components. The result is that of all pairs. Before the
-shuffle each task sends one document a fragment, so a fragment in a third of all documents is a row for
-each task.
+still lie in different components are looked at again, without documents that have too many n-grams
+that nobody else has. They go through rounds of pivots. The members of a fragment are compared with its
+pivot, the member with the fewest n-grams of its own, fragment by fragment of the global order: what
+differs from the pivot is summed by pair, so overlaps with the pivot are known, and kept as a set. Two
+sets differ as their differences do: with D(x) of a and D(y) of b n-grams,
+    |x - y| + |y - x| = a + b - 2 |D(x) & D(y)|,
+so x and y are a link only if their differences from the pivot share at least
+    k = (a + b - (n_x + n_y) (1 - s) / (1 + s)) / 2
+n-grams, and what a whole group has in common, the bulk of near copies, is in no difference at all. If
+k were 0 or less, both would be linked with the pivot. Differences are ordered by how many members have
+an n-gram, rarest first; of k common n-grams one at least is among the first a - k + 1 of x and the
+first b - k + 1 of y. Only pairs that meet so are counted, by fragments again. 1 - s is also the most by
+which distances from the pivot can differ (Jaccard distance is a metric): members up to CORE away from
+the pivot are done with this round, the others look for another pivot. Those who are far from every
+pivot after ROUNDS rounds are joined by whole sets, with the same order and the same bounds. The result
+is that of all pairs. Before the shuffle each task sends one document a fragment, so a fragment in a
+third of all documents is a row for each flush of a task.
 
 Edge cases: null text = empty; an empty set is linked with nothing; a text of fewer than n words is one
 n-gram, its whole sequence; rows that share a doc_id are one document, its set being the one with the
@@ -31,16 +43,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gabbro.llm.common import as_bytes, mix64, slices, written
+from gabbro.llm.common import as_bytes, buckets_for, mix64, slices, written
 from gabbro.llm.components import components
 from gabbro.tables import table
 
 LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 VERTICAL = 4  # fragments in which overlaps are counted
-FLUSH = 1_500_000  # keys a task holds before it sends them
+FLUSH = 600_000  # keys a task holds before it sends them
+CORE = 50  # percent of similarity with a pivot, from which on its round settles a document
+ROUNDS = 3
+BUCKET = 8 << 20  # bytes of input (as stored) whose keys meet in one task
 
 
 class WordHashes(dict):
@@ -55,7 +70,7 @@ class WordHashes(dict):
 
 def shingle_sets(texts: list[bytes], n: int, words: WordHashes) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
-    if len(words) > 400_000:
+    if len(words) > 200_000:
         words.clear()
     get = words.__getitem__
     out = []
@@ -135,8 +150,7 @@ INFO, SAME, MAYBE = 0, 1, 2
 
 def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """kind INFO: document a has key n-grams; SAME: a and b have equal sets; MAYBE: they share a fragment."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_for(docs, BUCKET)
     schema = "bucket long, key binary, doc binary, sig1 binary, sig2 binary, sig_doc binary, rest binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -171,7 +185,7 @@ def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, kinds)], names=names)
 
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text", 2 << 20):
                 for i, s in zip(b.column("doc_id").to_pylist(), shingle_sets(as_bytes(b.column("text")), n, words)):
                     if i is None:
                         continue
@@ -261,7 +275,7 @@ def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 def alone(sets: DataFrame) -> DataFrame:
     """(doc_id, n, own): how many n-grams of a set no other of these sets has."""
-    buckets = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_for(sets, BUCKET)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -299,48 +313,99 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return written(m.join(mixed, "key", "left_semi"), "ngram-mixed")
 
 
-def near_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of docs."""
-    found = candidates(docs, n, percent)
+def differences(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For pairs (node, pivot): n, n_pivot, a (n-grams that only one of them has) and these n-grams; a
+    row for each pair and fragment of the global order, summed by pair."""
+    own = sets.select(F.col("doc_id").alias("node"), "frag", "n", "part")
+    other = sets.select(F.col("doc_id").alias("pivot"), "frag", F.col("n").alias("n_pivot"), F.col("part").alias("part_pivot"))
+    parts = pairs.join(own, "node").join(other, ["pivot", "frag"])
+    differ = F.concat(F.array_except("part", "part_pivot"), F.array_except("part_pivot", "part"))
+    total = parts.select("node", "pivot", "n", "n_pivot", differ.alias("differ")).groupBy("node", "pivot", "n", "n_pivot")
+    return total.agg(F.sum(F.size("differ")).cast("long").alias("a"), F.flatten(F.collect_list("differ")).alias("differ"))
+
+
+def similar(percent: int | float, n: Column, m: Column, a: Column) -> Column:
+    """Whether sets of n and m n-grams, a of which only one of them has, are similar to percent or more."""
+    return F.lit(100) * (n + m - a) >= F.lit(percent) * (n + m + a)
+
+
+def meeting(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (grp, node, label, n, size, differ) of one group and different labels, whose sets
+    share one of their rarest n-grams, as all pairs that are links do."""
+    each = rows.select("grp", "node", F.explode("differ").alias("gram"))
+    common = each.groupBy("grp", "gram").agg(F.count("*").alias("members")).filter("members > 1")
+    one = Window.partitionBy("grp", "node")
+    found = each.join(common, ["grp", "gram"]).withColumn("at", F.row_number().over(one.orderBy("members", "gram"))).withColumn("shared", F.count("*").over(one))
+    # n-grams that nobody else has come first; none beyond the longest prefix that any partner asks for
+    most = F.floor(F.col("n") * F.lit(100 - percent) / F.lit(percent)) + 1
+    heads = found.join(rows.select("grp", "node", "label", "n", "size"), ["grp", "node"]).withColumn("at", F.col("at") + F.col("size") - F.col("shared")).filter(F.col("at") <= most)
+    heads = written(heads.select("grp", "gram", "node", "label", "n", "size", "at"), "ngram-heads")
+    x, y = (heads.select("grp", "gram", *[F.col(c).alias(f"{c}_{z}") for c in ("node", "label", "n", "size", "at")]) for z in "xy")
+    s, both = F.col("n_x") + F.col("n_y"), F.col("size_x") + F.col("size_y")
+    k = F.ceil((F.lit(100 + percent) * both - F.lit(100 - percent) * s) / F.lit(2 * (100 + percent)))
+    fits = (F.lit(100) * F.least("n_x", "n_y") >= F.lit(percent) * F.greatest("n_x", "n_y")) & (F.col("at_x") <= F.col("size_x") - k + 1) & (F.col("at_y") <= F.col("size_y") - k + 1)
+    met = x.join(y, ["grp", "gram"]).filter((F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & fits)
+    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
+def linked(docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, label) of all documents that have a link, from candidates."""
     same = found.filter(F.col("kind") == SAME).select("a", "b")
     maybe = found.filter(F.col("kind") == MAYBE).select("key", "a", "b")
     members = written(maybe.select("key", F.col("a").alias("node")).unionByName(maybe.select("key", F.col("b").alias("node"))).distinct(), "ngram-members")
     sets = sets_of(docs, members, n)
 
     # first each document with the smallest one of those that stand for its fragments
-    pairs = written(maybe.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "ngram-pairs")
+    pairs = maybe.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = written(same.unionByName(verified(sets, pairs, percent)), "ngram-links")
     labels = components(links)
 
+    def more(new: DataFrame) -> bool:
+        nonlocal links, labels
+        if not new.limit(1).count():
+            return False
+        links = written(links.unionByName(new), "ngram-links")
+        labels = components(links)
+        return True
+
     # fragments whose members still lie in different components; of these, documents with more n-grams
     # that no other one has than a link allows can't be linked
     open_ = labelled(members, labels)
+    if not open_.limit(1).count():
+        return labels
     here = sets.join(open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     nodes = written(alone(here).filter(F.lit(100) * F.col("own") <= F.lit(100 - percent) * F.col("n")), "ngram-nodes")
-    open_ = labelled(open_.drop("label").join(nodes.withColumnRenamed("doc_id", "node"), "node"), labels)
-
-    # then with the member that has the fewest n-grams of its own: the middle of a group of copies
-    middle = open_.groupBy("key").agg(F.min(F.struct("own", "node", "label")).alias("m")).select("key", F.col("m.own").alias("own_m"), F.col("m.node").alias("m"), F.col("m.label").alias("label_m"))
-    near = open_.join(middle, "key").filter(F.col("label") != F.col("label_m")).groupBy("node").agg(F.min(F.struct("own_m", "m")).alias("best"))
-    near = near.select(F.least("node", "best.m").alias("a"), F.greatest("node", "best.m").alias("b")).distinct()
-    near = written(near.join(pairs, ["a", "b"], "left_anti"), "ngram-near")
-    if near.limit(1).count():
-        links = written(links.unionByName(verified(sets, near, percent)), "ngram-links")
-        labels = components(links)
-        open_ = labelled(open_.drop("label"), labels)
-        pairs = pairs.unionByName(near)
-
-    # at last all pairs across components that are left. A link shares at least
-    # percent (n_a + n_b) / (100 + percent) n-grams, and these are nobody's own
-    x, y = (open_.select("key", F.col("node").alias(c), F.col("label").alias(f"label_{c}"), F.col("n").alias(f"n_{c}"), F.col("own").alias(f"own_{c}")) for c in "ab")
-    shared = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
-    across = x.join(y, "key").filter((F.col("label_a") != F.col("label_b")) & (F.col("a") < F.col("b")) & (F.col("n_a") - F.col("own_a") >= shared) & (F.col("n_b") - F.col("own_b") >= shared))
-    across = written(across.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-across")
-    if across.limit(1).count():
-        more = written(verified(sets, across, percent), "ngram-links")
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
+    open_ = labelled(open_.drop("label").join(nodes.select(F.col("doc_id").alias("node"), "own"), "node"), labels)
+    core, zone = CORE, CORE - (100 - percent)
+    for _ in range(ROUNDS):
+        if not open_.limit(1).count():
+            return labels
+        pivots = open_.groupBy("key").agg(F.min(F.struct("own", "node")).alias("m")).select("key", F.col("m.node").alias("pivot"))
+        open_ = written(open_.drop("label").join(pivots, "key").filter("node <> pivot"), "ngram-open")
+        far = written(differences(sets, open_.select("node", "pivot").distinct()), "ngram-differences")
+        more(written(far.filter(similar(percent, F.col("n"), F.col("n_pivot"), F.col("a"))).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "ngram-near"))
+        # members near a pivot whose group still lies in different components
+        group = far.filter(similar(zone, F.col("n"), F.col("n_pivot"), F.col("a"))).select(F.col("pivot").alias("grp"), "node", "n", F.col("a").alias("size"), "differ")
+        group = group.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = group.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("grp")
+        met = written(meeting(written(group.join(mixed, "grp", "left_semi"), "ngram-group"), percent), "ngram-met")
+        if met.limit(1).count():
+            more(written(verified(sets, met, percent), "ngram-near"))
+        away = far.filter(~similar(core, F.col("n"), F.col("n_pivot"), F.col("a"))).select("node", "pivot")
+        open_ = labelled(open_.join(away, ["node", "pivot"], "left_semi").drop("pivot"), labels)
+    # far from all pivots: whole sets, as differences from nothing
+    rest = open_.groupBy("node").agg(F.min("label").alias("label")).withColumnRenamed("node", "doc_id")
+    if rest.limit(1).count():
+        whole = sets.groupBy("doc_id", "n").agg(F.flatten(F.collect_list("part")).alias("differ")).join(rest, "doc_id")
+        met = meeting(written(whole.select(F.lit(0).cast("long").alias("grp"), F.col("doc_id").alias("node"), "label", "n", F.col("n").alias("size"), "differ"), "ngram-rest"), percent)
+        more(written(verified(sets, written(met, "ngram-met"), percent), "ngram-near"))
+    return labels
+
 
+def near_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row of docs."""
+    found = candidates(docs, n, percent)
+    labels = linked(docs, found, n, percent)
     info = found.filter(F.col("kind") == INFO).select(F.col("a").alias("doc_id"), F.col("key").alias("n_shingles"))
     out = info.join(labels, info["doc_id"] == labels["node"], "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
     no_id = docs.filter(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
