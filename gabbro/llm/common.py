@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -25,16 +24,40 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Whether Spark deletes a query's shuffle files when it has ended.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: lineage ends there, so a lost
-    executor never forces more than the stage in flight to be computed again."""
+    executor never forces more than the stage in flight to be computed again. The shuffle files of the
+    query that wrote go when it has ended; `discard` deletes the table when nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gabbro/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # the plan that wrote is garbage now; collecting it lets Spark delete its shuffle files early
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # noqa: SLF001
-    return spark.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(FREE)
+    spark.conf.set(FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by `written`. Only for tables that no lazy result still reads."""
+    for t in tables:
+        spark = t.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)  # noqa: SLF001
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
+
+
+def buckets_for(df: DataFrame, each: int) -> int:
+    """Into how many buckets to deal what is made from df, at `each` bytes of its size as the optimizer knows
+    it from file sizes: a task's share stays the same whatever the corpus. At least the shuffle partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: SLF001
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), 1 << 20))
 
 
 def as_bytes(col: pa.Array) -> list[bytes]:
