@@ -42,11 +42,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def escape(text: str) -> str:
-    return re.sub(r"<(\\*)\|", r"<\\\1|", text)
+    return text if "|" not in text else re.sub(r"<(\\*)\|", r"<\\\1|", text)
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+    return text if "|" not in text else re.sub(r"<\\(\\*)\|", r"<\1|", text)
 
 
 class Template:
@@ -62,24 +62,32 @@ class Template:
         self.reserved = self.tok.get_vocab_size(with_added_tokens=True)
         self.start, self.end = self.reserved, self.reserved + 1
         self.newline = self._ids("\n")
+        self.roles: dict[str, list[int]] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def encode(self, turns: list[tuple[str, str]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each turn: its ids and its loss mask."""
-        segments = [s for role, text in turns for s in (escape(role), escape(text))]
-        coded = [e.ids for e in self.tok.encode_batch_fast(segments, add_special_tokens=False)] if segments else []
-        ids, masks = [], []
+    def encode(self, turns: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All turns as one sequence: (offsets of the turns, ids, loss mask). A turn is six segments; where
+        each begins is a prefix sum of segment lengths, and so are the ends of the masked ones."""
+        coded = [e.ids for e in self.tok.encode_batch_fast([escape(t) for _, t in turns], add_special_tokens=False)] if turns else []
+        parts, loss = [], np.zeros(len(turns), bool)
         for k, (role, _) in enumerate(turns):
-            parts = ([self.start], coded[2 * k], self.newline, coded[2 * k + 1], [self.end], self.newline)
-            ends = np.cumsum([len(p) for p in parts])
-            mask = np.zeros(ends[-1], bool)
-            if role == "assistant":
-                mask[ends[2] : ends[3]] = True
-            ids.append(np.concatenate([np.asarray(p, np.int32) for p in parts]))
-            masks.append(mask)
-        return ids, masks
+            known = self.roles.get(role)
+            if known is None:
+                if len(self.roles) > 10_000:
+                    self.roles.clear()
+                known = self.roles[role] = self._ids(escape(role))
+            parts += ([self.start], known, self.newline, coded[k], [self.end], self.newline)
+            loss[k] = role == "assistant"
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))).reshape(-1, 6)
+        total = int(ends[-1, -1]) if len(turns) else 0
+        ids = np.fromiter((i for p in parts for i in p), np.int32, total)
+        # +1 where a text under the mask begins, -1 behind its end
+        step = np.zeros(total + 1, np.int8)
+        np.add.at(step, ends[loss, 2], 1)
+        np.add.at(step, ends[loss, 3], -1)
+        return np.concatenate([[0], ends[:, 5]]), ids, np.cumsum(step[:total], dtype=np.int8) > 0
 
     def text(self, ids: np.ndarray) -> str:
         return self.tok.decode(ids.tolist(), skip_special_tokens=False) if len(ids) else ""
@@ -95,19 +103,36 @@ class Template:
             at = m + 1
         return "".join(out)
 
-    def read(self, ids: np.ndarray, mask: np.ndarray) -> list[tuple[str, str, str]]:
-        """(role, text, text under the loss mask) of each turn of a token sequence."""
+    def read(self, offsets: np.ndarray, ids: np.ndarray, mask: np.ndarray) -> list[tuple[str, str, str, int]]:
+        """(role, text, text under the loss mask, characters of the formatted string) of each turn in
+        [offsets[k], offsets[k + 1]) of a token sequence."""
+        marks = np.flatnonzero(ids >= self.reserved)
+        first, last = marks[::2], marks[1::2]
+        if len(marks) != 2 * (len(offsets) - 1) or (ids[first] != self.start).any() or (ids[last] != self.end).any() or (first != offsets[:-1]).any():
+            raise ValueError("a turn has other marks than its start and its end")
+        under = [ids[a:b][mask[a:b]] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        inner = [ids[a + 1 : b].tolist() for a, b in zip(first.tolist(), last.tolist())]
+        behind = [ids[a + 1 : b].tolist() for a, b in zip(last.tolist(), offsets[1:].tolist())]
+        content = self.tok.decode_batch(inner, skip_special_tokens=False) if inner else []
+        tail = {tuple(x): len(self.text(np.array(x))) for x in set(map(tuple, behind))}
+        masked = [k for k, u in enumerate(under) if len(u)]
+        loss = [""] * len(inner)
+        for k, t in zip(masked, self.tok.decode_batch([under[k].tolist() for k in masked], skip_special_tokens=False) if masked else []):
+            loss[k] = unescape(t)
         out = []
-        ends = np.flatnonzero(ids == self.end)
-        for a, b in zip(np.flatnonzero(ids == self.start), ends):
-            role, _, text = self.text(ids[a + 1 : b]).partition("\n")
-            under = ids[a + 1 : b][mask[a + 1 : b]]
-            out.append((unescape(role), unescape(text), unescape(self.text(under))))
+        for k, whole in enumerate(content):
+            role, _, text = whole.partition("\n")
+            out.append((unescape(role), unescape(text), loss[k], len(START) + len(whole) + len(END) + tail[tuple(behind[k])]))
         return out
 
 
-def format_turns(rows: DataFrame, path: str) -> DataFrame:
-    """Rows (conv_id, turn, role, text) with ids, loss mask and the formatted string of each turn."""
+def lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+
+
+def format_turns(rows: DataFrame, path: str, strings: bool = True) -> DataFrame:
+    """Rows (conv_id, turn, role, text) with ids, loss mask and, if strings, the formatted string of each
+    turn (else null)."""
     schema = "conv_id long, turn long, role string, text string, ids array<int>, loss_mask array<boolean>, formatted string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,13 +142,9 @@ def format_turns(rows: DataFrame, path: str) -> DataFrame:
             for b in slices(whole, "text", 4 << 20):
                 roles, texts = b.column("role").to_pylist(), b.column("text").to_pylist()
                 # a role ends at its first newline in the template: one inside it is escaped
-                turns = [(_role_out(r or ""), t or "") for r, t in zip(roles, texts)]
-                ids, masks = form.encode(turns)
-                cols = [
-                    b.column("conv_id"), b.column("turn"), b.column("role"), b.column("text"),
-                    pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_())),
-                    pa.array([form.render(i) for i in ids], pa.string()),
-                ]
+                at, ids, mask = form.encode([(_role_out(r or ""), t or "") for r, t in zip(roles, texts)])
+                shown = [form.render(ids[i:j]) if strings else None for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+                cols = [b.column("conv_id"), b.column("turn"), b.column("role"), b.column("text"), lists(at, ids), lists(at, mask), pa.array(shown, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
     typed = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
@@ -135,27 +156,29 @@ def _role_out(role: str) -> str:
 
 
 def _role_in(role: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role)
+    return role if "\\" not in role else re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role)
 
 
 def read_back(formatted: DataFrame, path: str) -> DataFrame:
-    """From the ids and masks alone: (conv_id, turn, position keys, role, text, loss_text, chars)."""
-    schema = "conv_id long, turn long, role_key string, text_key string, back_role string, back_text string, loss_text string, chars long"
+    """From the ids and masks alone: (conv_id, turn, role, text, loss_text, chars)."""
+    schema = "conv_id long, turn long, back_role string, back_text string, loss_text string, chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         form = Template(path)
         for whole in batches:
             for b in slices(whole, "text", 4 << 20):
-                ids, masks = b.column("ids"), b.column("loss_mask")
                 rows = []
-                for i in range(b.num_rows):
-                    seq = ids[i].values.to_numpy(zero_copy_only=False)
-                    [(role, text, loss)] = form.read(seq, masks[i].values.to_numpy(zero_copy_only=False))
-                    rows.append((_role_in(role), text, loss, len(form.render(seq))))
+                if b.num_rows:
+                    ids, mask = b.column("ids"), b.column("loss_mask")
+                    at = ids.offsets.to_numpy().astype(np.int64)
+                    values, under = ids.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], mask.values.to_numpy(zero_copy_only=False)
+                    from_ = mask.offsets[0].as_py()
+                    back = form.read(at - at[0], values, under[from_ : from_ + len(values)])
+                    rows = [(_role_in(role), text, loss, chars) for role, text, loss, chars in back]
                 role, text, loss, chars = zip(*rows) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("conv_id"), b.column("turn"), b.column("role"), b.column("text"), pa.array(role, pa.string()), pa.array(text, pa.string()), pa.array(loss, pa.string()), pa.array(chars, pa.int64())],
+                    [b.column("conv_id"), b.column("turn"), pa.array(role, pa.string()), pa.array(text, pa.string()), pa.array(loss, pa.string()), pa.array(chars, pa.int64())],
                     names=[x.split()[0] for x in schema.split(", ")],
                 )
 
@@ -164,7 +187,8 @@ def read_back(formatted: DataFrame, path: str) -> DataFrame:
 
 def conversation_digests(turns: DataFrame) -> DataFrame:
     """One row a conversation. Turns arrive sorted within each partition and are digested as a
-    stream, so a conversation of any length needs the memory of one batch."""
+    stream, so a conversation of any length needs the memory of one batch. The digest of a conversation is
+    one digest of its turns in order, so its turns do go to one task, however many they are."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +218,7 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
         close()
         yield flush()
 
-    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role_key", "text_key")]
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "back_role", "back_text")]
     dealt = turns.repartition(F.col("conv_id")).sortWithinPartitions(*order)
     return dealt.mapInArrow(run, schema)
 
@@ -207,7 +231,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")
     )
-    return conversation_digests(read_back(format_turns(rows.union(planted), path), path))
+    return conversation_digests(read_back(format_turns(rows.union(planted), path, strings=False), path))
 
 
 QUERIES = {"op3_chat_format": op3_chat_format}
