@@ -6,13 +6,16 @@ copies the ZIP: it takes the end of the source, follows the end-of-central-direc
 ZIP64 locator, where sizes or offsets don't fit 32 bits) to the central directory, finds each stored
 member's data behind its local header, and reads single records by range.
 
-Archives travel as binary rows of a Parquet table in the shared folder, so any store Spark can write
-will do; `FileSource` reads the same archives from plain files.
+Archives are files in the shared folder, written and read by the workers through pyarrow's file systems
+(local or mounted folders, HDFS, object stores); between the two only their names travel. A task names
+its files at random, so an attempt that is lost leaves files that nobody refers to. The reader asks for
+ranges: the end, the directory, the index, and then windows of some records each; no archive is in
+memory as a whole.
 
 Edge cases: null html = empty payload; null url = empty target; control characters in a url are
 percent-encoded; payloads under `least` bytes are never revisits; rows that repeat the smallest
 page_id of a payload are responses too; a null page_id counts as the largest; pages of any size get
-an archive of their own if need be; an empty table gives an empty table; other columns are ignored.
+an archive of their own if need be; a damaged record raises an error; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import os
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gabbro.llm.common import slices, written
+from gabbro.llm.common import shared_dir, slices, written
 from gabbro.tables import table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -50,13 +55,44 @@ class BytesSource:
 
 
 class FileSource:
+    """Ranges of a file, by its path or URI."""
+
     def __init__(self, path: str):
-        self.file = open(path, "rb")  # noqa: SIM115
-        self.size = self.file.seek(0, 2)
+        from pyarrow.fs import FileSystem
+
+        fs, at = FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (FileSystem.from_uri(os.path.abspath(path)))
+        self.file = fs.open_input_file(at)
+        self.size = self.file.size()
+        self.bytes_read = 0
 
     def read(self, at: int, n: int) -> bytes:
-        self.file.seek(at)
-        return self.file.read(n)
+        self.bytes_read += n
+        return self.file.read_at(n, at)
+
+    def close(self) -> None:
+        self.file.close()
+
+
+class Window:
+    """Ranges of a source, in windows: records that lie side by side take one request."""
+
+    def __init__(self, source, window: int = 1 << 20):
+        self.source, self.window, self.size = source, window, source.size
+        self.at, self.held = 0, b""
+
+    def read(self, at: int, n: int) -> bytes:
+        if not self.at <= at or at + n > self.at + len(self.held):
+            self.at, self.held = at, self.source.read(at, min(max(n, self.window), self.size - at))
+        return self.held[at - self.at : at - self.at + n]
+
+
+def write_file(path: str, data: bytes) -> None:
+    from pyarrow.fs import FileSystem
+
+    fs, at = FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (FileSystem.from_uri(os.path.abspath(path)))
+    fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(at) as out:
+        out.write(data)
 
 
 def zip_stored(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
@@ -94,6 +130,7 @@ class ZipReader:
     def __init__(self, source):
         self.source = source
         self.members: dict[str, tuple[int, int, int]] = {}  # name -> (local header, size, crc)
+        self.begins: dict[str, int] = {}
         n, size, at = self._end()
         raw = source.read(at, size)
         p = 0
@@ -143,12 +180,15 @@ class ZipReader:
         return tuple(values)
 
     def begin(self, name: str) -> int:
-        """Where a member's data begin: its local header has lengths of its own."""
+        """Where a member's data begin: its local header has lengths of its own. Looked up once."""
+        if name in self.begins:
+            return self.begins[name]
         local = self.members[name][0]
         head = struct.unpack("<IHHHHHIIIHH", self.source.read(local, 30))
         if head[0] != 0x04034B50:
             raise ValueError("no local header")
-        return local + 30 + head[9] + head[10]
+        self.begins[name] = local + 30 + head[9] + head[10]
+        return self.begins[name]
 
     def read(self, name: str, at: int = 0, n: int | None = None) -> bytes:
         size = self.members[name][1]
@@ -190,11 +230,13 @@ def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 def pack(pages: DataFrame, archive_bytes: int = 16 << 20, level: int = 4) -> DataFrame:
     """Pages (page_id, url, html, digest, refers_to, revisit) as archives of about archive_bytes of
-    payload each: (records, content)."""
+    payload each, written to the shared folder: (records, path)."""
+    folder = f"{shared_dir(pages.sparkSession)}/gabbro/warc-{uuid.uuid4().hex}"
 
     def close(lines: list[bytes], parts: list[bytes]) -> pa.RecordBatch:
-        content = zip_stored([(DATA, b"".join(parts)), (INDEX, b"".join(lines))])
-        return pa.RecordBatch.from_arrays([pa.array([len(lines)], pa.int64()), pa.array([content], pa.binary())], names=["records", "content"])
+        path = f"{folder}/{uuid.uuid4().hex}.zip"
+        write_file(path, zip_stored([(DATA, b"".join(parts)), (INDEX, b"".join(lines))]))
+        return pa.RecordBatch.from_arrays([pa.array([len(lines)], pa.int64()), pa.array([path])], names=["records", "path"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, parts, at, held = [], [], 0, 0
@@ -213,11 +255,11 @@ def pack(pages: DataFrame, archive_bytes: int = 16 << 20, level: int = 4) -> Dat
         if lines:
             yield close(lines, parts)
 
-    return pages.mapInArrow(run, "records long, content binary")
+    return written(pages.mapInArrow(run, "records long, path string"), "warc-archives")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Every record of archives (content): page_id, url, record_type, refers_to, payload_bytes,
+    """Every record of archives (path): page_id, url, record_type, refers_to, payload_bytes,
     payload_digest, payload (null for revisits). Digests of responses are made from the payload."""
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
@@ -239,9 +281,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column("content"):
+            for path in b.column("path").to_pylist():
+                source = FileSource(path)
                 held, n = [], 0
-                for row in rows(ZipReader(BytesSource(content.as_py()))):
+                for row in rows(ZipReader(Window(source))):
                     held.append(row)
                     n += row[4]
                     if n > 4 << 20:
@@ -249,8 +292,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         held, n = [], 0
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+                source.close()
 
-    return archives.mapInArrow(run, schema)
+    # names are small, archives are not: a few of them for each task
+    return archives.select("path").repartition(max(1, min(100_000, -(-archives.count() // 2)))).mapInArrow(run, schema)
 
 
 def dedup(pages: DataFrame, least: int = 100) -> DataFrame:
@@ -271,7 +316,7 @@ def dedup(pages: DataFrame, least: int = 100) -> DataFrame:
 
 
 def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = written(pack(dedup(table(spark, sf_dir, "pages"))), "warc-archives")
+    archives = pack(dedup(table(spark, sf_dir, "pages")))
     return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
