@@ -10,12 +10,14 @@ so a stored distance bounds a score from above without touching the vector. Node
 queue by their bound; search ends when no bound reaches the k-th score so far.
 
 The stated query set meets the trees in blocks: every block of queries goes to every group of trees.
-Each tree returns k rows a query, and a window with a partial limit merges them.
+Each group returns k rows a query, and a window with a partial limit merges them. Scores are integers:
+where the largest components allow sums beyond 2^53, they are made in Python's integers instead.
 
 Edge cases: vectors null, or with null or non-finite components, take no part; shorter vectors are
 padded with zeros; candidates that carry the query's own vec_id are left out (also repeated rows), and
 a repeated query row gives one answer; ties go to the smaller vec_id; fewer candidates than k give all;
-an empty table gives an empty table; rows with a null vec_id take no part; other columns are ignored.
+an empty table gives an empty table; rows with a null vec_id take no part; a component of 2^42 or more and
+a score beyond 64 bits raise an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gabbro.llm.common import written
 from gabbro.tables import table
 
-LEAF, FANOUT = 64, 16
+LEAF, FANOUT = 256, 16
+EXACT = 1 << 53  # integers that float64 holds; sums of products below it are exact in any order
 
 
 def build(ids: np.ndarray, x: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
@@ -85,66 +88,118 @@ def build(ids: np.ndarray, x: np.ndarray, seed: int = 7) -> dict[str, np.ndarray
     return {"nodes": table_, "routing": x[table_[:, 0].astype(np.int64)], "ids": ids[flat], "x": x[flat], "norm": norm[flat], "dist": dist}
 
 
-def search(tree: dict[str, np.ndarray], q_id: int, q: np.ndarray, k: int, stats: dict | None = None) -> list[tuple[int, int]]:
-    """The k best (score, vec_id) of a tree for a query, by falling score and rising id."""
-    nodes, routing = tree["nodes"], tree["routing"]
-    if not len(nodes):
+class Forest:
+    """Trees of one part, as one set of arrays: each tree is converted once, all are searched as one."""
+
+    def __init__(self, trees: list[dict[str, np.ndarray]]):
+        dims = max((t["x"].shape[1] for t in trees), default=0)
+        nodes, rows = [t["nodes"].copy() for t in trees], 0
+        self.roots, at = [], 0
+        for t, n in zip(trees, nodes):
+            n[n[:, 4] > 0, 3] += at
+            n[n[:, 6] > 0, 5] += rows
+            if len(n):
+                self.roots.append(at)
+            at += len(n)
+            rows += len(t["ids"])
+        put = lambda name: np.concatenate([padded(t[name], dims) for t in trees]) if trees else np.zeros((0, dims))
+        flat = lambda name: np.concatenate([t[name] for t in trees]) if trees else np.zeros(0)
+        self.nodes = np.concatenate(nodes) if nodes else np.zeros((0, 8))
+        self.whole, self.routing = put("x"), put("routing").astype(np.float64)
+        self.x = self.whole.astype(np.float64)
+        self.ids, self.norm, self.dist = flat("ids"), flat("norm"), flat("dist")
+        self.routing_norm = np.einsum("ij,ij->i", self.routing, self.routing)
+        self.longest = max(1, int(np.abs(self.whole).max())) if self.whole.size else 1
+
+    def scores(self, rows: np.ndarray, q: np.ndarray, whole: np.ndarray, exact: bool) -> np.ndarray:
+        """Inner products as integers: in floating point where that is exact, else in Python's integers."""
+        if exact:
+            return (self.x[rows] @ q).astype(np.int64)
+        out = [sum(a * b for a, b in zip(x, whole.tolist())) for x in self.whole[rows].tolist()]
+        if any(not -(1 << 63) <= s < 1 << 63 for s in out):
+            raise OverflowError("a score does not fit 64 bits")
+        return np.array(out, np.int64)
+
+
+def search(forest: Forest | dict, q_id: int, q: np.ndarray, k: int, stats: dict | None = None) -> list[tuple[int, int]]:
+    """The k best (score, vec_id) of a forest for a query of integers, by falling score and rising id."""
+    if isinstance(forest, dict):
+        forest = Forest([forest])
+    nodes, routing = forest.nodes, forest.routing
+    if not forest.roots:
         return []
-    qq = float(q @ q)
-    margin = 1e-6 * (qq + 1) + 0.25  # scores are whole; bounds carry rounding errors
+    whole = np.asarray(q).astype(np.int64)
+    whole = padded(whole, max(len(whole), routing.shape[1]))
+    if len(whole) > routing.shape[1]:  # components that no vector has count for the query's length only
+        rest, whole = whole[routing.shape[1] :].astype(np.float64), whole[: routing.shape[1]]
+    else:
+        rest = np.zeros(0)
+    q = whole.astype(np.float64)
+    exact = len(q) * forest.longest * max(1, int(np.abs(whole).max(initial=0))) < EXACT
+    qq = float(q @ q) + float(rest @ rest)
+    margin = 1e-6 * (qq + float(nodes[forest.roots, 7].max())) + 0.5  # scores are whole; bounds carry rounding errors
     best: list[tuple[int, int]] = []  # heap of (score, -id), worst first
     seen = 0
 
     def distance(rows) -> np.ndarray:
-        c = routing[rows]
-        return np.sqrt(np.maximum(qq + np.einsum("ij,ij->i", c, c) - 2 * (c @ q), 0))
-
-    def bound(node: np.ndarray, d: np.ndarray) -> np.ndarray:
-        return (qq + node[..., 7] - np.maximum(d - node[..., 1], 0) ** 2) / 2
-
-    d0 = distance(slice(0, 1))
-    queue = [(-float(bound(nodes[0], d0[0])), 0, float(d0[0]))]
+        return np.sqrt(np.maximum(qq + forest.routing_norm[rows] - 2 * (routing[rows] @ q), 0))
+
+    def push(rows: np.ndarray, low: float) -> None:
+        d = distance(rows)
+        n = nodes[rows]
+        ub = (qq + n[:, 7] - np.maximum(d - n[:, 1], 0) ** 2) / 2
+        for u, c, x in zip(ub.tolist(), rows.tolist(), d.tolist()):
+            if u >= low:
+                heapq.heappush(queue, (-u, c, x))
+
+    queue: list[tuple[float, int, float]] = []
+    push(np.array(forest.roots), -np.inf)
     while queue:
         up, at, d = heapq.heappop(queue)
         low = best[0][0] - margin if len(best) == k else -np.inf
         if -up < low:
             break
-        node = nodes[at]
-        if node[4]:
-            a, b = int(node[3]), int(node[3] + node[4])
+        _, _, _, first, kids_, entry, entries, _ = nodes[at].tolist()
+        if kids_:
+            a, b = int(first), int(first + kids_)
             kids = nodes[a:b]
             # first by the stored parent distance alone: d(q, child) >= |d - parent distance|
             quick = (qq + kids[:, 7] - np.maximum(np.abs(d - kids[:, 2]) - kids[:, 1], 0) ** 2) / 2
             keep = np.flatnonzero(quick >= low) + a
             if len(keep):
-                dk = distance(keep)
-                for ub, c, x in zip(bound(nodes[keep], dk).tolist(), keep.tolist(), dk.tolist()):
-                    if ub >= low:
-                        heapq.heappush(queue, (-ub, c, x))
+                push(keep, low)
             continue
-        a, b = int(node[5]), int(node[5] + node[6])
-        keep = a + np.flatnonzero((qq + tree["norm"][a:b] - (d - tree["dist"][a:b]) ** 2) / 2 >= low)
+        a, b = int(entry), int(entry + entries)
+        keep = a + np.flatnonzero((qq + forest.norm[a:b] - (d - forest.dist[a:b]) ** 2) / 2 >= low)
         seen += len(keep)
-        score = tree["x"][keep] @ q
-        for s, i in zip(score.tolist(), tree["ids"][keep].tolist()):
-            if i == q_id:
-                continue
-            item = (int(s), -i)
+        score, ids = forest.scores(keep, q, whole, exact), forest.ids[keep]
+        ok = ids != q_id
+        if len(best) == k:
+            ok &= score >= best[0][0]
+        score, ids = score[ok], ids[ok]
+        if len(score) > k:
+            order = np.lexsort((ids, -score))[:k]
+            score, ids = score[order], ids[order]
+        for s, i in zip(score.tolist(), ids.tolist()):
+            item = (s, -i)
             if len(best) < k:
                 heapq.heappush(best, item)
             elif item > best[0]:
                 heapq.heapreplace(best, item)
     if stats is not None:
         stats["seen"] = stats.get("seen", 0) + seen
-        stats["all"] = stats.get("all", 0) + len(tree["ids"])
+        stats["all"] = stats.get("all", 0) + len(forest.ids)
     return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id, v: floor(1024 x) of each component; rows that take no part are gone."""
+    """vec_id, v: floor(1024 x) of each component; rows that take no part are gone. Components of 2^52 or
+    more after that raise an error."""
     whole = F.transform(F.col("embedding"), lambda x: F.floor(x.cast("double") * 1024).cast("long"))
     fine = F.col("embedding").isNotNull() & F.forall(F.col("embedding"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vectors.filter(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
+    huge = F.exists(F.col("embedding"), lambda x: F.abs(x.cast("double")) >= F.lit(2.0**42))
+    v = F.when(huge, F.raise_error(F.lit("a component of an embedding is 2^42 or more")).cast("array<long>")).otherwise(whole)
+    return vectors.filter(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
 def matrix(col: pa.Array) -> np.ndarray:
@@ -225,33 +280,36 @@ def query_blocks(queries: DataFrame, rows: int = 256) -> DataFrame:
     return queries.dropDuplicates(["vec_id"]).mapInArrow(run, "queries binary")
 
 
-def top_k(trees: DataFrame, queries: DataFrame, k: int = 10, groups: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score. Blocks of queries are sent once to each group of trees."""
+def top_k(trees: DataFrame, queries: DataFrame, k: int = 10, groups: int | None = None, trees_a_group: int = 32) -> DataFrame:
+    """query_id, rank, vec_id, score. Trees are dealt to groups, at most about trees_a_group each: a task
+    holds the trees of its groups one group at a time and answers the blocks of queries as they stream by,
+    a query's best of one tree bounding the search in the next. Every block goes to each group once."""
     spark = trees.sparkSession
-    groups = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    left = trees.select(F.pmod(F.xxhash64("tree"), F.lit(groups)).alias("part"), "content")
-    right = query_blocks(queries).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("part"), "queries")
+    if groups is None:
+        n = trees.count()
+        groups = max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // trees_a_group))))
+    left = trees.select(F.pmod(F.xxhash64("tree"), F.lit(groups)).cast("int").alias("part"), F.lit(0).alias("turn"), "content")
+    right = query_blocks(queries).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(1).alias("turn"), F.col("queries").alias("content"))
     schema = "query_id long, vec_id long, score long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = tree = None
+        now, held, forest = None, [], None
         for b in batches:
-            for raw, asked in zip(b.column("content"), b.column("queries")):
-                raw = raw.as_py()
-                if raw != last:
-                    last, tree = raw, from_blob(raw)
-                q = from_blob(asked.as_py())
-                dims = max(tree["x"].shape[1], q["x"].shape[1])
-                t = tree | {n: padded(tree[n].astype(np.float64), dims) for n in ("x", "routing")}
-                out = []
-                for i, v in zip(q["ids"].tolist(), padded(q["x"].astype(np.float64), dims)):
-                    out += [(i, x, s) for s, x in search(t, i, v, k)]
+            for part, turn, raw in zip(b.column("part").to_pylist(), b.column("turn").to_pylist(), b.column("content")):
+                if part != now:
+                    now, held, forest = part, [], None
+                if turn == 0:
+                    held.append(from_blob(raw.as_py()))
+                    continue
+                if forest is None:
+                    forest, held = Forest(held), []
+                q = from_blob(raw.as_py())
+                out = [(i, x, s) for i, v in zip(q["ids"].tolist(), q["x"]) for s, x in search(forest, i, v, k)]
                 cols = list(zip(*out)) or [()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
-    from pyspark.sql import Window
-
-    found = left.hint("shuffle_hash").join(right, "part").select("content", "queries").mapInArrow(run, schema)
+    dealt = left.unionByName(right).repartition(groups, "part").sortWithinPartitions("part", "turn")
+    found = dealt.mapInArrow(run, schema)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
