@@ -5,14 +5,17 @@ labelled with tokens: at first one state loops on every symbol; the gadget of a
 gives the target of u's arcs its own copy without the v arc, and adds a w arc wherever u's arc and
 then v's was possible. A sequence of tokens is the BPE encoding of its string exactly if it is a path.
 
-Explicit rows of that table would take states x tokens bits (hundreds of MB for 49,000 merges), so the
-gadgets are kept factored and rows are filled as words ask for them. A state is "the last token was
-u"; a gadget (u, v) at time j took v from all states that were targets of u then. Tokens made later
-inherit: the target of w = (u, v) is v's target at w's time, and the arcs of w are u's at w's time.
-So w may follow u exactly if no gadget (y, x), at a time j, has y on the right spine of u and x on
-the left spine of w, each before its parent on the spine was made (`Automaton.follows`; its answers
-are kept in the transition table). In a gadget of (u, u) the arc goes before w's arcs are added, so
-no w = (u, u) starts right after a u.
+A state is "the last token was u"; a gadget (u, v) at time j took v from all states that were targets of
+u then. Tokens made later inherit: the target of w = (u, v) is v's target at w's time, and the arcs of w
+are u's at w's time. So w may follow u exactly if no gadget (y, x), at a time j, has y on the right spine
+of u and x on the left spine of w, each before its parent on the spine was made. In a gadget of (u, u)
+the arc goes before w's arcs are added, so no w = (u, u) starts right after a u.
+
+Explicit rows of that table would take states x tokens bits (hundreds of MB for 49,000 merges), so rows
+are compressed, all of them when the automaton is compiled. Tokens are numbered along their left
+derivation: x, then what begins with x by the time it was made. What a gadget (y, x) takes from a state
+is then x itself and one run of numbers behind it: the tokens made from x at j or later. A row is the
+sorted list of its runs of missing arcs; a transition is one binary search in it.
 
 A word is encoded by walking the tokens' prefixes from positions that the automaton has reached, long
 arcs first: a prefix of the word has one path only, so a position has one state, is expanded once, and
@@ -25,6 +28,8 @@ table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import array
+import bisect
 import functools
 import hashlib
 import json
@@ -33,6 +38,7 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,57 +63,84 @@ def byte_symbols() -> list[str]:
 
 
 class Automaton:
-    """The automaton of a merge list over an alphabet of symbols (strings)."""
+    """The automaton of a merge list over an alphabet of symbols (strings). Tokens in `last` end a word:
+    they have no arcs and no rows."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], last: frozenset[int] = frozenset()):
         self.ids = vocab
         self.label = {i: t for t, i in vocab.items()}
-        self.gadget: dict[int, int] = {}  # u and v as one number -> time
+        size = max(vocab.values(), default=-1) + 1
+        gadgets: dict[int, dict[int, int]] = {}  # u -> v -> time
         made: dict[int, tuple[int, int, int]] = {}  # token -> (u, v, time)
         for time, (a, b) in enumerate(merges):
             u, v = vocab[a], vocab[b]
-            self.gadget.setdefault(u << 32 | v, time)
+            gadgets.setdefault(u, {}).setdefault(v, time)
             made.setdefault(vocab[a + b], (u, v, time))
-        self.left = {w: self._spine(w, made, 0) for w in vocab.values()}
-        self.right = {w: self._spine(w, made, 1) for w in vocab.values()}
-        self.table: dict[int, dict[int, bool]] = {}
-
-    @staticmethod
-    def _spine(w: int, made: dict, side: int) -> list[tuple[int, int]]:
-        """w, its outer part on that side, that one's, ...: each with the time its parent was made."""
-        out, until = [(w, 1 << 60)], 1 << 60
-        while w in made:
-            *parts, until = made[w]
-            w = parts[side]
-            out.append((w, until))
-        return out
+        # numbers along the left derivation: a token, then those made from it in order of time
+        longer: dict[int, list[int]] = {}
+        for w, (u, _, _) in made.items():  # merges come in order of time
+            longer.setdefault(u, []).append(w)
+        self.number, behind = [0] * size, [0] * size
+        todo, at = [(i, False) for i in sorted(vocab.values(), reverse=True) if i not in made], 0
+        while todo:
+            w, done = todo.pop()
+            if done:
+                behind[w] = at
+                continue
+            self.number[w] = at
+            at += 1
+            todo.append((w, True))
+            todo += [(c, False) for c in reversed(longer.get(w, ()))]
+        born = {u: [made[c][2] for c in cs] for u, cs in longer.items()}
+        # what each gadget of u takes, in order of time: v, and the tokens made from v since
+        taken: dict[int, tuple[list[int], np.ndarray]] = {}
+        for u, vs in gadgets.items():
+            rows = []
+            for v, time in sorted(vs.items(), key=lambda x: x[1]):
+                k = bisect.bisect_left(born.get(v, ()), time)
+                later = self.number[longer[v][k]] if k < len(longer.get(v, ())) else behind[v]
+                rows.append((self.number[v], self.number[v] + 1, later, behind[v]))
+            taken[u] = (sorted(vs.values()), np.array(rows, np.int64))
+        # a state's row: what the gadgets on its token's right spine took, each before its parent was made
+        state, parts = [], []
+        for u in vocab.values():
+            if u in last:
+                continue
+            y, until = u, 1 << 60
+            while True:
+                if y in taken:
+                    k = bisect.bisect_left(taken[y][0], until)
+                    if k:
+                        state.append((u, 2 * k))
+                        parts.append(taken[y][1][:k].reshape(-1, 2))
+                if y not in made:
+                    break
+                _, y, until = made[y]
+        runs = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+        of = np.repeat(np.array([u for u, _ in state], np.int64), np.array([n for _, n in state], np.int64)) if state else np.zeros(0, np.int64)
+        keep = runs[:, 0] < runs[:, 1]
+        wide = at + 1  # rows one after another: runs of different states never touch
+        low, high = runs[keep, 0] + of[keep] * wide, runs[keep, 1] + of[keep] * wide
+        order = np.argsort(low, kind="stable")
+        low, high = low[order], np.maximum.accumulate(high[order]) if len(order) else high
+        new = np.concatenate([[True], low[1:] > high[:-1]]) if len(low) else np.zeros(0, bool)
+        end = np.append(np.flatnonzero(new)[1:], len(low)) - 1
+        self.wide = wide
+        self.low, self.high = array.array("q", low[new].tobytes()), array.array("q", high[end].tobytes() if len(low) else b"")
+        self.begin = np.searchsorted(low[new], np.arange(size + 1) * wide, "left").tolist()
 
     def follows(self, u: int, w: int) -> bool:
-        """Whether the state after token u has an arc labelled w."""
-        row = self.table.get(u)
-        if row is None:
-            row = self.table[u] = {}
-        known = row.get(w)
-        if known is None:
-            known = row[w] = self._arc(u, w)
-        return known
-
-    def _arc(self, u: int, w: int) -> bool:
-        time_of, left = self.gadget.get, self.left[w]
-        for y, y_until in self.right[u]:
-            y <<= 32
-            for x, x_until in left:
-                time = time_of(y | x)
-                # a gadget (u, u) leaves no u arc to build w = (u, u) on after u: hence <= for x
-                if time is not None and time < y_until and time <= x_until:
-                    return False
-        return True
+        """Whether the state after token u has an arc labelled w: a look into the state's row."""
+        a = self.begin[u]
+        at = self.number[w] + u * self.wide
+        k = bisect.bisect_right(self.low, at, a, self.begin[u + 1]) - 1
+        return k < a or at >= self.high[k]
 
 
 class Encoder:
     """Pre-split words to token ids, for a vocabulary whose last symbol of a word carries a suffix."""
 
-    #: Words and table rows kept; beyond these the tables start anew (bounded memory, same results).
+    #: Words kept; beyond these the word table starts anew (bounded memory, same results).
     KEEP = 300_000
 
     def __init__(self, path: str):
@@ -116,7 +149,7 @@ class Encoder:
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.auto = Automaton(model["vocab"], merges)
+        self.auto = Automaton(model["vocab"], merges, frozenset(i for t, i in model["vocab"].items() if t.endswith(self.suffix)))
         self.symbol = byte_symbols()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -185,7 +218,6 @@ class Encoder:
             self.labels_of.clear()
             self.labels_of.update({s: s for s in self.special})
             self.ids_of.update({s: str(i) for s, i in self.special.items()})
-            self.auto.table.clear()
         if not (self.cut and "<|" in text):
             return self.split(normalized(text))
         return [w for k, part in enumerate(self.cut.split(text)) for w in ([part] if k % 2 else self.split(normalized(part)))]
@@ -217,10 +249,14 @@ def unicode_tables() -> tuple[dict[str, list[tuple[int, int]]], dict[int, int]]:
 
 
 def width(text: str) -> int:
-    """The largest code point that a string of this one's memory layout can hold. (A string that also
-    keeps its UTF-8 is taken for a wider one, which gives the same results more slowly.)"""
-    size, n = sys.getsizeof(text), len(text)
-    return 0xFF if size <= n + 57 else 0xFFFF if size <= 2 * n + 58 else sys.maxunicode
+    """A bound of the string's code points: one, two bytes, or any."""
+    if text.isascii():
+        return 0xFF
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return 0xFFFF if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else sys.maxunicode
+    return 0xFF
 
 
 def python_pattern(pattern: str, top: int = sys.maxunicode) -> str:
