@@ -9,8 +9,9 @@ are. At most p documents, and a dozen kept out of the flight, stay undecided in
 fly again together, level by level, until a source has one last cell, whose landing picks the best of
 all outcomes of the dozen or so that are left.
 
-Cells hold a bounded number of documents by hash, so a source with a third of all rows flies in many
-tasks at once. Random numbers come from a seed and the cell: reruns agree.
+Cells hold a bounded number of documents by hash of id and text, so a source with a third of all rows
+flies in many tasks at once, whether its rows have ids of their own or not. Random numbers come from a
+seed and the cell: reruns agree.
 
 Edge cases: null text = size 0 (such documents are decided like others and take nothing); a null
 source is a source of its own, last in order; a source without words has target 0; repeated rows are
@@ -82,16 +83,18 @@ def land(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the whole text)."""
+    """doc_id, source, size (words of the whole text), mark (a hash of the text: rows that agree in id and
+    mark are alike, others are dealt apart)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", 8 << 20):
                 n = word_counts(*flat_utf8(b.column("text")))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("source"), pa.array(n, pa.int64())], names=["doc_id", "source", "size"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("source"), pa.array(n, pa.int64()), b.column("mark")], names=["doc_id", "source", "size", "mark"])
 
-    typed = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return typed.mapInArrow(run, "doc_id long, source string, size long")
+    text = F.col("text").cast("string")
+    typed = docs.select("doc_id", F.col("source").cast("string").alias("source"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    return typed.mapInArrow(run, "doc_id long, source string, size long, mark long")
 
 
 def targets(by_source: DataFrame) -> DataFrame:
@@ -118,15 +121,15 @@ def targets(by_source: DataFrame) -> DataFrame:
 
 
 def choose(units: DataFrame, seed: int = 1, cell: int = CELL) -> DataFrame:
-    """units (doc_id, stratum, n, size, p, copies), n being the stratum's documents, with p decided to
+    """units (doc_id, mark, stratum, n, size, p, copies), n being the stratum's documents, with p decided to
     0 or 1. n documents leave RESERVE + 2 a cell undecided, so three levels of cells end with one cell
     a stratum, of about (14 / 4096)^2 n units, which lands."""
-    schema = "doc_id long, stratum int, n long, size long, p double, copies int"
+    schema = "doc_id long, mark long, stratum int, n long, size long, p double, copies int"
 
     def fly(last: bool, level: int):
         def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-            # rows that agree in doc_id and size are alike, so this order makes reruns agree
-            t = t.sort_by([("doc_id", "ascending"), ("size", "ascending"), ("p", "ascending")])
+            # rows that agree in doc_id and mark are alike, so this order makes reruns agree
+            t = t.sort_by([("doc_id", "ascending"), ("mark", "ascending"), ("p", "ascending")])
             rng = np.random.default_rng([seed, level, zlib.crc32(repr([k.as_py() for k in key]).encode())])
             t = t.take(rng.permutation(t.num_rows))
             p = t["p"].to_numpy().copy()
@@ -142,7 +145,7 @@ def choose(units: DataFrame, seed: int = 1, cell: int = CELL) -> DataFrame:
     decided, now, cells = [], units, F.greatest(F.lit(1), F.ceil(F.col("n") / cell))
     for level in range(3):
         last = level == 2
-        at = F.lit(0).cast("long") if last else F.pmod(F.xxhash64("doc_id", F.lit(level)), cells)
+        at = F.lit(0).cast("long") if last else F.pmod(F.xxhash64("doc_id", "mark", F.lit(level)), cells)
         flown = now.select(*schema_names, at.alias("cell")).groupBy("stratum", "cell").applyInArrow(fly(last, level), schema)
         flown = written(flown, f"cube-{level}")
         if last:
@@ -155,7 +158,7 @@ def choose(units: DataFrame, seed: int = 1, cell: int = CELL) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (0, 1 or 2 whole copies), taken."""
+    """doc_id, source, size, source_size, target, copies (0, 1 or 2 whole copies), taken, mark."""
     sized = written(sizes(docs), "mix-sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     first = Window.partitionBy(F.lit(1)).orderBy(F.col("source").asc_nulls_last())
@@ -164,18 +167,22 @@ def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     # a row for each source: its file is small enough for a broadcast, or else skewed sources are split
     joined = sized.join(goal.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     joined = joined.withColumn("rate", F.least(F.lit(MOST), F.round(rate, 12))).withColumn("copies", F.floor("rate").cast("int"))
-    units = joined.select("doc_id", "stratum", "n", "size", (F.col("rate") - F.col("copies")).alias("p"), "copies")
-    picked = choose(units, seed).select("doc_id", "stratum", "size", (F.col("copies") + F.round("p").cast("int")).alias("copies"))
-    return picked.join(goal.drop("n"), "stratum").select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    units = joined.select("doc_id", "mark", "stratum", "n", "size", (F.col("rate") - F.col("copies")).alias("p"), "copies")
+    picked = choose(units, seed).select("doc_id", "mark", "stratum", "size", (F.col("copies") + F.round("p").cast("int")).alias("copies"))
+    return picked.join(goal.drop("n"), "stratum").select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "mark")
 
 
 def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The documents as the mix takes them, all columns kept: a document taken twice is two rows, one
-    taken not at all is gone. Rows that share a doc_id share its copies: each gets their rounded mean,
-    so give documents unique ids first (near-duplicate stages do)."""
-    copies = mix(docs, seed).groupBy(F.col("doc_id").alias("mix_id")).agg(F.round(F.avg("copies")).cast("int").alias("mix_copies"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mix_id"]))
-    out = joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col("mix_copies"))).alias("mix_copy"))
+    taken not at all is gone. Rows that agree in id, source and text share their copies: each gets the
+    rounded mean."""
+    keys = ["mix_id", "mix_mark", "mix_source"]
+    copies = mix(docs, seed).groupBy(F.col("doc_id").alias("mix_id"), F.col("mark").alias("mix_mark"), F.col("source").alias("mix_source")).agg(F.round(F.avg("copies")).cast("int").alias("mix_copies"))
+    own = (F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")), F.col("source").cast("string"))
+    same = F.lit(True)
+    for c, k in zip(own, keys):
+        same = same & c.eqNullSafe(F.col(k))
+    out = docs.join(copies, same).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col("mix_copies"))).alias("mix_copy"))
     return out.filter("mix_copy > 0").drop("mix_copy")
 
 
