@@ -11,7 +11,7 @@ everything else covers all documents. Labels come only from rows with crc32(doc_
 
 Edge cases: null text = empty; an empty text has all statistics 0 and is scored like any other; a
 document without label is scored, a label without document or with null quality is ignored, and of
-labels that contradict each other the mean is learned; fewer than LEAST labelled rows, or one class only,
+labels that contradict each other the mean is learned; of rows that share a labelled id one is learned from; fewer than LEAST labelled rows, or one class only,
 fit no tree and give the share of ones (0.5 without any) as every score, and keep_good then rejects
 nothing; a null doc_id is not held out; an empty table gives an empty table; other columns are ignored.
 """
@@ -169,7 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Fores
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_labelled)
     # at most max_labelled rows of two numbers: a proven bound for the broadcast
     rows = text_columns(docs, "doc_id", "text").join(F.broadcast(known), "doc_id")
-    got = rows.mapInArrow(_features("y"), "doc_id long, y double, x array<double>").orderBy("doc_id", "y").toArrow()
+    # of rows that share a labelled id one counts, the same in every run: so max_labelled bounds what is collected
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text").isNull())).alias("text"))
+    got = rows.mapInArrow(_features("y"), "doc_id long, y double, x array<double>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     y = got["y"].to_numpy()
     x = np.array(got["x"].to_pylist()).reshape(len(y), len(NAMES))
     return fit(x, y, s)
