@@ -128,4 +128,28 @@ def op5_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_compression_rules": op5_compression_rules}
+def quality_rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns and the base verdict alone, which SQL can express."""
+    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES = {"op5_compression_rules": op5_compression_rules, "quality_rules_base": quality_rules_base}
+ORACLE_SQL = {
+    "quality_rules_base": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), b AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w
+), g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS win FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 3)) AS i)
+), r AS (
+  SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1
+), h AS (
+  SELECT doc_id, count(DISTINCT i + j)::BIGINT AS n FROM r, (SELECT unnest(range(0, 5)) AS j) GROUP BY doc_id
+)
+SELECT b.doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(h.n, 0) AS n_repeat_words,
+  n_words < 10 OR 100 * coalesce(h.n, 0) > 20 * n_words AS base_failed
+FROM b LEFT JOIN h ON b.doc_id = h.doc_id
+"""
+}
