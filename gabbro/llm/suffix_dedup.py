@@ -5,20 +5,21 @@ A byte goes if it lies in a string of L bytes that also starts in a document wit
 Sorting every suffix of a corpus in one order needs many times the corpus in shuffles, so suffixes are
 sorted where a repeat is possible. Of each L-byte window the K-gram with the smallest hash is its anchor:
 equal windows have equal anchors at equal places, so only contexts (the L + L - K bytes that windows
-with this anchor can cover) of anchors that occur in two documents can hold a repeat. Of equal contexts
-the one in the smallest document stands for all: the others lose all their windows. What is left are
-different contexts of one anchor. Their texts are dealt to shards by anchor, and every shard is sorted
-by external induced sorting (induced_sort). In the suffix array, neighbours that agree in L bytes are
-one string, whose smallest document is known then.
-
-Blocks are packed runs of documents, some MB each. A block sends sorted lists and can make them again,
-so answers are a bit or two an entry. All tables between the steps are written, so a lost executor
-repeats one step. A passage that a third of all documents share is one row for each block; at its
-edges contexts differ in each document. The windows of anchors that many documents or many places of a
-block have are therefore told by their own content: equal ones have one hash, so none of their texts is
-sorted. An anchor that is left has less than HOT blocks with less than HOT places in each, which bounds
-the contexts in a shard; its suffix array is made in memory, and the sort's queues stay below the size
-from which they spill.
+with this anchor can cover) of anchors that occur in two documents can hold a repeat. Their texts are
+dealt to buckets by anchor. Contexts equal byte by byte are one, that of their smallest document, and
+the others lose all their windows. What is left of an anchor are different contexts; they go to a shard
+that is sorted by external induced sorting (induced_sort). Suffixes that have L bytes in common with
+their neighbours are one string, whose smallest document is known then.
+
+Blocks are packed runs of documents, some MB each. A block sends a context once, whatever the number of
+its documents that have it, and can make its lists again, so answers name nothing. All tables between
+the steps are written, so a lost executor repeats one step. A passage that a third of all documents
+share is one row for each block; at its edges contexts differ in each document. So anchors are counted
+with a sketch of their contexts: where many documents, or many places of a block, have an anchor in
+different contexts, its windows are dealt by their own content, each one a context that is equal to
+others or alone. An anchor that is left is in less than HOT documents, or its contexts agree in the
+sketch, and so are equal but for chance. A shard is whole anchors of about
+SHARD bytes; the sort's queues and sorted runs go to files beyond SORT entries.
 
 Edge cases: null text = no bytes; a null doc_id counts as larger than all others; rows that share a
 doc_id don't remove from each other; documents shorter than L lose nothing; repeats within one document
@@ -36,33 +37,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gabbro.llm.common import flat_utf8, mix64, slices, written
-from gabbro.llm.induced_sort import suffix_array
+from gabbro.llm.common import flat_utf8, mix64, release, slices, written
+from gabbro.llm.induced_sort import Stats, sorted_suffixes
 from gabbro.tables import table
 
-L, K = 50, 26
+L, K = 50, 20
 W = L - K + 1  # K-grams of a window
+EVERY = np.int32((1 << W) - 1)  # a bit a window: W is 31 at most
 NO_ID = np.iinfo(np.int64).max
 HOT = 256  # documents, as estimated from blocks, or places in one block
 BLOCK = 4 << 20
+BUCKET = 16 << 20  # bytes of the corpus whose contexts meet in one task
 SHARD = 1 << 20  # bytes of contexts in one suffix array, unless one key alone has more
+SORT = 1 << 18  # entries that the sort's queues hold in memory
 CHUNK = 1 << 18  # bytes hashed at once: the arrays stay in cache
 
 _RNG = np.random.default_rng(20240229)
-LUT = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
+LUT = _RNG.integers(0, 1 << 32, 256, dtype=np.uint32)
 ODD = _RNG.integers(0, 1 << 64, 16, dtype=np.uint64) | np.uint64(1)
+ODD32 = ODD.astype(np.uint32)
+#: The lowest bits of an anchor's key: a class of how many documents (three), a sketch of the contexts (five).
+LOW, CLASS, MIXED = np.uint64(255), np.uint64(7), np.uint64(31)
+#: Where the classes begin, by documents of a block; the last class: HOT places or more. At most so many each.
+CLASSES = (2, 4, 8, 16, 32, 64)
+AT_MOST = np.array([1, 3, 7, 15, 31, 63, HOT - 1, HOT])
 
 
 def gram_hash(a: np.ndarray) -> np.ndarray:
-    """A hash of each K-gram of bytes a."""
+    """A hash of each K-gram of bytes a, to choose anchors by."""
     n = len(a) - K + 1
     with np.errstate(over="ignore"):
         h1 = LUT[a]
-        h2 = h1[:-1] * ODD[0] + h1[1:]
-        h4 = h2[:-2] * ODD[1] + h2[2:]
-        h8 = h4[:-4] * ODD[2] + h4[4:]
-        h16 = h8[:-8] * ODD[3] + h8[8:]
-        return mix64(h16[:n] * ODD[4] + h8[16 : 16 + n] * ODD[5] + h2[24 : 24 + n])
+        h2 = h1[:-1] * ODD32[0] + h1[1:]
+        h4 = h2[:-2] * ODD32[1] + h2[2:]
+        h8 = h4[:-4] * ODD32[2] + h4[4:]
+        h16 = h8[:-8] * ODD32[3] + h8[8:]
+        h = h16[:n] * ODD32[4] + h4[16 : 16 + n] * ODD32[5]
+        h ^= h >> np.uint32(16)
+        h *= np.uint32(0x7FEB352D)
+        h ^= h >> np.uint32(15)
+        return h
 
 
 def sliding(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -87,14 +101,12 @@ def anchors(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
             continue
         h = gram_hash(a)
         least = sliding(h, W, np.minimum)
-        if len(cut) > 2:
-            doc = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-            least = np.where(doc[: len(least)] == doc[L - 1 : L - 1 + len(least)], least, 0)
+        # windows across documents choose nothing
+        for edge in cut[1:-1].tolist():
+            least[max(0, edge - L + 1) : edge] = 0
         # a K-gram is an anchor if a window that holds it has it as least
-        side = np.concatenate([np.zeros(W - 1, np.uint64), least, np.zeros(len(h) - len(least), np.uint64)])
-        most = sliding(side, W, np.maximum)
-        at = np.flatnonzero(most == h)
-        mask[base + at] = True
+        side = np.concatenate([np.zeros(W - 1, np.uint32), least, np.zeros(len(h) - len(least), np.uint32)])
+        mask[base : base + len(h)] = sliding(side, W, np.maximum) == h
     return mask
 
 
@@ -103,7 +115,7 @@ def pack_block(ids: np.ndarray, flat: np.ndarray, off: np.ndarray) -> bytes:
 
     out = io.BytesIO()
     np.savez(out, ids=ids, off=off, flat=flat, mask=np.packbits(anchors(flat, off)))
-    return zstandard.ZstdCompressor(level=3).compress(out.getvalue())
+    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
 
 
 class Block:
@@ -114,64 +126,95 @@ class Block:
 
         v = np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(raw)))
         self.ids, self.off, self.flat = v["ids"], v["off"], v["flat"]
-        self.pos = np.flatnonzero(np.unpackbits(v["mask"], count=len(self.flat)))
-        self.doc = np.searchsorted(self.off, self.pos, "right") - 1
-        self.padded = np.concatenate([self.flat, np.zeros(2 * L, np.uint8)])
+        pos = np.flatnonzero(np.unpackbits(v["mask"], count=len(self.flat)))
+        doc = np.searchsorted(self.off, pos, "right") - 1
+        # windows that hold the anchor begin in [low, high]
+        low, high = pos - np.minimum(W - 1, pos - self.off[doc]), pos - np.maximum(0, pos + L - self.off[doc + 1])
+        fits = low <= high
+        self.pos, self.doc, self.low, self.high = pos[fits], doc[fits], low[fits], high[fits]
+        self.words = words_of(self.flat)
 
     def keys(self) -> np.ndarray:
-        """Hash of each anchor, the two lowest bits free."""
-        return bytes_hash(self.padded, self.pos, np.full(len(self.pos), K)) & ~np.uint64(3)
+        """Hash of each anchor, the LOW bits free."""
+        return hashed(gathered(self.words, self.pos, (0, 8, K - 8))) & ~LOW
+
+    def sketches(self) -> np.ndarray:
+        """Some bits of each anchor's context; MIXED is left for several."""
+        return contexts_hash(self.words, self.low, self.high - self.low + L) % MIXED
 
     def records(self, shared: np.ndarray, hot: np.ndarray, keys: np.ndarray) -> dict[str, np.ndarray]:
         """Contexts of shared anchors, a row for each: begin, size, doc, the shard's key and a hash. The
         windows of hot anchors are contexts of their own, each once, with their own content as key."""
-
-        def reach(which: np.ndarray) -> tuple[np.ndarray, ...]:
-            pos, doc = self.pos[which], self.doc[which]
-            o2 = np.minimum(W - 1, pos - self.off[doc])
-            o1 = np.maximum(0, pos + L - self.off[doc + 1])
-            fits = o1 <= o2
-            return (pos - o2)[fits], (pos - o1)[fits], doc[fits], keys[which][fits]
-
-        begin, last, doc, key = reach(shared & ~hot)
-        size = last - begin + L
-        low, high, _, _ = reach(shared & hot)
+        cold = shared & ~hot
+        begin, doc, key = self.low[cold], self.doc[cold], keys[cold]
+        size = self.high[cold] - begin + L
+        low, high = self.low[shared & hot], self.high[shared & hot]
         if len(low):
             n = len(self.flat) + 1
             single = np.flatnonzero(np.cumsum(np.bincount(low, minlength=n) - np.bincount(high + 1, minlength=n)) > 0)
             begin, size = np.concatenate([begin, single]), np.concatenate([size, np.full(len(single), L)])
             doc = np.concatenate([doc, np.searchsorted(self.off, single, "right") - 1])
-        h = bytes_hash(self.padded, begin, size)
-        return {"begin": begin, "size": size, "doc": self.ids[doc], "key": np.concatenate([key, h[len(key) :]]), "hash": h}
+        h = contexts_hash(self.words, begin, size)
+        return {"begin": begin, "size": size, "doc": self.ids[doc], "key": np.concatenate([key, h[len(key) :] & ~LOW]), "hash": h}
 
 
-WIDE = 80  # L + W - 1 = 74 bytes at most, in whole words
+def words_of(flat: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place, as rows."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([flat, np.zeros(8, np.uint8)]), 8)
 
 
-def rows_of(padded: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes [begin, begin + size) as rows of WIDE bytes, zero behind their end."""
-    need = begin.max() + WIDE if len(begin) else 0
-    if need > len(padded):
-        padded = np.concatenate([padded, np.zeros(need - len(padded), np.uint8)])
-    x = np.lib.stride_tricks.sliding_window_view(padded, WIDE)[begin] if len(begin) else np.zeros((0, WIDE), np.uint8)
-    return np.where(np.arange(WIDE)[None, :] < size[:, None], x, 0).astype(np.uint8)
+def gathered(words: np.ndarray, begin: np.ndarray, at) -> Iterator[np.ndarray]:
+    """The eight bytes at begin + a for each a, as numbers."""
+    for a in at:
+        yield words[begin + a].view(np.uint64).ravel()
 
 
-def rows_hash(x: np.ndarray, size: np.ndarray) -> np.ndarray:
-    v = np.ascontiguousarray(x).view(np.uint64)
-    with np.errstate(over="ignore"):
-        h = size.astype(np.uint64)
-        for k in range(v.shape[1]):
-            h = mix64(h * ODD[6] + v[:, k])
-    return h
+def context_words(words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """All bytes of contexts of L to L + W - 1 bytes: 48 from the left and 32 from the right end."""
+    yield from gathered(words, begin, range(0, 48, 8))
+    yield from gathered(words, begin + size, range(-32, 0, 8))
 
 
-def bytes_hash(padded: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return np.concatenate([rows_hash(rows_of(padded, begin[i : i + 65536], size[i : i + 65536]), size[i : i + 65536]) for i in range(0, len(begin), 65536)] or [np.zeros(0, np.uint64)])
+def hashed(parts: Iterator[np.ndarray]) -> np.ndarray:
+    h = np.uint64(0)
+    with np.errstate(over="ignore"):
+        for w in parts:
+            h = (h ^ w) * ODD[6]
+            h = h ^ (h >> np.uint64(29))
+    return mix64(h)
+
+
+def contexts_hash(words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    out = np.empty(len(begin), np.uint64)
+    for i in range(0, len(begin), 1 << 16):
+        j = slice(i, i + (1 << 16))
+        out[j] = mix64(hashed(context_words(words, begin[j], size[j])) + size[j].astype(np.uint64))
+    return out
+
+
+def equal_contexts(words: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, of): the contexts that differ, byte by byte, from all others of their key, each the one of its
+    smallest document; and for every context which of them it equals."""
+    h = h.copy()
+    while True:
+        order = np.lexsort((doc, h, key))
+        k, x = key[order], h[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (x[1:] != x[:-1])]) if len(k) else np.zeros(0, bool)
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        first = order[new]
+        more = order[~new]
+        differ = size[more] != size[first[of[more]]]
+        for a, b in zip(context_words(words, begin[more], size[more]), context_words(words, begin[first[of[more]]], size[first[of[more]]])):
+            differ |= a != b
+        if not differ.any():
+            return first, of
+        with np.errstate(over="ignore"):
+            h[more[differ]] = h[more[differ]] * ODD[7] + np.uint64(1)  # texts that only share a hash get another one
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(block, content): runs of documents as packed arrays."""
+    """(block, bytes, content): runs of documents as packed arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -186,7 +229,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(h[2]) for h in held]))]).astype(np.int64)
             turn += 1
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([turn - 1]), pa.array([pack_block(ids, flat, off)], pa.binary())], names=["block", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([turn - 1]), pa.array([len(flat)]), pa.array([pack_block(ids, flat, off)], pa.binary())], names=["block", "bytes", "content"])
 
         for whole in batches:
             for b in slices(whole, "text", BLOCK):
@@ -200,7 +243,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             yield close()
 
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(typed.mapInArrow(run, "block long, content binary"), "suffix-blocks")
+    return written(typed.mapInArrow(run, "block long, bytes long, content binary"), "suffix-blocks")
 
 
 def by_bucket(at: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -212,45 +255,60 @@ def by_bucket(at: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 class Lists:
-    """What a block sends to each bucket, in an order it can make again: answers are then a bit or two
-    for each entry, in that order, and name nothing."""
+    """What a block sends to each bucket, in an order it can make again: answers then follow that order
+    and name nothing."""
 
     def __init__(self, block: Block, buckets: int):
         self.block, self.buckets = block, buckets
         self.keys = block.keys()
-        ids = block.ids[block.doc]
-        order = np.lexsort((ids, self.keys))
-        k, ids = self.keys[order], ids[order]
-        new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-        other = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(k) else new
-        first = np.flatnonzero(new)
-        docs = np.add.reduceat((new | other).astype(np.int64), first) if len(first) else first
-        self.unique = k[first]
-        self.few = np.searchsorted([2, 32], docs, "right").astype(np.uint64)  # a class of how many documents
-        self.few[np.diff(np.concatenate([first, [len(k)]])) >= HOT] = 3  # or of many places
+        self.order = np.argsort(self.keys, kind="stable")
+        k = self.keys[self.order]
+        self.begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        self.unique = k[self.begin]
+
+    def entries(self) -> np.ndarray:
+        """The different anchors, each with its class and sketch."""
+        first = self.begin
+        if not len(first):
+            return self.unique
+        places = np.diff(np.append(first, len(self.order)))
+        ids, sketch = self.block.ids[self.block.doc][self.order], self.block.sketches()[self.order]
+        low, high = np.minimum.reduceat(sketch, first), np.maximum.reduceat(sketch, first)
+        docs = np.ones(len(first), np.int64)
+        several = np.flatnonzero(places > 1)
+        if len(several):
+            at = ranges(first[several], places[several])
+            group = np.repeat(np.arange(len(several)), places[several])
+            by = np.lexsort((ids[at], group))
+            new = np.concatenate([[True], (group[by][1:] != group[by][:-1]) | (ids[at][by][1:] != ids[at][by][:-1])])
+            docs[several] = np.bincount(group[by][new], minlength=len(several))
+        few = np.searchsorted(CLASSES, docs, "right").astype(np.uint64)
+        few[places >= HOT] = CLASS
+        return self.unique | np.where(low == high, low, MIXED) << np.uint64(3) | few
+
+    @property
+    def few(self) -> np.ndarray:
+        """0 for anchors of one document, 1 or 2 for more, 3 for those with HOT places."""
+        return np.searchsorted([1, 5, 7], self.entries() & CLASS, "right")
 
     def first(self) -> Iterator[tuple[int, np.ndarray]]:
         """(bucket, entries) of the anchors."""
-        return by_bucket(((self.unique >> np.uint64(2)) % np.uint64(self.buckets)).astype(np.int64), self.buckets)
+        return by_bucket(((self.unique >> np.uint64(8)) % np.uint64(self.buckets)).astype(np.int64), self.buckets)
 
     def second(self, answers: dict[int, bytes]) -> Iterator[tuple[int, np.ndarray]]:
         """(bucket, entries) of the contexts of shared anchors; fills rec, the contexts of every anchor,
-        and one, the first (of the smallest document) of each different context of a key."""
+        one, the first (of the smallest document) of each different context of a key, and of."""
         shared, hot = np.zeros(len(self.unique), bool), np.zeros(len(self.unique), bool)
         for k, i in self.first():
             if k in answers:
                 bits = np.unpackbits(np.frombuffer(answers[k], np.uint8), count=2 * len(i)).astype(bool)
                 shared[i], hot[i] = bits[::2], bits[1::2]
-        at = np.searchsorted(self.unique, self.keys)
-        self.rec = self.block.records(shared[at], hot[at], self.keys)
+        at = np.empty(len(self.keys), np.int64)
+        at[self.order] = np.repeat(np.arange(len(self.unique)), np.diff(np.append(self.begin, len(self.order))))
+        rec = self.rec = self.block.records(shared[at], hot[at], self.keys)
         # by key too: anchors at several places can have one context, and each key is met by others
-        order = np.lexsort((self.rec["doc"], self.rec["hash"], self.rec["key"]))
-        k, h = self.rec["key"][order], self.rec["hash"][order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
-        self.one = order[new]
-        self.of = np.empty(len(order), np.int64)
-        self.of[order] = np.cumsum(new) - 1
-        return by_bucket(((self.rec["key"][self.one] >> np.uint64(8)) % np.uint64(self.buckets)).astype(np.int64), self.buckets)
+        self.one, self.of = equal_contexts(self.block.words, rec["begin"], rec["size"], rec["key"], rec["doc"], rec["hash"])
+        return by_bucket(((rec["key"][self.one] >> np.uint64(8)) % np.uint64(self.buckets)).astype(np.int64), self.buckets)
 
 
 def shared_anchors(packed: DataFrame, buckets: int) -> DataFrame:
@@ -261,7 +319,7 @@ def shared_anchors(packed: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             for block, raw in zip(b.column("block").to_pylist(), b.column("content")):
                 lists = Lists(Block(raw.as_py()), buckets)
-                entries = lists.unique | lists.few
+                entries = lists.entries()
                 rows = [(k, block, entries[i].tobytes()) for k, i in lists.first()]
                 yield batch(rows, bucket=pa.int64(), block=pa.int64(), keys=pa.binary())
 
@@ -272,15 +330,16 @@ def shared_anchors(packed: DataFrame, buckets: int) -> DataFrame:
             keys += [np.frombuffer(x, np.uint64) for x in b.column("keys").to_pylist()]
         k = np.concatenate(keys)
         order = np.argsort(k, kind="stable")
-        pure, few = k[order] & ~np.uint64(3), (k[order] & np.uint64(3)).astype(np.int64)
+        pure, few, sketch = k[order] & ~LOW, (k[order] & CLASS).astype(np.int64), (k[order] & LOW) >> np.uint64(3)
         new = np.concatenate([[True], pure[1:] != pure[:-1]])
         first = np.flatnonzero(new)
         group = np.cumsum(new) - 1
-        n_blocks = np.diff(np.concatenate([first, [len(k)]]))
-        many = np.add.reduceat(np.array([1, 8, 64, HOT])[few], first)
+        n_blocks = np.diff(np.append(first, len(k)))
+        many = np.add.reduceat(np.minimum(AT_MOST, HOT)[few], first)
+        low, high = np.minimum.reduceat(sketch, first), np.maximum.reduceat(sketch, first)
         bits = np.zeros((len(k), 2), bool)
         bits[order, 0] = ((n_blocks > 1) | (np.maximum.reduceat(few, first) > 0))[group]
-        bits[order, 1] = (many >= HOT)[group]
+        bits[order, 1] = ((many >= HOT) & ((low < high) | (high == MIXED)))[group]
         cut = np.cumsum([0, *map(len, keys)])
         yield batch([(n, key[0].as_py(), np.packbits(bits[i:j].ravel()).tobytes()) for n, i, j in zip(names, cut, cut[1:])], block=pa.int64(), bucket=pa.int64(), bits=pa.binary())
 
@@ -308,14 +367,16 @@ def visit(packed: DataFrame, answers: list[DataFrame], run, schema: str) -> Data
         union = a if union is None else union.unionByName(a)
 
     def both(_: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([run(name, raw.as_py(), right) for name, raw in zip(left["block"].to_pylist(), left["content"])])
+        out = pa.Table.from_batches([run(name, raw.as_py(), right) for name, raw in zip(left["block"].to_pylist(), left["content"])])
+        release()
+        return out
 
     return packed.groupBy("block").cogroup(union.groupBy("block")).applyInArrow(both, schema)
 
 
-def context_owners(packed: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, bits): for each different context of a block whether a smaller document has it
-    in another block, or else whether its text is wanted, because other contexts share its key."""
+def window_masks(packed: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, bits): for each different context of a block which of its windows start in a smaller
+    document: 32 bits a context, compressed."""
 
     def send(name: int, raw: bytes, t: pa.Table) -> pa.RecordBatch:
         import zstandard
@@ -324,65 +385,14 @@ def context_owners(packed: DataFrame, shared: DataFrame, buckets: int) -> DataFr
         lists = Lists(Block(raw), buckets)
         rows = []
         for k, i in lists.second(answered(t, 0)):
-            i = lists.one[i]
-            rec = lists.rec
-            rows.append((k, name, rec["key"][i].tobytes(), rec["hash"][i].tobytes(), press(rec["doc"][i].tobytes())))
-        return batch(rows, bucket=pa.int64(), block=pa.int64(), keys=pa.binary(), hashes=pa.binary(), docs=pa.binary())
-
-    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        open_ = zstandard.ZstdDecompressor().decompress
-        names, keys, hashes, docs = [], [], [], []
-        for b in batches:
-            names += b.column("block").to_pylist()
-            keys += [np.frombuffer(x, np.uint64) for x in b.column("keys").to_pylist()]
-            hashes += [np.frombuffer(x, np.uint64) for x in b.column("hashes").to_pylist()]
-            docs += [np.frombuffer(open_(x), np.int64) for x in b.column("docs").to_pylist()]
-        cut = np.cumsum([0, *map(len, keys)])
-        k, h, d = (np.concatenate(x) for x in (keys, hashes, docs))
-        order = np.lexsort((d, h, k))
-        k, h, d = k[order], h[order], d[order]
-        new_key = np.concatenate([[True], k[1:] != k[:-1]])
-        new = new_key | np.concatenate([[True], h[1:] != h[:-1]])
-        low = d[new][np.cumsum(new) - 1]
-        several = (np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_key)) > 1)[np.cumsum(new_key) - 1]
-        bits = np.zeros((len(k), 2), bool)
-        bits[order, 0] = low < d
-        bits[order, 1] = (low == d) & several
-        yield batch([(n, key[0].as_py(), np.packbits(bits[i:j].ravel()).tobytes()) for n, i, j in zip(names, cut, cut[1:])], block=pa.int64(), bucket=pa.int64(), bits=pa.binary())
-
-    sent = visit(packed, [shared], send, "bucket long, block long, keys binary, hashes binary, docs binary")
-    return written(sent.groupBy("bucket").applyInArrow(meet, ANSWER), "suffix-owners")
-
-
-def two_bits(raw: bytes | None, n: int) -> tuple[np.ndarray, np.ndarray]:
-    bits = np.unpackbits(np.frombuffer(raw or b"", np.uint8), count=2 * n).astype(bool) if raw else np.zeros(2 * n, bool)
-    return bits[::2], bits[1::2]
-
-
-def window_bits(packed: DataFrame, shared: DataFrame, owners: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, bits): for each context whose text was wanted, which of its windows start in a
-    smaller document: 32 bits a context."""
-
-    def send(name: int, raw: bytes, t: pa.Table) -> pa.RecordBatch:
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=1).compress
-        lists = Lists(Block(raw), buckets)
-        owner = answered(t, 1)
-        rows = []
-        for k, i in lists.second(answered(t, 0)):
-            want = i[two_bits(owner.get(k), len(i))[1]]
-            if len(want):
-                rec, j = lists.rec, lists.one[want]
-                rows.append((k, name, rec["key"][j].tobytes(), press(rec["doc"][j].tobytes()), rec["size"][j].astype(np.uint8).tobytes(), press(joined(lists.block, rec["begin"][j], rec["size"][j]).tobytes())))
+            rec, j = lists.rec, lists.one[i]
+            rows.append((k, name, rec["key"][j].tobytes(), press(rec["doc"][j].tobytes()), rec["size"][j].astype(np.uint8).tobytes(), press(joined(lists.block, rec["begin"][j], rec["size"][j]).tobytes())))
         return batch(rows, bucket=pa.int64(), block=pa.int64(), keys=pa.binary(), docs=pa.binary(), sizes=pa.binary(), texts=pa.binary())
 
     def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        open_ = zstandard.ZstdDecompressor().decompress
+        open_, press = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         names, keys, docs, sizes, texts = [], [], [], [], []
         for b in batches:
             names += b.column("block").to_pylist()
@@ -394,27 +404,42 @@ def window_bits(packed: DataFrame, shared: DataFrame, owners: DataFrame, buckets
         k, d, size = np.concatenate(keys), np.concatenate(docs), np.concatenate(sizes).astype(np.int64)
         text = np.concatenate(texts)
         texts.clear()
-        begin = np.cumsum(size) - size
-        bits = np.zeros(len(k), np.int32)
-        order = np.argsort(k, kind="stable")
-        # runs of whole keys of about SHARD bytes: equal windows have equal keys
-        edge = np.flatnonzero(np.concatenate([[True], k[order][1:] != k[order][:-1]]))
-        total = np.concatenate([[0], np.cumsum(size[order])])
-        i = 0
-        while i < len(edge):
-            j = max(i + 1, int(np.searchsorted(total[edge], total[edge[i]] + SHARD, "right")) - 1)
-            j = min(j, len(edge)) if total[edge[i]] + SHARD < total[-1] else len(edge)
-            part = order[edge[i] : edge[j] if j < len(edge) else len(order)]
-            of, least = smallest_holder(text[ranges(begin[part], size[part])], size[part], d[part])
-            col = np.arange(len(of)) - np.searchsorted(of, of, "left")
-            np.bitwise_or.at(bits, part[of], np.where(least < d[part[of]], np.int32(1) << col.astype(np.int32), np.int32(0)).astype(np.int32))
-            i = j
-        yield batch([(n, key[0].as_py(), bits[a:b].tobytes()) for n, a, b in zip(names, cut, cut[1:])], block=pa.int64(), bucket=pa.int64(), bits=pa.binary())
-
-    sent = visit(packed, [shared, owners], send, "bucket long, block long, keys binary, docs binary, sizes binary, texts binary")
+        mask = masks(k, d, text, size)
+        yield batch([(n, key[0].as_py(), press(mask[a:b].tobytes())) for n, a, b in zip(names, cut, cut[1:])], block=pa.int64(), bucket=pa.int64(), bits=pa.binary())
+        del keys, docs, sizes, text, mask, k, d, size
+        release()
+
+    sent = visit(packed, [shared], send, "bucket long, block long, keys binary, docs binary, sizes binary, texts binary")
     return written(sent.groupBy("bucket").applyInArrow(meet, ANSWER), "suffix-windows")
 
 
+def masks(key: np.ndarray, doc: np.ndarray, text: np.ndarray, size: np.ndarray, shard: int | None = None, stats: Stats | None = None) -> np.ndarray:
+    """For each context (texts joined, with keys, documents and sizes): a bit for each of its windows that
+    starts in a smaller document, too."""
+    begin = np.cumsum(size) - size
+    words = words_of(text)
+    first, of = equal_contexts(words, begin, size, key, doc, contexts_hash(words, begin, size))
+    # of equal contexts the one in the smallest document is sorted, if its key has others
+    order = first[np.argsort(key[first], kind="stable")]
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    several = np.diff(np.append(np.flatnonzero(new), len(order))) > 1
+    order = order[several[np.cumsum(new) - 1]]
+    own = np.zeros(len(key), np.int32)
+    # runs of whole keys of about a shard's bytes: equal windows have equal keys
+    edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(size[order])])
+    edge = np.append(edge, len(order))
+    i = 0
+    while i < len(edge) - 1:
+        j = max(i + 1, int(np.searchsorted(total[edge], total[edge[i]] + (shard or SHARD), "right")) - 1)
+        part = order[edge[i] : edge[j]]
+        which, least = smallest_holder(text[ranges(begin[part], size[part])], size[part], doc[part], stats)
+        col = np.arange(len(which)) - np.searchsorted(which, which, "left")
+        np.bitwise_or.at(own, part[which], np.where(least < doc[part[which]], np.int32(1) << col.astype(np.int32), np.int32(0)).astype(np.int32))
+        i = j
+    return np.where(doc > doc[first[of]], EVERY, own[first[of]])
+
+
 def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All places in [begin, begin + size), one range after another."""
     ends = np.cumsum(size)
@@ -425,7 +450,7 @@ def joined(x: Block, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return x.flat[ranges(begin, size)]
 
 
-def smallest_holder(text: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def smallest_holder(text: np.ndarray, size: np.ndarray, doc: np.ndarray, stats: Stats | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each L-byte window of texts (joined, with sizes and documents): the smallest document whose
     text has it, by the suffix array. Windows in order: (text, smallest)."""
     n, total = len(size), int(size.sum())
@@ -435,56 +460,41 @@ def smallest_holder(text: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tupl
     put = np.arange(total) + of  # an end mark behind each text, all different, the last the smallest
     t[put] = text.astype(np.int32) + n
     t[begin + size + np.arange(n)] = np.arange(n - 1, -1, -1)
-    sa = suffix_array(t)
+    sa, same = sorted_suffixes(t, SORT, stats)
     back = np.full(total + n, -1, np.int64)
     back[put] = np.arange(total)
-    sa = back[sa]
-    sa = sa[sa >= 0]
-    whole = (np.arange(total) - begin[of]) + L <= size[of]
-    sa = sa[whole[sa]]
-    # neighbours agree in L bytes?
-    pad = np.concatenate([text, np.zeros(8, np.uint8)])
-    same = np.ones(max(0, len(sa) - 1), bool)
-    words = np.lib.stride_tricks.sliding_window_view(pad, 8)
-    for at in (0, 8, 16, 24, 32, 40, L - 8):
-        live = np.flatnonzero(same)
-        if not len(live):
-            break
-        a, b = (np.ascontiguousarray(words[sa[live + d] + at]).view(np.uint64).ravel() for d in (0, 1))
-        same[live] = a == b
-    low = np.full(total, NO_ID, np.int64)
-    if len(sa):
-        new = np.concatenate([[True], ~same])
-        first = np.flatnonzero(new)
-        low[sa] = np.minimum.reduceat(doc[of[sa]], first)[np.cumsum(new) - 1]
-    win = np.flatnonzero(whole)
+    at = back[sa]
+    # neighbours with L bytes in common are one string; end marks have nothing in common
+    first = np.flatnonzero(same < L)
+    holder = np.where(at >= 0, doc[of[at]], NO_ID)
+    least = np.minimum.reduceat(holder, first)
+    low = np.empty(total, np.int64)
+    low[at[at >= 0]] = np.repeat(least, np.diff(np.append(first, len(sa))))[at >= 0]
+    win = np.flatnonzero((np.arange(total) - begin[of]) + L <= size[of])
     return of[win], low[win]
 
 
 def covered(x: Block, t: pa.Table, buckets: int) -> np.ndarray:
     """The bytes of a block that go, from all answers."""
+    import zstandard
+
+    open_ = zstandard.ZstdDecompressor().decompress
     n = len(x.flat)
     starts = np.zeros(n + 1, bool)
     lists = Lists(x, buckets)
-    owner, windows = answered(t, 1), answered(t, 2)
-    every = np.int32((1 << W) - 1)
-    mask = np.zeros(0, np.int32)
+    windows = answered(t, 1)
     parts = list(lists.second(answered(t, 0)))
     mask = np.zeros(len(lists.one), np.int32)
     for k, i in parts:
-        gone, want = two_bits(owner.get(k), len(i))
-        mask[i[gone]] = every
-        if k in windows:
-            mask[i[want]] = np.frombuffer(windows[k], np.int32)
+        mask[i] = np.frombuffer(open_(windows[k]), np.int32)
     rec = lists.rec
     # documents above the block's smallest with a context lose all its windows
-    own = np.where(rec["doc"] > rec["doc"][lists.one][lists.of], every, mask[lists.of]) if len(lists.of) else mask
+    own = np.where(rec["doc"] > rec["doc"][lists.one][lists.of], EVERY, mask[lists.of]) if len(lists.of) else mask
     for j in range(W):
         hit = ((own >> j) & 1 > 0) & (j + L <= rec["size"])
         starts[rec["begin"][hit] + j] = True
-    total = np.concatenate([[0], np.cumsum(starts[:n], dtype=np.int64)])
-    i = np.arange(n)
-    return total[i + 1] - total[np.maximum(i - L + 1, 0)] > 0
+    total = np.concatenate([np.zeros(L, np.int32), np.cumsum(starts[:n], dtype=np.int32)])
+    return total[L:] > total[:-L]
 
 
 def whole_characters(gone: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -500,11 +510,12 @@ def whole_characters(gone: np.ndarray, flat: np.ndarray) -> np.ndarray:
 def dedup(docs: DataFrame, texts: bool = False, digests: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept_text, in which a character
     that would be cut in part stays whole; with digests also old_sha256, of the text before."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = blocks(docs)
+    # as many buckets as keep a task's contexts small, whatever the corpus
+    size = packed.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
     shared = shared_anchors(packed, buckets)
-    owners = context_owners(packed, shared, buckets)
-    windows = window_bits(packed, shared, owners, buckets)
+    windows = window_masks(packed, shared, buckets)
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if texts else {}) | ({"old_sha256": pa.string()} if digests else {})
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else "") + (", old_sha256 string" if digests else "")
 
@@ -526,7 +537,7 @@ def dedup(docs: DataFrame, texts: bool = False, digests: bool = False) -> DataFr
             rows.append(row)
         return batch(rows, **kinds)
 
-    return visit(packed, [shared, owners, windows], run, schema)
+    return visit(packed, [shared, windows], run, schema)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
