@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +44,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(FREE, was)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    for mine in _made:
+        mine.append(out)
     return out
 
 
+_made: list[list[DataFrame]] = []
+
+
+@contextmanager
+def tables_made() -> Iterator[list[DataFrame]]:
+    """The tables that `written` makes inside, for `discard` of those that no result needs."""
+    mine: list[DataFrame] = []
+    _made.append(mine)
+    try:
+        yield mine
+    finally:
+        _made.pop()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by `written`. Only for tables that no lazy result still reads."""
     for t in tables:
@@ -60,6 +78,18 @@ def buckets_for(df: DataFrame, each: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), 1 << 20))
 
 
+def release() -> None:
+    """Gives freed memory back to the system. Python workers live on from task to task, and what the C
+    library and Arrow keep of one task's arrays would count beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        import ctypes
+
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+
 def as_bytes(col: pa.Array) -> list[bytes]:
     """UTF-8 of each string; null counts as empty."""
     return [x or b"" for x in col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()]

@@ -27,6 +27,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         new = written(new, "labels")
         moved = new.filter("moved").limit(1).count()
         labels = new.select("node", "label")
+        labels.written_to = new.written_to
         if not moved:
             return labels
     raise RuntimeError("components: labels still move")

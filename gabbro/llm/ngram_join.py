@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gabbro.llm.common import as_bytes, buckets_for, mix64, slices, written
+from gabbro.llm.common import as_bytes, buckets_for, discard, mix64, release, slices, tables_made, written
 from gabbro.llm.components import components
 from gabbro.tables import table
 
@@ -207,8 +207,11 @@ def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 if held > FLUSH:
                     yield flush()
                     held, turn = 0, turn + 1
+                    release()
         if held:
             yield flush()
+        words.clear()
+        release()
 
     def meet(_: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[str, list[np.ndarray]] = {c: [] for c in names[1:]}
@@ -227,6 +230,8 @@ def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
             more = ~new & (first != d)
             out.append(np.stack([np.full(more.sum(), kind), k[more], first[more], d[more]], 1))
         rows = np.concatenate(out)
+        del got, v, out
+        release()
         for at in range(0, len(rows), 200_000):
             part = rows[at : at + 200_000]
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].astype(np.int32)), *(pa.array(np.ascontiguousarray(part[:, k])) for k in (1, 2, 3))], names=["kind", "key", "a", "b"])
@@ -308,7 +313,7 @@ def alone(sets: DataFrame) -> DataFrame:
 
 def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """members (key, node, ...) with the nodes' labels, of those keys whose members have different ones."""
-    m = written(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "ngram-labelled")
+    m = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = m.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     return written(m.join(mixed, "key", "left_semi"), "ngram-mixed")
 
@@ -404,8 +409,10 @@ def linked(docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame
 
 def near_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs."""
-    found = candidates(docs, n, percent)
-    labels = linked(docs, found, n, percent)
+    with tables_made() as made:
+        found = candidates(docs, n, percent)
+        labels = linked(docs, found, n, percent)
+    discard(*[t for t in made if t.written_to not in (found.written_to, labels.written_to)])
     info = found.filter(F.col("kind") == INFO).select(F.col("a").alias("doc_id"), F.col("key").alias("n_shingles"))
     out = info.join(labels, info["doc_id"] == labels["node"], "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
     no_id = docs.filter(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
