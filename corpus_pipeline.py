@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gabbro.llm import bpe_automaton, mixture, ngram_join, quality_gbdt, suffix_dedup
-from gabbro.llm.common import written
+from gabbro.llm.common import discard, tables_made, written
 from gabbro.tables import table
 
 #: Near duplicates: five words a shingle, a similarity of 0.8 or more.
@@ -56,7 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages. What a stage wrote on its way goes when its result is there, and so does its input."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with tables_made() as made:
+            docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard(*[t for t in made if t is not docs], *before)
+        before = [docs]
     return docs
