@@ -39,6 +39,8 @@ class ConstraintError(ValueError):
 
 
 CHECKPOINT = 20
+#: Operations that only add rows; REPLACE begins anew.
+APPENDING = ("APPEND", "COPY INTO", "REPLACE", "CLONE")
 #: Folder names of partitions: a copy of the column, so that the files hold the column itself, too.
 PART = "_by_"
 
@@ -427,7 +429,7 @@ def z_value(df: DataFrame, columns: Sequence[str], bits: int = 5) -> Column:
 
 def read_as_stream(table: VersionedTable, after_version: int) -> tuple[DataFrame, int]:
     """Rows appended after a version, and the version to continue from: an incremental read by cursor."""
-    added = [f for c in table.log() if c["version"] > after_version and c["op"] in ("APPEND", "COPY INTO", "REPLACE") for f in c.get("add", [])]
+    added = [f for c in table.log() if c["version"] > after_version and c["op"] in APPENDING for f in c.get("add", [])]
     schema = StructType.fromJson(json.loads(table._state()["schema"]))
     df = table.spark.read.schema(schema).parquet(*[table._full(f) for f in added]) if added else table.spark.createDataFrame([], schema)
     return df, table.version()

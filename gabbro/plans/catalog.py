@@ -132,6 +132,9 @@ def catalog_ddl(spark, sf):
         names = ", ".join(sorted(r["tableName"] for r in spark.sql(f"SHOW TABLES IN {db}").collect() if not r["isTemporary"]))
         listed = governance.table_columns(spark, db).filter("table = 'of_nation'").collect()
         assert db in [r[0] for r in spark.sql("SHOW SCHEMAS").collect()]
+        assert spark.sql(f"DESCRIBE SCHEMA {db}").filter("info_name = 'Comment'").first()[1] == "of a query"
+        spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION ddl_twice(x INT) RETURNS INT RETURN 2 * x")
+        assert [r[0] for r in spark.sql("SHOW USER FUNCTIONS LIKE 'ddl_*'").collect()]
         rows = spark.table(f"{db}.v_nation").collect()  # a row a region
     finally:
         spark.sql(f"DROP SCHEMA {db} CASCADE")
@@ -292,6 +295,45 @@ def kafka_shaped(spark, sf):
     return ingest.kafka_values(rows, "event_id long, event_type string").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_id % 3 <> 2 GROUP BY ALL")
+def store_stream(spark, sf):
+    """A versioned table as a stream, followed twice: every appending commit once, rewrites not at all."""
+    top = scratch(spark, "follow")
+    t, e = VersionedTable(spark, f"{top}/t"), table(spark, sf, "events").select("event_id", "event_type")
+    out = VersionedTable(spark, f"{top}/out")
+    t.append(e.filter("event_id % 3 = 0"))
+    flows.follow(t, lambda rows, n: out.append(rows), f"{top}/ck")
+    t.append(e.filter("event_id % 3 = 1"))
+    t.optimize(files=1)
+    flows.follow(t, lambda rows, n: out.append(rows), f"{top}/ck")
+    return out.read().groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- databases
+
+
+def _database(spark, sf) -> str:
+    """An in-memory database with the orders, by the driver that Spark brings along."""
+    url = f"jdbc:derby:memory:db{uuid.uuid4().hex[:8]};create=true"
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(12,2)").alias("o_totalprice"))
+    o.write.jdbc(url, "orders", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver", "createTableColumnTypes": "o_orderstatus varchar(8)"})
+    return url
+
+
+@query("SELECT o_orderstatus, count(*) AS n, sum(o_totalprice::DECIMAL(12,2))::DECIMAL(18,2) AS total FROM orders WHERE o_custkey > 10 GROUP BY ALL")
+def jdbc_partitioned(spark, sf):
+    """A database table read in four ranges of its key; the filter is pushed to the database."""
+    df = ingest.jdbc(spark, _database(spark, sf), "orders", ("o_orderkey", 0, 15000, 4), driver="org.apache.derby.jdbc.EmbeddedDriver")
+    return df.filter("o_custkey > 10").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_totalprice").cast("decimal(18,2)").alias("total"))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL")
+def jdbc_pushed_query(spark, sf):
+    """A subquery that the database computes, as the source of a frame."""
+    df = ingest.jdbc(spark, _database(spark, sf), "", query="SELECT \"o_custkey\", count(*) AS n FROM orders WHERE \"o_orderstatus\" = 'F' GROUP BY \"o_custkey\"", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    return df.select("o_custkey", F.col("N").cast("long").alias("n"))
+
+
 # ---------------------------------------------------------------- operations records
 
 

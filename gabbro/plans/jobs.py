@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from concurrent.futures import TimeoutError as FutureTimeout
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,7 @@ class Task:
     only_when: tuple[str, bool] | None = None  # (condition task, outcome)
     for_each: Sequence | None = None
     concurrency: int = 1
+    timeout_s: float | None = None
 
 
 @dataclass
@@ -60,43 +63,76 @@ class Job:
 
         return keep
 
-    def run(self, spark: SparkSession | None = None, **params) -> list[tuple]:
-        """(job, task, status, attempts, seconds, error) of every task, in order. Raises JobFailed at the
+    def run(self, spark: SparkSession | None = None, concurrency: int = 8, **params) -> list[tuple]:
+        """(job, task, status, attempts, seconds, error) of every task, in order of definition. A task starts
+        as soon as those it comes after have ended, so independent tasks run side by side; one that takes
+        longer than its own or the job's timeout is cancelled with its Spark jobs. Raises JobFailed at the
         end if a task failed, or if one of must_run was skipped: a skipped gate isn't a success."""
         ctx = Context(spark, {k: str(v) for k, v in params.items()})
         state: dict[str, str] = {}
-        log, began = [], time.time()
-        for t in self.tasks.values():
-            ok = RUN_IF[t.run_if]([state[a] for a in t.after])
-            if ok and t.only_when:
-                ok = state.get(t.only_when[0]) == "SUCCESS" and bool(ctx.values.get(t.only_when[0])) is t.only_when[1]
-            if not ok:
-                state[t.name] = "SKIPPED"
-                log.append((self.name, t.name, "SKIPPED", 0, 0.0, None))
-                continue
-            start, error, attempt = time.time(), None, 0
-            for attempt in range(1, t.retries + 2):
-                if time.time() - began > self.timeout_s:
-                    error = "timeout"
-                    break
-                try:
-                    if t.for_each is None:
-                        value = t.run(ctx)
+        log: dict[str, tuple] = {}
+        end = time.time() + self.timeout_s
+        with ThreadPoolExecutor(concurrency) as pool:
+            running: dict = {}
+            while len(state) < len(self.tasks):
+                for t in self.tasks.values():
+                    if t.name in state or t.name in running.values() or any(a not in state for a in (*t.after, *(t.only_when[:1] if t.only_when else ()))):
+                        continue
+                    ok = RUN_IF[t.run_if]([state[a] for a in t.after])
+                    if ok and t.only_when:
+                        ok = state.get(t.only_when[0]) == "SUCCESS" and bool(ctx.values.get(t.only_when[0])) is t.only_when[1]
+                    if ok:
+                        running[pool.submit(self._attempts, t, ctx, end)] = t.name
                     else:
-                        with ThreadPoolExecutor(t.concurrency) as pool:
-                            value = list(pool.map(lambda x: t.run(ctx, x), t.for_each))  # noqa: B023
-                    ctx.values[t.name] = value
-                    error = None
-                    break
-                except Exception as e:  # noqa: BLE001  any failure of a task is its result
-                    error = f"{type(e).__name__}: {e}"[:500]
-            state[t.name] = "FAILED" if error else "SUCCESS"
-            log.append((self.name, t.name, state[t.name], attempt, time.time() - start, error))
-        self.last = log
+                        state[t.name] = "SKIPPED"
+                        log[t.name] = (self.name, t.name, "SKIPPED", 0, 0.0, None)
+                for f in wait(running, return_when=FIRST_COMPLETED).done if running else ():
+                    name = running.pop(f)
+                    log[name] = f.result()
+                    state[name] = log[name][2]
+        self.last = [log[n] for n in self.tasks]
         bad = [n for n, s in state.items() if s == "FAILED"] + [n for n in self.must_run if state.get(n) == "SKIPPED"]
         if bad:
             raise JobFailed(f"{self.name}: {bad}")
-        return log
+        return self.last
+
+    def _attempts(self, t: Task, ctx: Context, end: float) -> tuple:
+        start, error, attempt = time.time(), None, 0
+        for attempt in range(1, t.retries + 2):
+            left = min(end - time.time(), t.timeout_s or float("inf"))
+            if left <= 0:
+                error = "timeout"
+                break
+            try:
+                ctx.values[t.name] = self._once(t, ctx, left)
+                error = None
+                break
+            except FutureTimeout:
+                error = "timeout"
+            except Exception as e:  # noqa: BLE001  any failure of a task is its result
+                error = f"{type(e).__name__}: {e}"[:500]
+        return self.name, t.name, "FAILED" if error else "SUCCESS", attempt, time.time() - start, error
+
+    def _once(self, t: Task, ctx: Context, left: float):
+        """One attempt, in a thread whose Spark jobs are a group of their own."""
+        group, sc = uuid.uuid4().hex, ctx.spark.sparkContext if ctx.spark else None
+
+        def go(*x):
+            if sc:
+                sc.setJobGroup(group, f"{self.name}.{t.name}", True)
+            return t.run(ctx, *x)
+
+        pool = ThreadPoolExecutor(1 if t.for_each is None else t.concurrency)
+        try:
+            if t.for_each is None:
+                return pool.submit(go).result(left)
+            return list(pool.map(go, t.for_each, timeout=left))
+        except FutureTimeout:
+            if sc:
+                sc.cancelJobGroup(group)
+            raise
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
 
     def journal(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.last, "job string, task string, status string, attempts int, seconds double, error string")

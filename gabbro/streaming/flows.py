@@ -84,3 +84,20 @@ def run_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 def every(stream: DataFrame, path: str, checkpoint: str, interval: str) -> StreamingQuery:
     """A flow that goes on, a micro-batch each interval, until it is stopped."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=interval).start()
+
+
+def follow(table, each, checkpoint: str) -> StreamingQuery:
+    """A stream over a versioned table: its source is the commit log, whose files never change, so every
+    commit is taken once. each(rows, batch) gets the rows that the new appending commits added."""
+    from gabbro.operators.store import APPENDING
+
+    log = table.spark.readStream.schema("version long, op string, add array<string>").option("pathGlobFilter", "*.json").json(f"{table.path}/_log")
+
+    def batch(commits: DataFrame, n: int) -> None:
+        # versions of appending commits: as many as the log has new files
+        for v in sorted(r["version"] for r in commits.filter(F.col("op").isin(*APPENDING)).select("version").collect()):
+            each(table.added(v), n)
+
+    q = log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
