@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -313,7 +314,9 @@ def store_stream(spark, sf):
 
 
 def _database(spark, sf) -> str:
-    """An in-memory database with the orders, by the driver that Spark brings along."""
+    """A database in the memory of the driver's JVM with the orders, by the JDBC driver that Spark brings
+    along: for sessions whose executors are in that JVM."""
+    spark.sparkContext._jvm.System.setProperty("derby.stream.error.file", os.devnull)  # noqa: SLF001
     url = f"jdbc:derby:memory:db{uuid.uuid4().hex[:8]};create=true"
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(12,2)").alias("o_totalprice"))
     o.write.jdbc(url, "orders", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver", "createTableColumnTypes": "o_orderstatus varchar(8)"})
