@@ -11,6 +11,7 @@ from gabbro.operators import ops, scd, silver
 from gabbro.operators import relational as R
 from gabbro.operators.governance import Catalog
 from gabbro.operators.store import ConstraintError, VersionedTable, partition_value
+from gabbro.plans.jobs import Job, JobFailed
 from gabbro.sources import ingest
 from gabbro.sources.files import Files
 from gabbro.streaming import flows
@@ -200,3 +201,34 @@ def test_salted_join_and_same_rows(spark):
     a = spark.createDataFrame([(1, k) for k in range(20)] + [(2, 0)], "k int, v int")
     j = R.salted_join(a, spark.createDataFrame([(1, "x"), (2, "y")], "k int, w string"), "k", 4)
     assert j.count() == 21 and R.same_rows(a, a).count() == 0 and R.same_rows(a, a.filter("v > 0")).count() == 2
+
+
+def test_independent_tasks_run_together_and_stop_in_time(spark):
+    import threading
+    import time
+
+    both, job = threading.Barrier(2, timeout=20), Job("side-by-side")
+    job.task("a")(lambda ctx: both.wait())  # passes only if b runs at the same time
+    job.task("b")(lambda ctx: both.wait())
+    job.task("slow", timeout_s=2)(lambda ctx: ctx.spark.range(0, 600, 1, 4).filter(F.expr("reflect('java.lang.Thread', 'sleep', 40L) is null")).count())
+    began = time.time()
+    with pytest.raises(JobFailed):
+        job.run(spark)
+    assert {r[1]: (r[2], r[5]) for r in job.last} == {"a": ("SUCCESS", None), "b": ("SUCCESS", None), "slow": ("FAILED", "timeout")}
+    assert time.time() - began < 60
+    for _ in range(100):  # its Spark jobs were cancelled
+        if not spark.sparkContext.statusTracker().getActiveJobsIds():
+            break
+        time.sleep(0.2)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+
+
+def test_a_store_is_followed_commit_by_commit(spark, tmp_path):
+    t, got = VersionedTable(spark, f"{tmp_path}/t"), []
+    t.append(spark.range(3))
+    for _ in range(2):
+        flows.follow(t, lambda rows, n: got.extend(r[0] for r in rows.collect()), f"{tmp_path}/ck")
+    t.delete("id = 0")
+    t.append(spark.range(7, 9))
+    flows.follow(t, lambda rows, n: got.extend(r[0] for r in rows.collect()), f"{tmp_path}/ck")
+    assert sorted(got) == [0, 1, 2, 7, 8]
