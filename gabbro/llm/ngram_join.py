@@ -12,9 +12,9 @@ and is left out, unless a document has so many of them that it could share no ot
 
 Groups are connected, not expanded. Within a task, and then within a bucket, all that share a fragment
 are paired with the smallest of them, and of these pairs each document keeps one; identical sets are
-linked without being counted. Links inside a component can't change it, so only fragments whose members
-still lie in different components are looked at again, without documents that have too many n-grams
-that nobody else has. They go through rounds of pivots. The members of a fragment are compared with its
+linked without being counted, and documents that have too many n-grams that no other candidate has are
+put aside before. Links inside a component can't change it, so only fragments whose members still lie in
+different components are looked at again. They go through rounds of pivots. The members of a fragment are compared with its
 pivot, the member with the fewest n-grams of its own, fragment by fragment of the global order: what
 differs from the pivot is summed by pair, so overlaps with the pivot are known, and kept as a set. Two
 sets differ as their differences do: with D(x) of a and D(y) of b n-grams,
@@ -353,16 +353,20 @@ def meeting(rows: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
-def linked(docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, label) of all documents that have a link, from candidates."""
-    same = found.filter(F.col("kind") == SAME).select("a", "b")
-    maybe = found.filter(F.col("kind") == MAYBE).select("key", "a", "b")
-    members = written(maybe.select("key", F.col("a").alias("node")).unionByName(maybe.select("key", F.col("b").alias("node"))).distinct(), "ngram-members")
-    sets = sets_of(docs, members, n)
+def linked(docs: DataFrame, members: DataFrame, same: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, label) of all documents that have a link. members: (key, node) of shared fragments; same: pairs
+    (a, b) of equal sets."""
+    every = sets_of(docs, members, n)
+    # documents with more n-grams that no other candidate has than a link allows can't be linked
+    nodes = written(alone(every).filter(F.lit(100) * F.col("own") <= F.lit(100 - percent) * F.col("n")).select("doc_id", "own"), "ngram-nodes")
+    sets = written(every.join(nodes.select("doc_id"), "doc_id", "left_semi"), "ngram-sets")
+    discard(every)
+    members = written(members.join(nodes.withColumnRenamed("doc_id", "node"), "node"), "ngram-members")
 
     # first each document with the smallest one of those that stand for its fragments
-    pairs = maybe.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(same.unionByName(verified(sets, pairs, percent)), "ngram-links")
+    first = members.groupBy("key").agg(F.min("node").alias("a"))
+    pairs = members.join(first, "key").filter("node > a").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    links = written(same.unionByName(verified(sets, written(pairs, "ngram-pairs"), percent)), "ngram-links")
     labels = components(links)
 
     def more(new: DataFrame) -> bool:
@@ -373,14 +377,13 @@ def linked(docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame
         labels = components(links)
         return True
 
-    # fragments whose members still lie in different components; of these, documents with more n-grams
-    # that no other one has than a link allows can't be linked
+    # fragments whose members still lie in different components, and of these documents the same test again
     open_ = labelled(members, labels)
     if not open_.limit(1).count():
         return labels
     here = sets.join(open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     nodes = written(alone(here).filter(F.lit(100) * F.col("own") <= F.lit(100 - percent) * F.col("n")), "ngram-nodes")
-    open_ = labelled(open_.drop("label").join(nodes.select(F.col("doc_id").alias("node"), "own"), "node"), labels)
+    open_ = labelled(open_.drop("label", "own").join(nodes.select(F.col("doc_id").alias("node"), "own"), "node"), labels)
     core, zone = CORE, CORE - (100 - percent)
     for _ in range(ROUNDS):
         if not open_.limit(1).count():
@@ -411,9 +414,13 @@ def near_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     """(doc_id, n_shingles, component_id), a row for each row of docs."""
     with tables_made() as made:
         found = candidates(docs, n, percent)
-        labels = linked(docs, found, n, percent)
-    discard(*[t for t in made if t.written_to not in (found.written_to, labels.written_to)])
-    info = found.filter(F.col("kind") == INFO).select(F.col("a").alias("doc_id"), F.col("key").alias("n_shingles"))
+        maybe = found.filter(F.col("kind") == MAYBE)
+        members = written(maybe.select("key", F.col("a").alias("node")).unionByName(maybe.select("key", F.col("b").alias("node"))).distinct(), "ngram-members")
+        known = written(found.filter(F.col("kind") != MAYBE), "ngram-known")
+        discard(found)
+        labels = linked(docs, members, known.filter(F.col("kind") == SAME).select("a", "b"), n, percent)
+    discard(*[t for t in made if t.written_to not in (known.written_to, labels.written_to)])
+    info = known.filter(F.col("kind") == INFO).select(F.col("a").alias("doc_id"), F.col("key").alias("n_shingles"))
     out = info.join(labels, info["doc_id"] == labels["node"], "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
     no_id = docs.filter(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
