@@ -28,9 +28,8 @@ every score; a null doc_id is not held out; an empty table gives an empty table;
 from __future__ import annotations
 
 import string
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,20 +37,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gabbro.llm.common import slices, text_columns
+from gabbro.llm.common import mix64, slices, text_columns
 from gabbro.llm.quality_gbdt import held_out
 from gabbro.tables import table
 
 LEAST = 20  # labelled rows, to train
 #: Bytes of words whose numbers a worker keeps.
-MEMORY = 48 << 20
-WHITE = "\t\n\v\f\r"
-TO_SPACE = str.maketrans(WHITE, " " * len(WHITE))
+MEMORY = 64 << 20
+#: Characters of new words that are hashed at once.
+HASHED = 1 << 18
 
 
 @dataclass(frozen=True)
 class Settings:
-    max_labelled: int = 12_000
+    max_labelled: int = 8_000
     buckets: int = 1 << 18
     shortest: int = 3
     longest: int = 5
@@ -66,18 +65,39 @@ class Settings:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case runs of anything but the six ASCII white-space characters."""
-    return [w for w in (text or "").lower().translate(TO_SPACE).split(" ") if w]
+    """Lower-case words between white space."""
+    return (text or "").lower().split()
+
+
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BACK = np.uint64(pow(int(BASE), -1, 1 << 64))  # BASE times BACK is 1 in 64 bits
+
+
+def bags(words: Sequence[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, number of its word) of all subwords: each word without the punctuation at its ends and its
+    n-grams, between marks of its ends. One polynomial over the characters of all words gives the hash of
+    any run of them as a difference of two of its sums."""
+    marked = [f"<{c}>" if c else "" for c in (w.strip(string.punctuation) for w in words)]
+    size = np.array([len(m) for m in marked], np.int64)
+    n = int(size.sum())
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    chars = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    of, first = np.repeat(np.arange(len(marked)), size), np.cumsum(size) - size
+    left = (first + size)[of] - np.arange(n)  # characters of the word from here on
+    power, back = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x)])) for x in (BASE, BACK))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(chars * power[:-1])])
+    whole = np.flatnonzero(size)
+    starts = [first[whole]] + [np.flatnonzero(left >= k) for k in range(s.shortest, s.longest + 1)]
+    ends = [(first + size)[whole]] + [i + k for i, k in zip(starts[1:], range(s.shortest, s.longest + 1))]
+    kinds = [0, *range(s.shortest, s.longest + 1)]
+    hashes = [mix64((sums[j] - sums[i]) * back[i] + np.uint64(k)) % np.uint64(s.buckets) for i, j, k in zip(starts, ends, kinds)]
+    return np.concatenate(hashes).astype(np.int64), np.concatenate([of[i] for i in starts])
 
 
 def subwords(word: str, s: Settings) -> list[int]:
-    """Buckets of a word without the punctuation at its ends, and of its n-grams between marks of its ends."""
-    core = word.strip(string.punctuation)
-    if not core:
-        return []
-    marked = f"<{core}>"
-    grams = [marked[i : i + n] for n in range(s.shortest, s.longest + 1) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % s.buckets for g in [marked, *grams]]
+    """Buckets of one word's subwords."""
+    return bags([word], s)[0].tolist()
 
 
 @dataclass
@@ -88,9 +108,12 @@ class Model:
     bias: float
     settings: Settings
 
+    def of_words(self, words: Sequence[str]) -> np.ndarray:
+        bucket, of = bags(words, self.settings)
+        return np.bincount(of, self.weight[bucket], len(words)) / np.maximum(np.bincount(of, minlength=len(words)), 1)
+
     def of_word(self, word: str) -> float:
-        bag = subwords(word, self.settings)
-        return float(self.weight[bag].mean()) if bag else 0.0
+        return float(self.of_words([word])[0])
 
 
 class Scorer:
@@ -99,23 +122,35 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.known, self.held = model, {}, 0
 
-    def logit(self, text: str | None) -> float:
-        words = words_of(text)
-        if not words or not len(self.model.weight):
-            return self.model.bias
-        total, known = 0.0, self.known
-        for w, n in Counter(words).items():
-            x = known.get(w)
-            if x is None:
-                x = known[w] = self.model.of_word(w)
-                self.held += len(w) + 100
-            total += n * x
+    def learn(self, new: list[str]) -> None:
+        """Looks up new words, some HASHED characters at once."""
+        at = size = 0
+        for i, w in enumerate(new):
+            size += len(w) + 2
+            if size > HASHED or i == len(new) - 1:
+                self.known.update(zip(new[at : i + 1], self.model.of_words(new[at : i + 1]).tolist()))
+                at, size = i + 1, 0
+        self.held += sum(map(len, new)) + 200 * len(new)
+
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        out = np.full(len(texts), self.model.bias)
+        if not len(self.model.weight):
+            return out
+        split = [words_of(t) for t in texts]
+        self.learn(sorted(set().union(*split) - self.known.keys()))
+        number = self.known.__getitem__
+        for i, words in enumerate(split):
+            if words:
+                out[i] += sum(map(number, words)) / len(words)
         if self.held > MEMORY:
             self.known, self.held = {}, 0
-        return self.model.bias + total / len(words)
+        return out
 
+    def logit(self, text: str | None) -> float:
+        return float(self.logits([text])[0])
 
-def fit(doc: np.ndarray, word: np.ndarray, count: np.ndarray, vocabulary: list[str], y: np.ndarray, s: Settings = Settings()) -> Model:
+
+def fit(doc: np.ndarray, word: np.ndarray, count: np.ndarray, vocabulary: pa.Array, y: np.ndarray, s: Settings = Settings()) -> Model:
     """doc, word, count: entries of X; y: the share of class 1 of each text. Adam on the exact gradients.
     Words of fewer than `least_docs` texts have no bag here, or they would tell texts apart by heart; they
     stay in the count of words. A softmax's errors of two classes are opposite, so the products are made
@@ -128,10 +163,9 @@ def fit(doc: np.ndarray, word: np.ndarray, count: np.ndarray, vocabulary: list[s
     often = np.bincount(word, minlength=len(vocabulary)) >= s.least_docs  # (a text has one entry a word)
     kept = often[word]
     doc, word, x = doc[kept], (np.cumsum(often) - 1)[word[kept]], x[kept]
-    bags = [subwords(w, s) for w, o in zip(vocabulary, often) if o]
-    sizes = np.array([len(b) for b in bags], np.int64)
-    sub = np.fromiter((b for bag in bags for b in bag), np.int64, int(sizes.sum()))
-    of = np.repeat(np.arange(len(bags)), sizes)
+    words = vocabulary.filter(pa.array(often)).to_pylist()
+    sub, of = bags(words, s)
+    sizes = np.bincount(of, minlength=len(words))
     used, sub = np.unique(sub, return_inverse=True)  # only buckets that occur have a gradient
     in_bag = 1 / np.maximum(sizes, 1)[of]
     rng = np.random.default_rng(s.seed)
@@ -141,10 +175,10 @@ def fit(doc: np.ndarray, word: np.ndarray, count: np.ndarray, vocabulary: list[s
     for t in range(1, s.steps + 1):
         e, w, b = params
         z = e @ (w @ sign)
-        u = np.bincount(of, z[sub] * in_bag, len(bags))
+        u = np.bincount(of, z[sub] * in_bag, len(words))
         logit = np.bincount(doc, u[word] * x, len(y)) + b @ sign
         g = (1 / (1 + np.exp(-np.clip(logit, -500, 500))) - y) / len(y)
-        back = np.bincount(word, g[doc] * x, len(bags))
+        back = np.bincount(word, g[doc] * x, len(words))
         back = np.bincount(sub, back[of] * in_bag, len(used))
         grads = np.outer(back, w @ sign) + s.decay * e, np.outer(e.T @ back, sign) + s.decay * w, g.sum() * sign
         for i, grad in enumerate(grads):
@@ -178,12 +212,12 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     got = rows.mapInArrow(run, "doc_id long, y double, words array<string>, counts array<long>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
     y = got["y"].to_numpy()
     if not len(y):
-        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), [], y, s)
+        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), pa.array([], pa.string()), y, s)
     lists = got["words"].combine_chunks()
     coded = lists.flatten().dictionary_encode()
     doc = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
     counts = got["counts"].combine_chunks().flatten().to_numpy().astype(np.float64)
-    return fit(doc, coded.indices.to_numpy().astype(np.int64), counts, coded.dictionary.to_pylist(), y, s)
+    return fit(doc, coded.indices.to_numpy().astype(np.int64), counts, coded.dictionary, y, s)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -193,8 +227,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for whole in batches:
-            for b in slices(whole, "text", 8 << 20):
-                logits = np.array([scorer.logit(t) for t in b.column("text").to_pylist()])
+            for b in slices(whole, "text", 2 << 20):
+                logits = scorer.logits(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))))], names=["doc_id", "score"])
 
     return text_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
