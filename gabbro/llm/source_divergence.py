@@ -38,14 +38,14 @@ SCALE = 1_000_000_000
 def terms_of(text: F.Column) -> F.Column:
     """The terms of a text in order; only A-Z are lower-cased."""
     lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(lower, NO_TERM), lambda x: x != "")
+    return F.array_remove(F.split(lower, NO_TERM), "")
 
 
 def marked(terms: F.Column) -> F.Column:
     """Structs (term, first): first is 1 for one of the equal terms of an array, 0 for the others. The
     sorted array is bound by a lambda, so it is made once a row."""
     each = lambda a: F.transform(a, lambda x, i: F.struct(x.alias("term"), F.when((i == 0) | (x != F.get(a, i - 1)), 1).otherwise(0).alias("first")))
-    return F.get(F.transform(F.array(F.array_sort(terms)), each), F.lit(0))
+    return F.get(F.transform(F.array(F.sort_array(terms)), each), F.lit(0))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
