@@ -6,7 +6,7 @@ terms that a group lacks have a row of count 0; the dense rows meet on lang and
 and ranked. Counts become smoothed shares in integers (parts of SCALE, at least 1), so all arithmetic is
 exact: a share takes three steps of long division by 1,000, which holds up to 9e15 terms.
 
-Scale. The text is read once: what is exploded is summed in the task and written as a row for each
+Scale. The text is read once: a document gives a row for each distinct term, these are summed in the task and written as a row for each
 (lang, source, term). Groups meet the vocabulary by language and a salt of the term, so that no language
 is one task; the dense rows meet by term, where a group has one row, so a pair of groups meets once a term
 (the work that the report asks for: vocabulary x pairs of sources). The distance is symmetric, and only one
@@ -41,18 +41,20 @@ def terms_of(text: F.Column) -> F.Column:
     return F.array_remove(F.split(lower, NO_TERM), "")
 
 
-def marked(terms: F.Column) -> F.Column:
-    """Structs (term, first): first is 1 for one of the equal terms of an array, 0 for the others. The
-    sorted array is bound by a lambda, so it is made once a row."""
-    each = lambda a: F.transform(a, lambda x, i: F.struct(x.alias("term"), F.when((i == 0) | (x != F.get(a, i - 1)), 1).otherwise(0).alias("first")))
-    return F.get(F.transform(F.array(F.sort_array(terms)), each), F.lit(0))
+def counted(terms: F.Column) -> F.Column:
+    """Structs (term, n) of the distinct terms of an array; null for none. The sorted array and the places
+    where its runs start are bound by lambdas, so each is made once a row."""
+    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    runs = lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
+    each = lambda a, s: F.transform(s, lambda i, k: F.struct(F.get(a, i).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(a)) - i).alias("n")))
+    return let(F.sort_array(terms), lambda a: F.when(F.size(a) > 0, let(runs(a), lambda s: each(a, s))))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents with it)."""
     named = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]
-    rows = text_columns(docs, "lang", "source", "text").select(*named, F.explode(marked(terms_of(F.col("text")))).alias("t"))
-    return rows.groupBy("lang", "source", F.col("t.term").alias("term")).agg(F.count("*").alias("n"), F.sum("t.first").alias("docs"))
+    rows = text_columns(docs, "lang", "source", "text").select(*named, F.explode(counted(terms_of(F.col("text")))).alias("t"))
+    return rows.groupBy("lang", "source", F.col("t.term").alias("term")).agg(F.sum("t.n").alias("n"), F.count("*").alias("docs"))
 
 
 def share(count: F.Column, total: F.Column, terms: F.Column) -> F.Column:
@@ -87,9 +89,9 @@ def audit(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
     salt = F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int")
     spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dense = kept.withColumn("salt", salt).join(spread, ["lang", "salt"])
-    counted = dense.join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    filled = dense.join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     shares = written(
-        counted.select("lang", "source", "term", "n", share(F.col("n"), F.col("total"), F.col("v")).alias("p"), share(F.col("all_n"), F.col("all_total"), F.col("v")).alias("q")), "divergence-shares"
+        filled.select("lang", "source", "term", "n", share(F.col("n"), F.col("total"), F.col("v")).alias("p"), share(F.col("all_n"), F.col("all_total"), F.col("v")).alias("q")), "divergence-shares"
     )
 
     other = shares.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("p2"))
