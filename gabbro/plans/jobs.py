@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gabbro.operators.relational import within_intervals
+
 RUN_IF = {
     "ALL_SUCCESS": lambda s: all(x == "SUCCESS" for x in s),
     "AT_LEAST_ONE_SUCCESS": lambda s: any(x == "SUCCESS" for x in s),
@@ -138,10 +140,10 @@ class Job:
         return spark.createDataFrame(self.last, "job string, task string, status string, attempts int, seconds double, error string")
 
 
-def missing_runs(schedule: DataFrame, runs: DataFrame) -> DataFrame:
-    """Scheduled (job, due) without a run that started at or after its due time, before the next one."""
-    r = runs.select(runs["job"].alias("_j"), runs["started"].alias("_s"))
-    return schedule.join(r, (schedule["job"] == r["_j"]) & (r["_s"] >= schedule["due"]) & (r["_s"] < schedule["until"]), "left_anti")
+def missing_runs(schedule: DataFrame, runs: DataFrame, width: int = 86_400_000_000) -> DataFrame:
+    """Scheduled (job, due, until) without a run that started at or after its due time, before `until`. Due times
+    and runs meet in cells of `width` (a day, in microseconds; units for numbers), not all with all."""
+    return within_intervals(schedule, runs, "job", "due", "until", "started", width, "left_anti")
 
 
 def profile(targets: dict[str, dict[str, str]], target: str, **override: str) -> dict[str, str]:
