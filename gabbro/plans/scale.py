@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gabbro.operators import published
 from gabbro.operators import relational as R
 from gabbro.plans.gold import SQL_NET, SQL_PLANS, money, net, plan_history
 from gabbro.plans.platform import scratch
@@ -100,3 +101,61 @@ def stream_change_feed(spark, sf):
         feed = flows.read_files(spark, f"{top}/in", "parquet", "user_id long, event_id long, event_type string, value double").drop("_source_file", "_ingested_at")
         state.run(state.changes(feed, ["user_id"], "event_id", "event_type = 'error'"), f"{top}/out", f"{top}/ck", "update")
     return state.current(spark.read.parquet(f"{top}/out"), ["user_id"], "event_id")
+
+
+@query(
+    """WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, o_custkey, o_totalprice FROM orders),
+p AS (SELECT 'month' AS kind, month AS period, o_custkey, o_totalprice FROM m UNION ALL SELECT 'quarter', date_trunc('quarter', month)::DATE, o_custkey, o_totalprice FROM m
+  UNION ALL SELECT 'year', date_trunc('year', month)::DATE, o_custkey, o_totalprice FROM m)
+SELECT kind, period, count(*) AS n_orders, count(DISTINCT o_custkey) AS customers, true AS hll_near, quantile_disc(o_totalprice, 0.5)::DOUBLE AS median_price, max(o_totalprice)::DOUBLE AS top_price FROM p GROUP BY ALL"""
+)
+def sketched_periods(spark, sf):
+    """Distinct customers and prices by month, quarter and year: orders are read once, for the months; quarters
+    merge months, years merge quarters. Theta and KLL sketches of these sizes are exact up to some 60,000 customers
+    and 4,096 orders; the HLL estimate has to be within three standard errors of theta's."""
+    o = table(spark, sf, "orders").withColumn("period", F.trunc("o_orderdate", "MM"))
+    path = scratch(spark, "sketches")
+    published.sketched(o, ["period"], "o_custkey", "o_totalprice").write.parquet(path)  # the stored monthly aggregate
+    months = spark.read.parquet(path)
+    quarters = published.merged(months, [F.trunc("period", "quarter").alias("period")])
+    years = published.merged(quarters, [F.trunc("period", "year").alias("period")])
+    every = months.withColumn("kind", F.lit("month")).unionByName(quarters.withColumn("kind", F.lit("quarter"))).unionByName(years.withColumn("kind", F.lit("year")))
+    out = published.estimated(every, {"median_price": 0.5, "top_price": 1.0})
+    near = F.abs(F.col("distinct_hll") - F.col("distinct_theta")) <= F.greatest(F.lit(1.0), 0.05 * F.col("distinct_theta"))
+    return out.select("kind", "period", F.col("n").alias("n_orders"), F.col("distinct_theta").alias("customers"), near.alias("hll_near"), "median_price", "top_price")
+
+
+SQL_CHANGED = """(SELECT l_returnflag, month, CASE WHEN k % 11 = 0 THEN qty + 100 ELSE qty END AS qty FROM (SELECT l_returnflag, date_trunc('month', l_shipdate)::DATE AS month,
+  l_quantity::DECIMAL(12,2) AS qty, l_orderkey AS k, l_linenumber AS ln FROM lineitem) WHERE NOT (k % 13 = 0 AND k % 11 <> 0) AND NOT (month = DATE '1996-02-01'))"""
+
+
+@query(f"SELECT l_returnflag, month, count(*) AS n, sum(qty)::DECIMAL(18,2) AS sum_qty, count(qty) AS cnt_qty, min(qty) AS min_qty, max(qty) AS max_qty FROM {SQL_CHANGED} GROUP BY ALL")
+def quantities_kept_up(spark, sf):
+    """A published aggregate after a day of changes: lines that came, went and changed, and a month of which every
+    line went. Only the deltas are added; groups that lost a least or greatest quantity are read again."""
+    li = table(spark, sf, "lineitem").select("l_returnflag", F.trunc("l_shipdate", "MM").alias("month"), F.col("l_quantity").cast("decimal(12,2)").alias("qty"), F.col("l_orderkey").alias("k"))
+    k, gone = F.col("k"), (F.col("k") % 13 == 0) & (F.col("k") % 11 != 0) | (F.col("month") == F.lit("1996-02-01").cast("date"))
+    changed = (k % 11 == 0) & ~gone
+    before = li.filter(k % 17 != 0)  # a seventeenth of the lines are new
+    new = li.withColumn("qty", F.when(k % 11 == 0, F.col("qty") + 100).otherwise(F.col("qty")).cast("decimal(12,2)")).filter(~gone)
+    path = scratch(spark, "kept-up")
+    published.aggregate(before, ["l_returnflag", "month"], ["qty"], ["qty"]).write.parquet(path)
+    inserted = new.filter((k % 17 == 0) | (k % 11 == 0))
+    deleted = before.filter(gone | changed)
+    out = published.kept_up(spark.read.parquet(path), inserted, deleted, new, ["l_returnflag", "month"], ["qty"], ["qty"])
+    return out.withColumn("sum_qty", money(F.col("sum_qty")))
+
+
+SQL_COPY = "(SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 997 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, l_returnflag FROM lineitem WHERE l_orderkey % 1009 <> 0)"
+
+
+@query(
+    f"""WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem), b AS (SELECT * FROM {SQL_COPY}),
+d AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, sum(s) AS d FROM (SELECT *, 1 AS s FROM a UNION ALL SELECT *, -1 FROM b) GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, CASE WHEN d > 0 THEN 'left' ELSE 'right' END AS side, abs(d)::BIGINT AS surplus FROM d WHERE d <> 0"""
+)
+def reconciled_by_digests(spark, sf):
+    """Lines and a copy of them in which some changed and some are missing: the rows that differ."""
+    a = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    b = a.filter(F.col("l_orderkey") % 1009 != 0).withColumn("l_quantity", F.when(F.col("l_orderkey") % 997 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    return published.differences(a, b, ["l_orderkey"])
