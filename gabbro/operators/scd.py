@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gabbro.functions.clean import row_hash
+from gabbro.operators.relational import as_of_join
 
 
 def rebuild(journal: DataFrame, key: str, at: str, tracked: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
@@ -41,6 +42,42 @@ def apply(history: DataFrame, journal: DataFrame, key: str, at: str, tracked: Se
     return rest.unionByName(rebuild(again, key, at, tracked, carried))
 
 
+def islands(history: DataFrame, late: DataFrame, key: str, at: str) -> tuple[DataFrame, DataFrame]:
+    """(touched, bounds) of versions that arrive after later ones: touched has (key, valid_from) of the versions
+    next to a late row, the one in force at its time and the one after it; bounds has a row for each run of
+    neighbours: key, _island, _lo and _hi (times, _hi null where no version follows), _end (valid_to of its last version). Only the history of keys
+    with late rows is sorted."""
+    news = late.select(F.col(key).alias("_key"), F.col(at).alias("_at")).distinct()
+    # a mark before and one behind: a version of the same time may go, and then both of its neighbours count
+    marks = news.withColumn("_late", F.explode(F.array(F.lit(-1), F.lit(1))))
+    mine = history.join(news.select("_key").distinct(), F.col(key) == F.col("_key"), "left_semi")
+    rows = mine.select(F.col(key).alias("_key"), F.col("valid_from").alias("_at"), F.lit(0).alias("_late"), F.col("valid_to").alias("_to")).unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy("_key").orderBy("_at", "_late")
+    near = (F.col("_late") != 0) | (F.coalesce(F.lag("_late").over(w), F.lit(0)) != 0) | (F.coalesce(F.lead("_late").over(w), F.lit(0)) != 0)
+    run = rows.withColumn("_near", near).withColumn("_island", F.sum(F.when(F.col("_near"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_near")
+    # behind a late row that no version follows all of the journal counts: it may part the current version, too
+    last = lambda c: F.max_by(c, F.struct("_at", "_late"))
+    bounds = run.groupBy("_key", "_island").agg(F.min("_at").alias("_lo"), last(F.when(F.col("_late") == 0, F.col("_at"))).alias("_hi"), last("_to").alias("_end"))
+    return run.filter("_late = 0").select("_key", F.col("_at").alias("_from")), bounds
+
+
+def repair(history: DataFrame, journal: DataFrame, late: DataFrame, key: str, at: str, tracked: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
+    """The history of the whole journal, from a history made without its rows `late` (they are in journal, too):
+    only the intervals next to a late row are made again, from the journal's rows between their bounds, as
+    a late row can part versions that were collapsed. All other versions are taken as they are. The same as
+    `rebuild(journal)`; keys must not be null."""
+    touched, bounds = islands(history, late, key, at)
+    # islands of a key don't overlap, so a row's island is the last one that starts before it: sorted, not paired
+    starts = bounds.select(F.col("_key").alias(key), F.col("_lo").alias("valid_from"), F.lit(None).cast(journal.schema[at].dataType).alias("valid_to"), "_island", "_hi", "_end")
+    mine = journal.select(key, at, *tracked, *carried).join(bounds.select("_key").distinct(), F.col(key) == F.col("_key"), "left_semi")
+    pieces = as_of_join(mine, starts, key, at, "inner").filter(F.col("_hi").isNull() | (F.col(at) <= F.col("_hi")))
+    pieces = pieces.select(F.struct(F.col(key).alias("_key"), "_island", "_end").alias("_piece"), at, *tracked, *carried)
+    again = rebuild(pieces, "_piece", at, tracked, carried).withColumn(key, F.col("_piece._key")).withColumn("valid_to", F.coalesce("valid_to", F.col("_piece._end")))
+    again = again.withColumn("is_current", F.col("valid_to").isNull()).select(*history.columns)
+    rest = history.join(touched, (F.col(key) == F.col("_key")) & (F.col("valid_from") == F.col("_from")), "left_anti")
+    return rest.unionByName(again)
+
+
 def auto_cdc(feed: DataFrame, keys: Sequence[str], sequence_by: str, kind: int = 1, delete_when: str | None = None, drop: Sequence[str] = ()) -> DataFrame:
     """Type 1: the last state of each key, without those deleted last. Type 2: intervals of each state;
     a delete closes one and opens none."""

@@ -3,12 +3,16 @@ found first, sessions that expire, change feeds with marks and tombstones. Each
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from gabbro.operators import published
+from gabbro.operators import published, scd
 from gabbro.operators import relational as R
+from gabbro.operators.layout import laid_out
 from gabbro.plans.gold import SQL_NET, SQL_PLANS, money, net, plan_history
 from gabbro.plans.platform import scratch
+from gabbro.sources import ingest
 from gabbro.streaming import flows, state
 from gabbro.tables import table, tables
 
@@ -159,3 +163,55 @@ def reconciled_by_digests(spark, sf):
     a = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
     b = a.filter(F.col("l_orderkey") % 1009 != 0).withColumn("l_quantity", F.when(F.col("l_orderkey") % 997 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
     return published.differences(a, b, ["l_orderkey"])
+
+
+@query(
+    """WITH c AS (SELECT user_id, ts, event_type AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_type DESC) = 1),
+d AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts) AS was FROM c),
+e AS (SELECT * FROM d WHERE was IS NULL OR was <> status)
+SELECT user_id, status, ts AS valid_from, lead(ts) OVER w AS valid_to, lead(ts) OVER w IS NULL AS is_current FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)"""
+)
+def scd2_late_repair(spark, sf):
+    """A history to which one event in fifty comes late, and of every tenth user none: repaired next to the late
+    rows only, the same as a rebuild of all."""
+    e = table(spark, sf, "events").filter("user_id is not null and ts is not null").select("event_id", "user_id", "ts", F.col("event_type").alias("status"))
+    is_late = (F.col("event_id") % 50 == 0) & (F.col("user_id") % 10 != 0)
+    path = scratch(spark, "history")
+    scd.rebuild(e.filter(~is_late), "user_id", "ts", ["status"]).write.parquet(path)
+    return scd.repair(spark.read.parquet(path), e.drop("event_id"), e.filter(is_late).drop("event_id"), "user_id", "ts", ["status"]).drop("row_hash")
+
+
+def pruned_fact(spark, sf):
+    """(fact, suppliers, years): lines partitioned by year and bucketed by supplier, suppliers bucketed alike, and
+    a small table of years."""
+    li, su = tables(spark, sf, "lineitem", "supplier")
+    top, tag = scratch(spark, "layout"), uuid.uuid4().hex[:12]
+    lines = li.select("l_orderkey", "l_suppkey", F.col("l_quantity").cast("decimal(12,2)").alias("qty"), F.year("l_shipdate").alias("ship_year"))
+    fact = laid_out(lines, f"gabbro_fact_{tag}", f"{top}/fact", "l_suppkey", 8, ["ship_year"])
+    suppliers = laid_out(su.select("s_suppkey", "s_name"), f"gabbro_supplier_{tag}", f"{top}/supplier", "s_suppkey", 8)
+    li.select(F.year("l_shipdate").alias("year")).distinct().withColumn("kind", F.when(F.col("year") % 4 == 0, "leap").otherwise("common")).write.parquet(f"{top}/years")
+    return fact, suppliers, spark.read.parquet(f"{top}/years")
+
+
+@query("SELECT s_name, year(l_shipdate)::INTEGER AS ship_year, count(*) AS n, sum(l_quantity::DECIMAL(12,2))::DECIMAL(18,2) AS qty FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE year(l_shipdate) % 4 = 0 GROUP BY ALL")
+def leap_year_quantities(spark, sf):
+    """Quantities by supplier in leap years: the years' filter prunes the fact's partitions while it runs, and fact
+    and suppliers meet bucket by bucket."""
+    fact, suppliers, years = pruned_fact(spark, sf)
+    j = fact.join(years.filter("kind = 'leap'"), F.col("ship_year") == F.col("year")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    return j.groupBy("s_name", "ship_year").agg(F.count("*").alias("n"), money(F.sum("qty")).alias("qty"))
+
+
+@query(
+    """WITH r AS (SELECT event_id, CASE WHEN event_id % 97 = 0 THEN substr(props, 1, length(props) - 1) WHEN event_id % 89 = 0 THEN '{"k": "many", "note": "x"}' ELSE props END AS line FROM events)
+SELECT event_id, CASE WHEN json_valid(line) AND json_type(line, '$.k') IN ('UBIGINT', 'BIGINT') THEN json_extract(line, '$.k')::INTEGER END AS k,
+  CASE WHEN json_valid(line) AND event_id % 89 = 0 THEN '{"k":"many","note":"x"}' END AS rescued, CASE WHEN NOT json_valid(line) THEN line END AS corrupt FROM r"""
+)
+def variant_events(spark, sf):
+    """Events whose JSON is cut off here and of another type there: typed columns, rescued fields and corrupt lines
+    from one parse."""
+    e = table(spark, sf, "events").select("event_id", "props")
+    broken = F.expr("substr(props, 1, length(props) - 1)")
+    lines = e.select("event_id", F.when(F.col("event_id") % 97 == 0, broken).when(F.col("event_id") % 89 == 0, F.lit('{"k": "many", "note": "x"}')).otherwise(F.col("props")).alias("line"))
+    out = ingest.variants(lines, "line", {"k": ("$.k", "int")})
+    return out.select("event_id", "k", F.col("_rescued").alias("rescued"), F.col("_corrupt").alias("corrupt"))
