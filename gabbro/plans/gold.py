@@ -151,6 +151,7 @@ def top_products_90d(spark, sf):
     return top.select("p_partkey", "p_name", "p_brand", "revenue", "quantity", "return_rate")
 
 
+# The three commission rates of the plans.
 SQL_PLANS = """(SELECT s_suppkey AS supp, v AS plan_version, CASE (s_suppkey + v) % 3 WHEN 0 THEN 0.150 WHEN 1 THEN 0.115 ELSE 0.085 END::DECIMAL(5,3) AS rate,
   CASE v WHEN 0 THEN TIMESTAMP '1900-01-01' WHEN 1 THEN TIMESTAMP '1995-06-01' ELSE TIMESTAMP '1997-03-15' END AS valid_from,
   CASE v WHEN 0 THEN TIMESTAMP '1995-06-01' WHEN 1 THEN TIMESTAMP '1997-03-15' END AS valid_to
@@ -219,6 +220,7 @@ def scd2_merge_equals_rebuild(spark, sf):
     return per.agg(F.sum(F.abs("d")).cast("long").alias("differing_rows"), F.sum("n").cast("long").alias("history_rows"))
 
 
+# The two impossible timestamps that raw deliveries hold.
 RAW = {
     "price": "CASE l_orderkey % 7 WHEN 0 THEN replace({p}, '.', ',') || ' €' WHEN 1 THEN 'n/a' WHEN 2 THEN 'EUR ' || replace({p}, '.', ',') ELSE {p} END",
     "qty": "CASE l_orderkey % 5 WHEN 0 THEN '0' WHEN 1 THEN '-2' ELSE cast(cast(l_quantity AS int) AS string) END",

@@ -121,6 +121,7 @@ SQL_PRICED = """(SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, p_retai
 
 
 def _priced(spark, sf):
+    # Fixed value: the suppliers whose prices come in cents.
     li = table(spark, sf, "lineitem").withColumn("price", F.when(F.col("l_suppkey") % 24 == 7, 100).otherwise(1) * F.col("l_extendedprice").cast("decimal(14,2)"))
     li = li.withColumn("piece", F.col("price") / F.col("l_quantity").cast("decimal(10,2)"))
     return silver.suspected_scale(li, table(spark, sf, "part").filter("p_partkey % 13 <> 0"), "l_partkey", "p_partkey", "piece", "p_retailprice")
