@@ -55,6 +55,7 @@ VERTICAL = 4  # fragments in which overlaps are counted
 FLUSH = 600_000  # keys a task holds before it sends them
 CORE = 50  # percent of similarity with a pivot, from which on its round settles a document
 ROUNDS = 3
+MANY = 16  # members of a chain of runs up to which they meet in pairs without a look at longer chains
 BUCKET = 8 << 20  # bytes of input (as stored) whose keys meet in one task
 
 
@@ -170,16 +171,16 @@ def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
             k, d = k[new], d[new]
             s = np.array(sig, np.uint64).reshape(-1, 3)
             rest_ = np.concatenate([pairs, np.array(rest, np.int64).reshape(-1, 4)])
-            at = (k % np.uint64(buckets)).astype(np.int64)
-            s_at = (s[:, 0] % np.uint64(buckets)).astype(np.int64)
-            by, s_by = np.argsort(at, kind="stable"), np.argsort(s_at, kind="stable")
-            cut, s_cut = np.searchsorted(at[by], np.arange(buckets + 1)), np.searchsorted(s_at[s_by], np.arange(buckets + 1))
-            rows = []
-            for b in range(buckets):
-                i, j = by[cut[b] : cut[b + 1]], s_by[s_cut[b] : s_cut[b + 1]]
-                mine = rest_[(b - turn) % buckets :: buckets]
-                if len(i) or len(j) or len(mine):
-                    rows.append((b, k[i].tobytes(), d[i].tobytes(), s[j, 0].tobytes(), s[j, 1].tobytes(), s[j, 2].tobytes(), mine.tobytes()))
+            # only the buckets that get something
+            places = [(k % np.uint64(buckets)).astype(np.int64), (s[:, 0] % np.uint64(buckets)).astype(np.int64), (np.arange(len(rest_)) + turn) % buckets]
+            used = np.unique(np.concatenate(places))
+            parts = []
+            for at in places:
+                by = np.argsort(at, kind="stable")
+                parts.append(np.split(by, np.searchsorted(at[by], used[1:])))
+            rows = [
+                (int(b), k[i].tobytes(), d[i].tobytes(), s[j, 0].tobytes(), s[j, 1].tobytes(), s[j, 2].tobytes(), rest_[r].tobytes()) for b, i, j, r in zip(used, *parts)
+            ]
             key.clear(), doc.clear(), sig.clear(), rest.clear(), seen.clear()
             kinds = [pa.int64()] + [pa.binary()] * 6
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, kinds)], names=names)
@@ -289,8 +290,8 @@ def alone(sets: DataFrame) -> DataFrame:
             d = np.repeat(b.column("doc_id").to_numpy(), part.value_lengths().to_numpy(zero_copy_only=False))
             at = (h % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(at, kind="stable")
-            cut = np.searchsorted(at[order], np.arange(buckets + 1))
-            rows = [(k, h[i].tobytes(), d[i].tobytes()) for k in range(buckets) if len(i := order[cut[k] : cut[k + 1]])]
+            used = np.unique(at)
+            rows = [(int(k), h[i].tobytes(), d[i].tobytes()) for k, i in zip(used, np.split(order, np.searchsorted(at[order], used[1:])))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "hashes", "docs"])
 
     def meet(_: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,23 +335,77 @@ def similar(percent: int | float, n: Column, m: Column, a: Column) -> Column:
     return F.lit(100) * (n + m - a) >= F.lit(percent) * (n + m + a)
 
 
-def meeting(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (grp, node, label, n, size, differ) of one group and different labels, whose sets
-    share one of their rarest n-grams, as all pairs that are links do."""
+def runs(rows: DataFrame) -> DataFrame:
+    """(grp, node, label, n, size, run, weight, at): the n-grams of rows (grp, node, label, n, size, differ) that
+    two members of a group share. Those that the same members have are one run, `weight` n-grams long; `at` is
+    the place of its first n-gram when a member's runs follow the rarest first."""
     each = rows.select("grp", "node", F.explode("differ").alias("gram"))
-    common = each.groupBy("grp", "gram").agg(F.count("*").alias("members")).filter("members > 1")
+    who = [F.bit_xor(F.xxhash64("node", F.lit(k))) for k in (1, 2)]
+    common = each.groupBy("grp", "gram").agg(F.count("*").alias("members"), *[x.alias(f"who_{k}") for k, x in enumerate(who)]).filter("members > 1")
+    have = each.join(common, ["grp", "gram"]).groupBy("grp", "node", "members", "who_0", "who_1").agg(F.count("*").alias("weight"))
     one = Window.partitionBy("grp", "node")
-    found = each.join(common, ["grp", "gram"]).withColumn("at", F.row_number().over(one.orderBy("members", "gram"))).withColumn("shared", F.count("*").over(one))
-    # n-grams that nobody else has come first; none beyond the longest prefix that any partner asks for
-    most = F.floor(F.col("n") * F.lit(100 - percent) / F.lit(percent)) + 1
-    heads = found.join(rows.select("grp", "node", "label", "n", "size"), ["grp", "node"]).withColumn("at", F.col("at") + F.col("size") - F.col("shared")).filter(F.col("at") <= most)
-    heads = written(heads.select("grp", "gram", "node", "label", "n", "size", "at"), "ngram-heads")
-    x, y = (heads.select("grp", "gram", *[F.col(c).alias(f"{c}_{z}") for c in ("node", "label", "n", "size", "at")]) for z in "xy")
+    before = F.sum("weight").over(one.orderBy("members", "who_0", "who_1").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("weight")
+    # n-grams that nobody else has come first
+    have = have.withColumn("at", before - F.sum("weight").over(one) + 1).withColumn("run", F.xxhash64("members", "who_0", "who_1"))
+    have = have.join(rows.select("grp", "node", "label", "n", "size"), ["grp", "node"])
+    return have.select("grp", "node", "label", "n", "size", "run", "weight", (F.col("at") + F.col("size")).alias("at"))
+
+
+def meeting(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (grp, node, label, n, size, differ) of one group and different labels, to be
+    verified: they connect whatever the links among rows connect.
+
+    A link shares at least k n-grams of its differences, so its first shared run lies among the rarest, and
+    if that run is w long, k - w more follow, the first of them among the rarest again. Members with a run
+    meet at that chain of one run. Where they are many, each goes on to chains of two runs, three, ..., as
+    long as that makes fewer rows than pairs would be made. So members of templates with common values meet
+    only at combinations of values, and rows don't grow with the square of the members.
+    """
+    every = written(runs(rows), "ngram-runs")
+    most = F.floor(F.col("n") * F.lit(100 - percent) / F.lit(percent)) + 1  # the last place any partner lets a first shared run have
+    chain = every.select("grp", "node", "label", "n", "size", "at", F.lit(0).cast("long").alias("done"), "weight", F.col("run").alias("chain")).filter(F.col("at") <= most)
+    # 2 (100 + percent) k is the sum of two members' needs
+    need = F.lit(100 + percent) * F.col("size") - F.lit(100 - percent) * F.col("n")
+    key, found, read = ["grp", "chain"], None, []
+    while True:
+        # of members whose chain alone is enough, each with the one that needs least: all of them are links
+        sums = chain.groupBy(*key).agg(
+            F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(need.alias("need"), F.col("node").alias("node"))).alias("least")
+        ).filter("low < high")
+        chain = written(chain.join(sums.drop("low", "high"), key), "ngram-chains")
+        discard(*read)
+        read = [chain]
+        enough = chain.filter((F.col("node") != F.col("least.node")) & (need + F.col("least.need") <= F.lit(2 * (100 + percent)) * (F.col("done") + F.col("weight"))))
+        pairs = enough.select(F.least("node", "least.node").alias("a"), F.greatest("node", "least.node").alias("b"))
+        few, many = chain.filter(F.col("members") <= MANY), chain.filter(F.col("members") > MANY)
+        longer = None
+        if many.limit(1).count():
+            step = every.select("grp", "node", F.col("run").alias("next"), F.col("weight").alias("w"), F.col("at").alias("next_at"))
+            grown = many.join(step, ["grp", "node"]).filter((F.col("next_at") > F.col("at")) & (F.col("next_at") <= most + F.col("done") + F.col("weight")))
+            grown = written(grown.select("grp", "chain", "members", "node", "label", "n", "size", "next_at", (F.col("done") + F.col("weight")).alias("done"), "w", "next"), "ngram-grown")
+            read.append(grown)
+            # where that makes more rows than there are pairs, the pairs are made
+            dear = grown.groupBy(*key, "members").agg(F.count("*").alias("rows")).filter("2 * rows >= members * (members - 1)").select(*key)
+            few = few.unionByName(many.join(dear, key, "left_semi"))
+            longer = grown.join(dear, key, "left_anti").select(
+                "grp", "node", "label", "n", "size", F.col("next_at").alias("at"), "done", F.col("w").alias("weight"), F.xxhash64("chain", "next").alias("chain")
+            )
+        pairs = written(pairs.unionByName(meet_at(few, percent)).distinct(), "ngram-pairs")
+        found = pairs if found is None else found.unionByName(pairs)
+        if longer is None:
+            discard(every, *read)
+            return found.distinct()
+        chain = longer
+
+
+def meet_at(chains: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one chain and different labels that can be links by place and size."""
+    x, y = (chains.select("grp", "chain", "done", *[F.col(c).alias(f"{c}_{z}") for c in ("node", "label", "n", "size", "at")]) for z in "xy")
     s, both = F.col("n_x") + F.col("n_y"), F.col("size_x") + F.col("size_y")
-    k = F.ceil((F.lit(100 + percent) * both - F.lit(100 - percent) * s) / F.lit(2 * (100 + percent)))
+    k = F.ceil((F.lit(100 + percent) * both - F.lit(100 - percent) * s) / F.lit(2 * (100 + percent))) - F.col("done")
     fits = (F.lit(100) * F.least("n_x", "n_y") >= F.lit(percent) * F.greatest("n_x", "n_y")) & (F.col("at_x") <= F.col("size_x") - k + 1) & (F.col("at_y") <= F.col("size_y") - k + 1)
-    met = x.join(y, ["grp", "gram"]).filter((F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & fits)
-    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    met = x.join(y.drop("done"), ["grp", "chain"]).filter((F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & fits)
+    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
 
 def linked(docs: DataFrame, members: DataFrame, same: DataFrame, n: int, percent: int) -> DataFrame:
