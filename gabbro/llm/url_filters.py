@@ -4,7 +4,9 @@ A list is a log of dated entries (list_name, scope, pattern, at, action), action
 'remove'. Per entry the log becomes validity intervals [valid_from, valid_to), open at the end if
 nothing follows. A capture (page_id, url, fetched_at) is looked up under every key its url has: its
 host, its host and every parent domain of two labels or more, and every path prefix; an as-of join
-evaluates it against the entries active when it was fetched.
+evaluates it against the entries active when it was fetched. Prefixes and domains are made only at the
+depths that the list has for the same host or last two labels, so a URL of very many segments costs its
+length times the depths listed there, and a capture whose host is in no list has no keys.
 
 Skew: the key join is an inner equi join with the interval as a residual, both sides dealt by key, so
 Spark splits the partitions of a hot host; captures without any match don't pass through it. Entries
@@ -44,28 +46,34 @@ def intervals(entries: DataFrame) -> DataFrame:
     return log.filter(F.col("action") == "add").select(*key, F.col("at").alias("valid_from"), "valid_to")
 
 
-def keys_of(captures: DataFrame) -> DataFrame:
-    """A row for each (capture, scope, pattern) under which a list could hold the capture."""
-    labels = F.split(F.col("host"), r"\.")
-    n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.lit("domain").alias("scope"), F.array_join(F.slice(labels, i, n), ".").alias("pattern")))
-    steps = F.filter(F.split(F.lower(F.regexp_extract("url", PATH, 1)), "/"), lambda x: x != "")
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1))),
-        lambda i: F.struct(F.lit("prefix").alias("scope"), F.concat(F.col("host"), F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/")).alias("pattern")),
-    )
-    own = F.array(F.struct(F.lit("host").alias("scope"), F.col("host").alias("pattern")))
+def keys_of(captures: DataFrame, live: DataFrame) -> DataFrame:
+    """A row for each (capture, scope, pattern) under which the list live can hold the capture: of its parent
+    domains and path prefixes only those as deep as the list has any, for prefixes of its host, for domains
+    of its last two labels."""
+    parts = F.when(F.col("scope") == "domain", F.size(F.split("pattern", r"\."))).when(F.col("scope") == "prefix", F.size(F.split("pattern", "/")) - 1).otherwise(1)
+    place = F.when(F.col("scope") == "domain", F.substring_index("pattern", ".", -2)).when(F.col("scope") == "prefix", F.substring_index("pattern", "/", 1)).otherwise(F.col("pattern"))
+    listed = live.select(F.col("scope").alias("l_scope"), place.alias("l_place"), parts.alias("parts")).filter("parts > 0").distinct()
     known = captures.withColumn("host", host_of(F.col("url"))).filter(F.col("host") != "")
-    return known.select("page_id", "url", "fetched_at", F.explode(F.array_distinct(F.concat(own, domains, prefixes))).alias("k")).select(
-        "page_id", "url", "fetched_at", "k.scope", "k.pattern"
+    steps = F.filter(F.split(F.lower(F.regexp_extract("url", PATH, 1)), "/"), lambda x: x != "")
+    known = known.withColumn("steps", steps).select(
+        "page_id", "url", "fetched_at", "host", F.greatest(F.size("steps"), F.lit(1)).alias("n_steps"), F.concat("host", F.lit("/"), F.array_join("steps", "/")).alias("path")
     )
+    own = [
+        (F.lit("host"), F.col("host"), F.col("host"), F.lit(1)),
+        (F.lit("domain"), F.substring_index("host", ".", -2), F.col("host"), F.size(F.split("host", r"\."))),
+        (F.lit("prefix"), F.col("host"), F.col("path"), F.col("n_steps")),
+    ]
+    each = known.select("page_id", "url", "fetched_at", F.explode(F.array(*[F.struct(*[x.alias(c) for x, c in zip(o, ("scope", "place", "whole", "most"))]) for o in own])).alias("k"))
+    met = each.select("page_id", "url", "fetched_at", "k.*").join(listed, (F.col("scope") == F.col("l_scope")) & (F.col("place") == F.col("l_place")) & (F.col("parts") <= F.col("most")))
+    pattern = F.expr("CASE scope WHEN 'domain' THEN substring_index(whole, '.', -parts) WHEN 'prefix' THEN substring_index(whole, '/', parts + 1) ELSE whole END")
+    return met.select("page_id", "url", "fetched_at", "scope", pattern.alias("pattern"))
 
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Every capture with n_active (entries active at its fetch), first_rule and blocked."""
     own = captures.select("page_id", "url", "fetched_at")
     live = intervals(entries)
-    keys = keys_of(own)
+    keys = keys_of(own, live)
     hit = keys.join(
         live.withColumnRenamed("scope", "l_scope").withColumnRenamed("pattern", "l_pattern"),
         (F.col("pattern") == F.col("l_pattern"))

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from gabbro.llm import bpe_automaton, chat_format, compression_rules, mixture, mtree, ngram_join, quality_gbdt, suffix_dedup, warc_zip
+from gabbro.llm import bpe_automaton, chat_format, compression_rules, mixture, mtree, ngram_join, quality_gbdt, suffix_dedup, url_filters, warc_zip
 from gabbro.llm.induced_sort import CAP, Stats, sorted_suffixes
 from test_llm import brute_components, brute_dedup, by_id
 
@@ -151,6 +151,39 @@ def test_differences_from_a_pivot_miss_no_link(spark):
         assert want <= met
 
 
+def test_members_of_a_template_meet_at_combinations(spark):
+    """Four slots of twelve values each: sets that differ in one slot are links. What meets connects the same
+    sets as the links do, and grows with the members, not with their square."""
+
+    def run(n):
+        rng = random.Random(3)
+        docs = sorted({tuple(rng.randrange(12) for _ in range(4)) for _ in range(n)})
+        gram = lambda slot, value, k: slot * 1000 + value * 3 + k
+        pivot = docs[0]
+        rows = []
+        for i, d in enumerate(docs[1:]):
+            differ = [gram(s, v, k) for s in range(4) if d[s] != pivot[s] for v in (d[s], pivot[s]) for k in range(3)]
+            rows.append((0, i, i, 58, len(differ), differ))
+        met = ngram_join.meeting(spark.createDataFrame(rows, "grp long, node long, label long, n long, size long, differ array<long>"), 90).collect()
+        near = lambda x, y: sum(a != b for a, b in zip(docs[x + 1], docs[y + 1])) == 1
+        label = list(range(len(rows)))
+
+        def root(x):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        for a, b in met:
+            if near(a, b):
+                low, high = sorted((root(a), root(b)))
+                label[high] = low
+        far = [sum(a != b for a, b in zip(d, pivot)) > 1 for d in docs[1:]]  # others are links of the pivot
+        assert all(root(x) == root(y) for x in range(len(rows)) for y in range(x) if far[x] and far[y] and near(x, y))
+        return len(met)
+
+    assert run(1000) < 8 * run(250)
+
+
 def test_ngram_join_repeated_and_null_ids(spark):
     rng = random.Random(6)
     a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(2))
@@ -344,3 +377,20 @@ def test_bpe_rows_are_runs():
         assert enc.encode(text) == tok.encode(text, add_special_tokens=False).ids
     for text, top in (("a", 0xFF), ("é", 0xFF), ("€", 0xFFFF), ("\U0001f600", 0x10FFFF), ("", 0xFF)):
         assert bpe_automaton.width(text) >= max(map(ord, text), default=0) and bpe_automaton.width(text) == top
+
+
+def test_urls_of_very_many_segments(spark):
+    """A URL's keys are only as many as the list has depths for its host, however many segments it has."""
+    t = "timestamp_ntz'2024-01-01'"
+    long = "http://Deep.example.com" + "/a" * 60_000 + "?q=/b"
+    wide = "http://" + "x." * 20_000 + "example.com/"
+    caps = [(1, long), (2, wide), (3, "http://deep.example.com"), (4, "http://deep.example.com//A//a/"), (5, "http://com/a"), (6, "http://other.org/a/a/a")]
+    c = spark.createDataFrame(caps, "page_id long, url string").selectExpr("*", f"{t} AS fetched_at")
+    listed = [("p", "prefix", "deep.example.com/a/a"), ("p", "prefix", "deep.example.com/"), ("p", "prefix", "deep.example.com/a/a/"), ("d", "domain", "example.com"), ("d", "domain", "com"), ("p", "prefix", "other.org"), ("h", "host", "other.org")]
+    e = spark.createDataFrame(listed, "list_name string, scope string, pattern string").selectExpr("*", f"{t} AS at", "'add' AS action")
+    got = {r["page_id"]: (r["n_active"], r["first_rule"]) for r in url_filters.evaluate(c, e).collect()}
+    rule = {"p": "p:prefix:deep.example.com", "d": "d:domain:"}
+    assert got == {
+        1: (2, rule["d"] + "example.com"), 2: (1, rule["d"] + "example.com"), 3: (2, rule["d"] + "example.com"), 4: (2, rule["d"] + "example.com"), 5: (1, rule["d"] + "com"), 6: (1, "h:host:other.org"),
+    }
+    assert url_filters.keys_of(c, url_filters.intervals(e)).count() < 20
