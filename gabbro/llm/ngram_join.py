@@ -21,13 +21,14 @@ sets differ as their differences do: with D(x) of a and D(y) of b n-grams,
     |x - y| + |y - x| = a + b - 2 |D(x) & D(y)|,
 so x and y are a link only if their differences from the pivot share at least
     k = (a + b - (n_x + n_y) (1 - s) / (1 + s)) / 2
-n-grams, and what a whole group has in common, the bulk of near copies, is in no difference at all. If
-k were 0 or less, both would be linked with the pivot. Differences are ordered by how many members have
-an n-gram, rarest first; of k common n-grams one at least is among the first a - k + 1 of x and the
-first b - k + 1 of y. Only pairs that meet so are counted, by fragments again. 1 - s is also the most by
+n-grams, and what a whole group has in common, the bulk of near copies, is in no difference at all. So
+a group's links follow from its differences alone: members are dealt into blocks, and where two blocks meet
+in a task all their overlaps are counted at once. Pairs of members are numbers in a task, never rows. 1 - s is also the most by
 which distances from the pivot can differ (Jaccard distance is a metric): members up to CORE away from
 the pivot are done with this round, the others look for another pivot. Those who are far from every
-pivot after ROUNDS rounds are joined by whole sets, with the same order and the same bounds. The result
+pivot after ROUNDS rounds are joined by whole sets, as differences from nothing. These are ordered by how
+many members have an n-gram, rarest first; of k common n-grams one at least is among the first a - k + 1
+of x and the first b - k + 1 of y. Only pairs that meet so are counted, by fragments again. The result
 is that of all pairs. Before the shuffle each task sends one document a fragment, so a fragment in a
 third of all documents is a row for each flush of a task.
 
@@ -43,6 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,8 @@ FLUSH = 600_000  # keys a task holds before it sends them
 CORE = 50  # percent of similarity with a pivot, from which on its round settles a document
 ROUNDS = 3
 MANY = 16  # members of a chain of runs up to which they meet in pairs without a look at longer chains
+BLOCK, MEMBER = 1 << 20, 512  # n-grams of a block of members, a member counting as so many more
+HEAVY = 1 << 15  # pairs of members with an n-gram, beyond which it is counted by a product of matrices
 BUCKET = 8 << 20  # bytes of input (as stored) whose keys meet in one task
 
 
@@ -408,6 +412,108 @@ def meet_at(chains: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
 
+def overlaps(x: tuple[np.ndarray, np.ndarray, int], y: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """How many n-grams each of x has in common with each of y; both are (n-grams, whose, members), a member's
+    n-grams being distinct. N-grams of few are counted by pair, those of many by products of matrices."""
+    (gram_x, of_x, m_x), (gram_y, of_y, m_y) = x, y
+    shared = np.zeros(m_x * m_y, np.int64)
+    both = np.intersect1d(gram_x, gram_y)
+    if not len(both):
+        return shared.reshape(m_x, m_y)
+    sides = []
+    for gram, of in ((gram_x, of_x), (gram_y, of_y)):
+        at = np.minimum(np.searchsorted(both, gram), len(both) - 1)
+        known = np.flatnonzero(both[at] == gram)
+        known = known[np.argsort(at[known], kind="stable")]
+        sides.append((at[known], of[known]))
+    (at_x, of_x), (at_y, of_y) = sides
+    starts, count = np.searchsorted(at_y, np.arange(len(both))), np.bincount(at_y, minlength=len(both))
+    often = np.bincount(at_x, minlength=len(both)) * count > HEAVY
+    rare = np.flatnonzero(~often[at_x])
+    times = count[at_x[rare]]
+    ends = np.cumsum(times)
+    for low in range(0, int(ends[-1]) if len(ends) else 0, 1 << 21):
+        i, j = np.searchsorted(ends, [low, low + (1 << 21)], "right")
+        t = times[i:j]  # members of y that each n-gram of this part meets
+        if len(t):
+            place = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t) + np.repeat(starts[at_x[rare[i:j]]], t)
+            shared += np.bincount(np.repeat(of_x[rare[i:j]], t) * m_y + of_y[place], minlength=m_x * m_y)
+    heavy = np.flatnonzero(often)
+    for low in range(0, len(heavy), 256):
+        part = heavy[low : low + 256]
+        grids = []
+        for at, of, m in ((at_x, of_x, m_x), (at_y, of_y, m_y)):
+            column = np.minimum(np.searchsorted(part, at), len(part) - 1)
+            mine = part[column] == at
+            grid = np.zeros((m, len(part)), np.float32)
+            grid[of[mine], column[mine]] = 1
+            grids.append(grid)
+        shared += (grids[0] @ grids[1].T).astype(np.int64).ravel()
+    return shared.reshape(m_x, m_y)
+
+
+def connected(group: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among rows (grp, node, label, n, size, differ) of one group and different labels that connect
+    what all such links connect.
+
+    The members of a group are dealt into blocks of at most about BLOCK n-grams, and two blocks meet in one task,
+    which knows all overlaps at once and sends a spanning forest of its links. A label with more than that has
+    blocks of its own, which don't meet each other: where most of a group is one component already, the work
+    grows with the group, not with its square."""
+    sums = group.groupBy("grp", "label").agg(F.sum(F.col("size") + MEMBER).alias("load"))
+    tag = F.when(F.col("load") > BLOCK, F.col("label").cast("string")).otherwise(F.lit(""))
+    sums = written(sums.withColumn("tag", tag), "ngram-loads")
+    kinds = sums.groupBy("grp", "tag").agg(F.ceil(F.sum("load") / F.lit(BLOCK)).alias("blocks"))
+    others = kinds.select("grp", F.col("tag").alias("other_tag"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
+    mine = group.join(sums.select("grp", "label", "tag"), ["grp", "label"]).join(kinds, ["grp", "tag"])
+    mine = mine.withColumn("block", F.concat_ws(":", F.pmod(F.xxhash64("node"), "blocks"), "tag"))
+    others = others.select("grp", "other_tag", F.concat_ws(":", "k", "other_tag").alias("other"))
+    met = mine.join(others, "grp").filter((F.col("tag") == "") | (F.col("tag") != F.col("other_tag")))
+    first, second = F.least("block", "other"), F.greatest("block", "other")
+    met = met.select("grp", first.alias("x"), second.alias("y"), (F.col("block") == first).alias("left"), "node", "label", "n", "size", "differ")
+
+    def links(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(list(batches))
+        one = key[1].as_py() == key[2].as_py()
+        sides = []
+        for of in (True,) if one else (True, False):
+            t = whole.filter(whole["left"] if of else pc.invert(whole["left"]))
+            columns = [t[c].to_numpy() for c in ("node", "label", "n", "size")]
+            differ = t["differ"].combine_chunks()
+            grams = differ.flatten().to_numpy(zero_copy_only=False)
+            of_ = np.repeat(np.arange(t.num_rows), pc.list_value_length(differ).to_numpy(zero_copy_only=False))
+            sides.append((*columns, (grams, of_, t.num_rows)))
+        (node_x, label_x, n_x, size_x, x), (node_y, label_y, n_y, size_y, y) = sides[0], sides[-1]
+        a = size_x[:, None] + size_y[None, :] - 2 * overlaps(x, y)  # n-grams that only one of two has
+        n = n_x[:, None] + n_y[None, :]
+        link = 100 * (n - a) >= percent * (n + a)
+        found = []
+        # a walk through all links; those of a tree are sent, if they connect different labels
+        new_x, new_y = np.ones(len(node_x), bool), np.ones(len(node_y), bool)
+        if one:
+            new_y = new_x
+        for start in range(len(node_x)):
+            if not new_x[start]:
+                continue
+            new_x[start] = False
+            open_ = [(True, start)]
+            while open_:
+                left, at = open_.pop()
+                here, there, near = (node_x[at], node_y, link[at] & new_y) if left else (node_y[at], node_x, link[:, at] & new_x)
+                label, labels = (label_x[at], label_y) if left else (label_y[at], label_x)
+                (new_y if left else new_x)[near] = False
+                for i in np.flatnonzero(near):
+                    open_.append((not left or one, int(i)))
+                    if labels[i] != label:
+                        found.append((min(here, there[i]), max(here, there[i])))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        del whole, sides, a, n, link
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    return met.groupBy("grp", "x", "y").applyInArrow(links, "a long, b long")
+
+
 def linked(docs: DataFrame, members: DataFrame, same: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, label) of all documents that have a link. members: (key, node) of shared fragments; same: pairs
     (a, b) of equal sets."""
@@ -451,9 +557,7 @@ def linked(docs: DataFrame, members: DataFrame, same: DataFrame, n: int, percent
         group = far.filter(similar(zone, F.col("n"), F.col("n_pivot"), F.col("a"))).select(F.col("pivot").alias("grp"), "node", "n", F.col("a").alias("size"), "differ")
         group = group.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = group.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("grp")
-        met = written(meeting(written(group.join(mixed, "grp", "left_semi"), "ngram-group"), percent), "ngram-met")
-        if met.limit(1).count():
-            more(written(verified(sets, met, percent), "ngram-near"))
+        more(written(connected(written(group.join(mixed, "grp", "left_semi"), "ngram-group"), percent), "ngram-near"))
         away = far.filter(~similar(core, F.col("n"), F.col("n_pivot"), F.col("a"))).select("node", "pivot")
         open_ = labelled(open_.join(away, ["node", "pivot"], "left_semi").drop("pivot"), labels)
     # far from all pivots: whole sets, as differences from nothing

@@ -394,3 +394,69 @@ def test_urls_of_very_many_segments(spark):
         1: (2, rule["d"] + "example.com"), 2: (1, rule["d"] + "example.com"), 3: (2, rule["d"] + "example.com"), 4: (2, rule["d"] + "example.com"), 5: (1, rule["d"] + "com"), 6: (1, "h:host:other.org"),
     }
     assert url_filters.keys_of(c, url_filters.intervals(e)).count() < 20
+
+
+@pytest.mark.parametrize("block,heavy", [(1 << 20, 1 << 15), (6000, 20)])
+def test_blocks_of_a_group_connect_what_its_links_connect(spark, monkeypatch, block, heavy):
+    """Blocks of any number, labels with blocks of their own among them: the components are those of all links."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "HEAVY", heavy)
+    rng = random.Random(11)
+    pivot = set(range(100))
+    sets = []
+    for i in range(60):
+        base = set(rng.sample(range(100), 88)) | set(rng.sample(range(100, 130), 12)) if i % 3 == 0 or not sets else set(rng.choice(sets))
+        for _ in range(rng.randrange(1, 7)):
+            base.discard(rng.choice(sorted(base)))
+            base.add(rng.randrange(100, 140))
+        sets.append(base)
+    rows = [(0, i, 7 if i % 2 else i, len(s), len(s ^ pivot), sorted(s ^ pivot)) for i, s in enumerate(sets)]
+    rows += [(1, 100 + i, 100, 50, 1, [i]) for i in range(5)] + [(1, 200, 200, 50, 0, [])]
+    frame = spark.createDataFrame(rows, "grp long, node long, label long, n long, size long, differ array<long>")
+    got = {(r["a"], r["b"]) for r in ngram_join.connected(frame, 90).collect()}
+    whole = {i: s for i, s in enumerate(sets)} | {100 + i: {*range(1000, 1050)} ^ {i} for i in range(5)} | {200: {*range(1000, 1050)}}
+    label = {r[1]: r[2] for r in rows}
+    near = lambda a, b: 10 * len(whole[a] & whole[b]) >= 9 * len(whole[a] | whole[b])
+    assert all(near(a, b) and label[a] != label[b] and a < b for a, b in got)
+
+    def parts(links):
+        at = dict(label)
+        moved = True
+        while moved:
+            moved = False
+            for a, b in links:
+                low = min(at[a], at[b])
+                moved |= at[a] != at[b]
+                for x in [x for x in at if at[x] in (at[a], at[b])]:
+                    at[x] = low
+        return at
+
+    links = [(a, b) for a in range(60) for b in range(a + 1, 60) if near(a, b)] + [(100 + i, 200) for i in range(5)]
+    assert parts(got) == parts(links) and len(got) < len(links)
+
+
+def test_loose_copies_make_no_more_rows_than_they_are(spark, monkeypatch):
+    """Copies whose changes come from a few alternatives share many n-grams, but are too different to be linked:
+    what is written on the way stays in proportion to fragments and members."""
+    rng, rows = random.Random(5), []
+    was = ngram_join.written
+
+    def counted(df, name):
+        out = was(df, name)
+        rows.append((out.count(), name))
+        return out
+
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(w if rng.random() > 0.05 else f"{w}x{rng.randrange(2)}" for w in words) for _ in range(150)]
+    monkeypatch.setattr(ngram_join, "written", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_components(docs, 3, 80).collect()}
+    sets = [set(zip(t.split(), t.split()[1:], t.split()[2:])) for t in texts]
+    at = list(range(150))
+    for a in range(150):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and at[a] != at[b]:
+                low, high = sorted((at[a], at[b]))
+                at = [low if x == high else x for x in at]
+    assert got == dict(enumerate(at))
+    assert max(rows)[0] <= max(n for n, name in rows if name == "ngram-members"), max(rows)
