@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- sketches
@@ -36,6 +36,28 @@ def estimated(sketches: DataFrame, quantiles: dict[str, float]) -> DataFrame:
     return sketches.select(*rest, F.hll_sketch_estimate("hll").alias("distinct_hll"), F.expr("theta_sketch_estimate(theta)").alias("distinct_theta"), *named)
 
 
+def exact_quantile(rows: DataFrame, by: Sequence[str], measured: str, sketches: DataFrame, q: float, slack: float = 0.005) -> DataFrame:
+    """by, quantile: the value of rank ceil(q n) among the n values of each group that aren't null, as doubles. The
+    groups' kll sketches only narrow the search to ranks within `slack` of q: values below are counted, those
+    between are ranked. A group whose rank lies elsewhere, against the sketch's error bound, is ranked whole."""
+    at = lambda p: F.expr(f"CASE WHEN kll_sketch_get_n_double(kll) > 0 THEN kll_sketch_get_quantile_double(kll, {p}D) END")
+    bounds = sketches.select(*[F.col(c).alias(f"_by_{c}") for c in by], at(max(0.0, q - slack)).alias("_low"), at(min(1.0, q + slack)).alias("_high"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    values = rows.filter(F.col(measured).isNotNull()).select(*by, F.col(measured).cast("double").alias("_v"))
+    counts = values.join(F.broadcast(bounds), same).groupBy(*by, "_low", "_high").agg(
+        F.greatest(F.lit(1), F.ceil(F.lit(q) * F.count("*"))).alias("_rank"), F.count_if(F.col("_v") < F.col("_low")).alias("_below"), F.count_if(F.col("_v") <= F.col("_high")).alias("_upto")
+    )
+    inside = (F.col("_below") < F.col("_rank")) & (F.col("_rank") <= F.col("_upto"))
+    goal = counts.select(
+        *[F.col(c).alias(f"_by_{c}") for c in by], F.when(inside, F.col("_low")).otherwise(float("-inf")).alias("_low"), F.when(inside, F.col("_high")).otherwise(float("nan")).alias("_high"),
+        F.when(inside, F.col("_rank") - F.col("_below")).otherwise(F.col("_rank")).alias("_rank"),
+    )
+    near = values.join(F.broadcast(goal), same).filter((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")))
+    steps = near.groupBy(*by, "_v", "_rank").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_v"))
+    return steps.withColumn("_upto", upto).filter(F.col("_upto") >= F.col("_rank")).groupBy(*by).agg(F.min("_v").alias("quantile"))
+
+
 # ---------------------------------------------------------------- deltas
 
 

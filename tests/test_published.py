@@ -1,5 +1,6 @@
 """Sketches against exact values, aggregates kept up against rebuilds, digests against multisets."""
 
+import math
 import random
 from collections import Counter
 
@@ -105,3 +106,25 @@ def test_equal_tables_move_digests_only(spark, sf):
     assert out.collect() == []
     final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]  # noqa: SLF001
     assert "LeftSemi" not in final
+
+
+def test_exact_quantiles_beyond_what_a_sketch_keeps(spark):
+    """Twenty thousand values a group, ties, nulls, a null group; with no slack at all the groups are ranked whole."""
+    rng = random.Random(4)
+    rows = [(g, rng.choice([None, float(rng.randrange(10**6)), 7.0, 500000.0])) for g in (1, None) for _ in range(20_000)] + [(2, None), (3, 1.0), (3, 2.0)]
+    df = spark.createDataFrame(rows, "g long, v double")
+    kept = P.sketched(df.withColumn("k", F.lit(1)), ["g"], "k", "v")
+    for q in (0.5, 0.9):
+        for slack in (0.005, 0.0):
+            got = {r["g"]: r["quantile"] for r in P.exact_quantile(df, ["g"], "v", kept, q, slack).collect()}
+            values = {g: sorted(v for h, v in rows if h == g and v is not None) for g in (1, 3, None)}
+            assert got == {g: v[math.ceil(q * len(v)) - 1] for g, v in values.items()}
+
+
+def test_approximations_keep_one_sketch_a_task(spark, sf):
+    """The exact count stands by itself: nothing is grouped by customer with a sketch beside it."""
+    from gabbro.plans import registry
+
+    plan = registry.QUERIES["approximations_hold"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    lines = [x for x in plan.splitlines() if "Aggregate(keys=[o_custkey" in x.replace("#", " #").replace(" #", "#")]
+    assert lines and not any("approx" in x for x in lines)
