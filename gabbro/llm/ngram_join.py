@@ -55,6 +55,7 @@ from gabbro.tables import table
 LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 VERTICAL = 4  # fragments in which overlaps are counted
 FLUSH = 600_000  # keys a task holds before it sends them
+FEW = 4  # members of a group up to which all its pairs are counted at once
 CORE = 50  # percent of similarity with a pivot, from which on its round settles a document
 ROUNDS = 3
 MANY = 16  # members of a chain of runs up to which they meet in pairs without a look at longer chains
@@ -245,8 +246,8 @@ def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return written(typed.mapInArrow(send, schema).groupBy("bucket").applyInArrow(meet, OUT), "ngram-candidates")
 
 
-def set_fragments(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, frag, n, part): each set in VERTICAL fragments of the global order."""
+def set_fragments(docs: DataFrame, n: int, unique: bool) -> DataFrame:
+    """(doc_id, frag, n, part): each set in VERTICAL fragments of the global order; unique: no doc_id repeats."""
     schema = "doc_id long, frag int, n long, sig long, part array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,15 +263,17 @@ def set_fragments(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
     sets = docs.mapInArrow(run, schema)
+    if unique:
+        return sets.drop("sig")
     one = sets.groupBy("doc_id", "frag").agg(F.min_by(F.struct("n", "part"), "sig").alias("s"))
     return one.select("doc_id", "frag", "s.n", "s.part")
 
 
-def sets_of(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+def sets_of(docs: DataFrame, members: DataFrame, n: int, unique: bool) -> DataFrame:
     """The sets of all documents in members (node), in fragments, written."""
     ids = members.select(F.col("node").alias("doc_id")).distinct()
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(set_fragments(typed.join(ids, "doc_id", "left_semi"), n), "ngram-sets")
+    return written(set_fragments(typed.join(ids, "doc_id", "left_semi"), n, unique), "ngram-sets")
 
 
 def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -283,44 +286,110 @@ def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return total.filter(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
-def alone(sets: DataFrame) -> DataFrame:
-    """(doc_id, n, own): how many n-grams of a set no other of these sets has."""
-    buckets = buckets_for(sets, BUCKET)
+def alone(sets: DataFrame, buckets: int | None = None) -> DataFrame:
+    """(doc_id, n, own): how many n-grams of a set no other of these sets has, or a few less: of a hash only 32 bits
+    meet in a bucket, and n-grams that agree in these count as shared. If sets have a column key, only n-grams of sets
+    with the same key are compared. Of an n-gram that several sets of a batch have two are sent, however many there are."""
+    buckets, keyed = buckets or buckets_for(sets, BUCKET), "key" in sets.columns
+
+    def packed(at: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        """A row for each bucket that gets something."""
+        order = np.argsort(at, kind="stable")
+        used = np.unique(at)
+        rows = [(int(k), x[i].tobytes(), y[i].tobytes()) for k, i in zip(used, np.split(order, np.searchsorted(at[order], used[1:])))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "what", "docs"])
+
+    def unpacked(batches: Iterator[pa.RecordBatch], kind: type) -> tuple[np.ndarray, np.ndarray]:
+        x, d = [], []
+        for b in batches:
+            x += [np.frombuffer(v, kind) for v in b.column("what").to_pylist()]
+            d += [np.frombuffer(v, np.int64) for v in b.column("docs").to_pylist()]
+        return np.concatenate(x), np.concatenate(d)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             part = b.column("part")
             h = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            d = np.repeat(b.column("doc_id").to_numpy(), part.value_lengths().to_numpy(zero_copy_only=False))
-            at = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            used = np.unique(at)
-            rows = [(int(k), h[i].tobytes(), d[i].tobytes()) for k, i in zip(used, np.split(order, np.searchsorted(at[order], used[1:])))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "hashes", "docs"])
+            lengths = part.value_lengths().to_numpy(zero_copy_only=False)
+            d = np.repeat(b.column("doc_id").to_numpy(), lengths)
+            if keyed:
+                h = mix64(h ^ np.repeat(mix64(b.column("key").to_numpy().view(np.uint64)), lengths))
+            order = np.argsort(h, kind="stable")
+            new = np.ones(len(h), bool)
+            new[1:] = h[order][1:] != h[order][:-1]
+            new[1:] |= new[:-1] & ~new[1:]  # the second of each n-gram, too
+            kept = np.sort(order[new])  # by document again: runs of equal ids are small in a shuffle
+            h, d = h[kept], d[kept]
+            yield packed((h % np.uint64(buckets)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32), d)
 
     def meet(_: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, d = [], []
-        for b in batches:
-            h += [np.frombuffer(x, np.uint64) for x in b.column("hashes").to_pylist()]
-            d += [np.frombuffer(x, np.int64) for x in b.column("docs").to_pylist()]
-        h, d = np.concatenate(h), np.concatenate(d)
+        h, d = unpacked(batches, np.uint32)
         order = np.argsort(h, kind="stable")
         h, d = h[order], d[order]
         new = np.concatenate([[True], h[1:] != h[:-1]])
         single = new & np.concatenate([new[1:], [True]])
         doc, count = np.unique(d[single], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(count.astype(np.int64))], names=["doc_id", "own"])
-
-    own = sets.select("doc_id", "part").mapInArrow(send, "bucket long, hashes binary, docs binary").groupBy("bucket").applyInArrow(meet, "doc_id long, own long")
+        yield packed((mix64(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), count.astype(np.int64), doc)
+
+    def total(_: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, d = unpacked(batches, np.int64)
+        doc, at = np.unique(d, return_inverse=True)
+        own = np.zeros(len(doc), np.int64)
+        np.add.at(own, at, count)
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(own)], names=["doc_id", "own"])
+
+    schema = "bucket long, what binary, docs binary"
+    counts = sets.select("doc_id", "part", *["key"] * keyed).mapInArrow(send, schema).groupBy("bucket").applyInArrow(meet, schema)
+    own = counts.groupBy("bucket").applyInArrow(total, "doc_id long, own long")
     sizes = sets.filter("frag = 0").select("doc_id", "n", F.lit(0).cast("long").alias("own"))
     return sizes.unionByName(own.select("doc_id", F.lit(None).cast("long").alias("n"), "own")).groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("own").alias("own"))
 
 
+def once(members: DataFrame, *more: Column) -> DataFrame:
+    """The keys of distinct members (key, node) that have several, with the aggregates `more`; of keys that have the
+    same members only the smallest: near copies share hundreds of fragments, and one of them says it all."""
+    who = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"who_{k}") for k in (1, 2)]
+    sums = members.groupBy("key").agg(F.count("*").alias("members"), *who, *more).filter("members > 1")
+    return sums.groupBy("members", "who_1", "who_2").agg(F.min_by(F.struct(*[c for c in sums.columns if not c.startswith("who_")]), "key").alias("one")).select("one.*")
+
+
 def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """members (key, node, ...) with the nodes' labels, of those keys whose members have different ones."""
     m = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = m.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    return written(m.join(mixed, "key", "left_semi"), "ngram-mixed")
+    mixed = once(m, F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key", "members")
+    return written(m.join(mixed, "key"), "ngram-mixed")
+
+
+def possible(x: Column, y: Column, percent: int) -> Column:
+    """Whether two documents with n n-grams, `own` of them without others, can be a link."""
+    n = x["n"] + y["n"]
+    sizes = F.lit(100) * F.least(x["n"], y["n"]) >= F.lit(percent) * F.greatest(x["n"], y["n"])
+    return sizes & (F.lit(100 + percent) * (x["own"] + y["own"]) <= F.lit(100 - percent) * n)
+
+
+def few_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of groups of at most FEW members that lie in different components and can be links."""
+    few = open_.filter(F.col("members") <= FEW).select("key", F.struct("node", "label", "n", "own").alias("x"))
+    met = few.join(few.select("key", F.col("x").alias("y")), "key").filter((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
+    return met.filter(possible(F.col("x"), F.col("y"), percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def not_alone(sets: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """Rows of open_ (key, node, ...), without members that have more n-grams that no other member of their group has
+    than a link allows."""
+    numbered = written(open_.drop("own", "n").withColumn("member", F.monotonically_increasing_id()), "ngram-numbered")
+    each = sets.withColumnRenamed("doc_id", "node").join(numbered.select("key", "node", "member"), "node").select(F.col("member").alias("doc_id"), "key", "frag", "n", "part")
+    # the optimizer's size of a join is a product; a set is there once for each of its groups
+    buckets = buckets_for(sets, BUCKET) * -(-numbered.count() // max(1, sets.filter("frag = 0").count()))
+    stay = alone(each, buckets).filter(F.lit(100) * F.col("own") <= F.lit(100 - percent) * F.col("n")).withColumnRenamed("doc_id", "member")
+    return numbered.join(stay, "member").drop("member")
+
+
+def only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of nodes (node), written; the table of sets goes."""
+    out = written(sets.join(written(nodes.select(F.col("node").alias("doc_id")).distinct(), "ngram-ids"), "doc_id", "left_semi"), "ngram-sets")
+    discard(sets)
+    return out
 
 
 def differences(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -514,10 +583,10 @@ def connected(group: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("grp", "x", "y").applyInArrow(links, "a long, b long")
 
 
-def linked(docs: DataFrame, members: DataFrame, same: DataFrame, n: int, percent: int) -> DataFrame:
+def linked(docs: DataFrame, members: DataFrame, same: DataFrame, n: int, percent: int, unique: bool) -> DataFrame:
     """(node, label) of all documents that have a link. members: (key, node) of shared fragments; same: pairs
-    (a, b) of equal sets."""
-    every = sets_of(docs, members, n)
+    (a, b) of equal sets; unique: no doc_id repeats."""
+    every = sets_of(docs, members, n, unique)
     # documents with more n-grams that no other candidate has than a link allows can't be linked
     nodes = written(alone(every).filter(F.lit(100) * F.col("own") <= F.lit(100 - percent) * F.col("n")).select("doc_id", "own"), "ngram-nodes")
     sets = written(every.join(nodes.select("doc_id"), "doc_id", "left_semi"), "ngram-sets")
@@ -542,15 +611,18 @@ def linked(docs: DataFrame, members: DataFrame, same: DataFrame, n: int, percent
     open_ = labelled(members, labels)
     if not open_.limit(1).count():
         return labels
-    here = sets.join(open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    nodes = written(alone(here).filter(F.lit(100) * F.col("own") <= F.lit(100 - percent) * F.col("n")), "ngram-nodes")
-    open_ = labelled(open_.drop("label", "own").join(nodes.select(F.col("doc_id").alias("node"), "own"), "node"), labels)
+    sets = only(sets, open_)
+    nodes = written(alone(sets).filter(F.lit(100) * F.col("own") <= F.lit(100 - percent) * F.col("n")), "ngram-nodes")
+    open_ = labelled(open_.select("key", "node").join(nodes.select(F.col("doc_id").alias("node"), "n", "own"), "node"), labels)
     core, zone = CORE, CORE - (100 - percent)
     for _ in range(ROUNDS):
         if not open_.limit(1).count():
             return labels
+        # small groups are done with all their pairs
+        more(written(verified(sets, written(few_pairs(open_, percent), "ngram-pairs"), percent), "ngram-near"))
+        open_ = labelled(open_.filter(F.col("members") > FEW).drop("label", "members"), labels)
         pivots = open_.groupBy("key").agg(F.min(F.struct("own", "node")).alias("m")).select("key", F.col("m.node").alias("pivot"))
-        open_ = written(open_.drop("label").join(pivots, "key").filter("node <> pivot"), "ngram-open")
+        open_ = written(open_.drop("label", "members").join(pivots, "key").filter("node <> pivot"), "ngram-open")
         far = written(differences(sets, open_.select("node", "pivot").distinct()), "ngram-differences")
         more(written(far.filter(similar(percent, F.col("n"), F.col("n_pivot"), F.col("a"))).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "ngram-near"))
         # members near a pivot whose group still lies in different components
@@ -560,6 +632,9 @@ def linked(docs: DataFrame, members: DataFrame, same: DataFrame, n: int, percent
         more(written(connected(written(group.join(mixed, "grp", "left_semi"), "ngram-group"), percent), "ngram-near"))
         away = far.filter(~similar(core, F.col("n"), F.col("n_pivot"), F.col("a"))).select("node", "pivot")
         open_ = labelled(open_.join(away, ["node", "pivot"], "left_semi").drop("pivot"), labels)
+        # of the others, those that have too many n-grams which nobody else in their group has
+        sets = only(sets, open_)
+        open_ = labelled(not_alone(sets, open_.drop("label", "members"), percent), labels)
     # far from all pivots: whole sets, as differences from nothing
     rest = open_.groupBy("node").agg(F.min("label").alias("label")).withColumnRenamed("node", "doc_id")
     if rest.limit(1).count():
@@ -574,10 +649,12 @@ def near_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     with tables_made() as made:
         found = candidates(docs, n, percent)
         maybe = found.filter(F.col("kind") == MAYBE)
-        members = written(maybe.select("key", F.col("a").alias("node")).unionByName(maybe.select("key", F.col("b").alias("node"))).distinct(), "ngram-members")
+        every = written(maybe.select("key", F.col("a").alias("node")).unionByName(maybe.select("key", F.col("b").alias("node"))).distinct(), "ngram-members")
+        members = written(every.join(once(every).select("key"), "key", "left_semi"), "ngram-members")
         known = written(found.filter(F.col("kind") != MAYBE), "ngram-known")
-        discard(found)
-        labels = linked(docs, members, known.filter(F.col("kind") == SAME).select("a", "b"), n, percent)
+        discard(found, every)
+        unique = not known.filter(F.col("kind") == INFO).groupBy("a").count().filter("count > 1").limit(1).count()
+        labels = linked(docs, members, known.filter(F.col("kind") == SAME).select("a", "b"), n, percent, unique)
     discard(*[t for t in made if t.written_to not in (known.written_to, labels.written_to)])
     info = known.filter(F.col("kind") == INFO).select(F.col("a").alias("doc_id"), F.col("key").alias("n_shingles"))
     out = info.join(labels, info["doc_id"] == labels["node"], "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))

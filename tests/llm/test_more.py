@@ -460,3 +460,57 @@ def test_loose_copies_make_no_more_rows_than_they_are(spark, monkeypatch):
                 at = [low if x == high else x for x in at]
     assert got == dict(enumerate(at))
     assert max(rows)[0] <= max(n for n, name in rows if name == "ngram-members"), max(rows)
+
+
+def rows_by_table(monkeypatch):
+    """(name, rows) of each table that the n-gram join writes."""
+    seen = []
+
+    def written(df, name, orig=ngram_join.written):
+        out = orig(df, name)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    return seen
+
+
+def test_ngram_join_keeps_one_key_of_those_with_the_same_members(spark, monkeypatch):
+    """Near copies share most of their fragments: pairs of them are one group each from then on."""
+    seen = rows_by_table(monkeypatch)
+    rng = random.Random(6)
+    rows = []
+    for k in range(20):
+        text = [f"w{rng.randrange(10**7)}" for _ in range(400)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[:-1]))]
+    got = {i: tuple(r)[1:] for i, r in by_id(ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)).items()}
+    assert got == brute_components(rows, 3, 90)
+    assert [n for name, n in seen if name == "ngram-members"][-1] == 40
+
+
+def test_ngram_join_of_groups_that_share_a_passage_only(spark, monkeypatch):
+    """Two families with a passage each, and private words that one of each has: fragments of the passage make large
+    groups, but inside a group nobody else has the private words, so nobody is left for the meeting of whole sets."""
+    seen = rows_by_table(monkeypatch)
+    rng = random.Random(7)
+    new = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    one, two, rows = new(40), new(40), []
+    for k in range(60):
+        private = new(60)
+        rows += [(2 * k, " ".join(one + private)), (2 * k + 1, " ".join(two + private))]
+    rows.append((500, rows[0][1] + " end"))  # and one link
+    got = {i: tuple(r)[1:] for i, r in by_id(ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)).items()}
+    assert got == brute_components(rows, 5, 80)
+    assert got[500][-1] == 0 and "ngram-differences" in [name for name, _ in seen] and sum(n for name, n in seen if name == "ngram-rest") == 0
+
+
+def test_ngrams_of_one_set_are_counted_apart_by_key(spark):
+    """In many buckets, too, a set's counts come back together; with a key, sets of other keys don't count."""
+    rng = np.random.default_rng(5)
+    sets = {i: rng.choice(2000, 60, replace=False).astype(np.int64) << 40 for i in range(40)}
+    plain = spark.createDataFrame([(i, 0, 60, sorted(s.tolist())) for i, s in sets.items()], "doc_id long, frag int, n long, part array<long>")
+    for key in (lambda i: 0, lambda i: i % 3):
+        frame = plain if key(1) == 0 else plain.withColumn("key", plain["doc_id"] % 3)
+        got = {r["doc_id"]: (r["n"], r["own"]) for r in ngram_join.alone(frame, 50).collect()}
+        want = {i: (60, sum(not any(x in sets[j] for j in sets if j != i and key(j) == key(i)) for x in s)) for i, s in sets.items()}
+        assert got == want
