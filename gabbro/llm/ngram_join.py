@@ -14,7 +14,9 @@ Groups are connected, not expanded. Within a task, and then within a bucket, all
 are paired with the smallest of them, and of these pairs each document keeps one; identical sets are
 linked without being counted, and documents that have too many n-grams that no other candidate has are
 put aside before. Links inside a component can't change it, so only fragments whose members still lie in
-different components are looked at again. They go through rounds of pivots. The members of a fragment are compared with its
+different components are looked at again, one of those that have the same members. Groups of at most FEW members
+are settled by all their pairs. The others go through rounds of pivots, and after each round members go that
+have too many n-grams which nobody else in their group has. The members of a fragment are compared with its
 pivot, the member with the fewest n-grams of its own, fragment by fragment of the global order: what
 differs from the pivot is summed by pair, so overlaps with the pivot are known, and kept as a set. Two
 sets differ as their differences do: with D(x) of a and D(y) of b n-grams,
