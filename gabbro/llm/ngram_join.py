@@ -14,25 +14,22 @@ Groups are connected, not expanded. Within a task, and then within a bucket, all
 are paired with the smallest of them, and of these pairs each document keeps one; identical sets are
 linked without being counted, and documents that have too many n-grams that no other candidate has are
 put aside before. Links inside a component can't change it, so only fragments whose members still lie in
-different components are looked at again, one of those that have the same members. Groups of at most FEW members
-are settled by all their pairs. The others go through rounds of pivots, and after each round members go that
-have too many n-grams which nobody else in their group has. The members of a fragment are compared with its
-pivot, the member with the fewest n-grams of its own, fragment by fragment of the global order: what
-differs from the pivot is summed by pair, so overlaps with the pivot are known, and kept as a set. Two
-sets differ as their differences do: with D(x) of a and D(y) of b n-grams,
-    |x - y| + |y - x| = a + b - 2 |D(x) & D(y)|,
-so x and y are a link only if their differences from the pivot share at least
+different components are looked at again, one of those that have the same members.
+
+Fragments of a passage that many texts have make large groups of texts that have nothing else in common.
+So the documents of these fragments are grouped anew by rare n-grams: with n-grams ordered by how many of
+these documents have them, rarest first, a link shares one of the first n - ceil(s n) + 1 of either set,
+and a frequent passage is not among these. Documents that are connected by such n-grams are a family, and
+no link leaves a family. Its members are dealt into blocks, and where two blocks meet in a task all their
+overlaps are counted at once: pairs of members are numbers in a task, never rows. Each family is sent as
+often as it has blocks, which is once for all but the largest. Families of more than MOST blocks are
+joined by chains of n-grams that the same members have: sets differ from nothing by a and b n-grams, so
+x and y are a link only if they share at least
     k = (a + b - (n_x + n_y) (1 - s) / (1 + s)) / 2
-n-grams, and what a whole group has in common, the bulk of near copies, is in no difference at all. So
-a group's links follow from its differences alone: members are dealt into blocks, and where two blocks meet
-in a task all their overlaps are counted at once. Pairs of members are numbers in a task, never rows. 1 - s is also the most by
-which distances from the pivot can differ (Jaccard distance is a metric): members up to CORE away from
-the pivot are done with this round, the others look for another pivot. Those who are far from every
-pivot after ROUNDS rounds are joined by whole sets, as differences from nothing. These are ordered by how
-many members have an n-gram, rarest first; of k common n-grams one at least is among the first a - k + 1
-of x and the first b - k + 1 of y. Only pairs that meet so are counted, by fragments again. The result
-is that of all pairs. Before the shuffle each task sends one document a fragment, so a fragment in a
-third of all documents is a row for each flush of a task.
+n-grams; of these one at least is among the first a - k + 1 of x and the first b - k + 1 of y. Only pairs
+that meet so are counted, by fragments again. The result is that of all pairs. Before the shuffle each
+task sends one document a fragment, so a fragment in a third of all documents is a row for each flush of
+a task.
 
 Edge cases: null text = empty; an empty set is linked with nothing; a text of fewer than n words is one
 n-gram, its whole sequence; rows that share a doc_id are one document, its set being the one with the
@@ -57,11 +54,9 @@ from gabbro.tables import table
 LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 VERTICAL = 4  # fragments in which overlaps are counted
 FLUSH = 600_000  # keys a task holds before it sends them
-FEW = 4  # members of a group up to which all its pairs are counted at once
-CORE = 50  # percent of similarity with a pivot, from which on its round settles a document
-ROUNDS = 3
 MANY = 16  # members of a chain of runs up to which they meet in pairs without a look at longer chains
 BLOCK, MEMBER = 1 << 20, 512  # n-grams of a block of members, a member counting as so many more
+MOST = 64  # blocks of a family up to which all of them meet
 HEAVY = 1 << 15  # pairs of members with an n-gram, beyond which it is counted by a product of matrices
 BUCKET = 8 << 20  # bytes of input (as stored) whose keys meet in one task
 
@@ -362,52 +357,80 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return written(m.join(mixed, "key"), "ngram-mixed")
 
 
-def possible(x: Column, y: Column, percent: int) -> Column:
-    """Whether two documents with n n-grams, `own` of them without others, can be a link."""
-    n = x["n"] + y["n"]
-    sizes = F.lit(100) * F.least(x["n"], y["n"]) >= F.lit(percent) * F.greatest(x["n"], y["n"])
-    return sizes & (F.lit(100 + percent) * (x["own"] + y["own"]) <= F.lit(100 - percent) * n)
-
-
-def few_pairs(open_: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of groups of at most FEW members that lie in different components and can be links."""
-    few = open_.filter(F.col("members") <= FEW).select("key", F.struct("node", "label", "n", "own").alias("x"))
-    met = few.join(few.select("key", F.col("x").alias("y")), "key").filter((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
-    return met.filter(possible(F.col("x"), F.col("y"), percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-
-
-def not_alone(sets: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
-    """Rows of open_ (key, node, ...), without members that have more n-grams that no other member of their group has
-    than a link allows."""
-    numbered = written(open_.drop("own", "n").withColumn("member", F.monotonically_increasing_id()), "ngram-numbered")
-    each = sets.withColumnRenamed("doc_id", "node").join(numbered.select("key", "node", "member"), "node").select(F.col("member").alias("doc_id"), "key", "frag", "n", "part")
-    # the optimizer's size of a join is a product; a set is there once for each of its groups
-    buckets = buckets_for(sets, BUCKET) * -(-numbered.count() // max(1, sets.filter("frag = 0").count()))
-    stay = alone(each, buckets).filter(F.lit(100) * F.col("own") <= F.lit(100 - percent) * F.col("n")).withColumnRenamed("doc_id", "member")
-    return numbered.join(stay, "member").drop("member")
+def rare_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node): two sets that are a link have a key in common. Keys are n-grams, those that the fewest of these sets
+    have first, as many as a partner can't lack all, without those that nobody else has; of a hash 32 bits and its bucket
+    count, n-grams that agree in these are one key. Hashes go to a bucket each, and from there back to the documents."""
+    buckets = buckets_for(sets, BUCKET)
+    schema = "bucket long, source long, what binary, often binary, docs binary"
+    names = [x.split()[0] for x in schema.split(", ")]
 
+    def packed(at: np.ndarray, source: int, what: np.ndarray, often: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+        """A row for each bucket that gets something."""
+        order = np.argsort(at, kind="stable")
+        used = np.unique(at)
+        rows = [(int(k), source, what[i].tobytes(), often[i].tobytes(), docs[i].tobytes()) for k, i in zip(used, np.split(order, np.searchsorted(at[order], used[1:])))]
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)], names=names)
 
-def only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The sets of nodes (node), written; the table of sets goes."""
-    out = written(sets.join(written(nodes.select(F.col("node").alias("doc_id")).distinct(), "ngram-ids"), "doc_id", "left_semi"), "ngram-sets")
-    discard(sets)
-    return out
+    def home(docs: np.ndarray) -> np.ndarray:
+        return (mix64(docs.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = b.column("part")
+            h = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            d = np.repeat(b.column("doc_id").to_numpy(), part.value_lengths().to_numpy(zero_copy_only=False))
+            yield packed((h % np.uint64(buckets)).astype(np.int64), 0, (h >> np.uint64(32)).astype(np.uint32), np.zeros(len(h), np.uint16), d)
 
-def differences(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For pairs (node, pivot): n, n_pivot, a (n-grams that only one of them has) and these n-grams; a
-    row for each pair and fragment of the global order, summed by pair."""
-    own = sets.select(F.col("doc_id").alias("node"), "frag", "n", "part")
-    other = sets.select(F.col("doc_id").alias("pivot"), "frag", F.col("n").alias("n_pivot"), F.col("part").alias("part_pivot"))
-    parts = pairs.join(own, "node").join(other, ["pivot", "frag"])
-    differ = F.concat(F.array_except("part", "part_pivot"), F.array_except("part_pivot", "part"))
-    total = parts.select("node", "pivot", "n", "n_pivot", differ.alias("differ")).groupBy("node", "pivot", "n", "n_pivot")
-    return total.agg(F.sum(F.size("differ")).cast("long").alias("a"), F.flatten(F.collect_list("differ")).alias("differ"))
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = b.column("doc_id").to_numpy()
+            yield packed(home(d), -1, b.column("n").to_numpy().astype(np.uint32), np.zeros(len(d), np.uint16), d)
 
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+        """(source, what, often, docs)"""
+        got: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.int64, np.uint32, np.uint16, np.int64)]
+        for b in batches:
+            for source, *x in zip(*(b.column(c).to_pylist() for c in names[1:])):
+                what, often, docs = (np.frombuffer(v, t) for v, t in zip(x, (np.uint32, np.uint16, np.int64)))
+                for into, v in zip(got, (np.full(len(docs), source), what, often, docs)):
+                    into.append(v)
+        return tuple(np.concatenate(x) for x in got)
+
+    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, h, _, d = unpacked(batches)
+        _, at, times = np.unique(h, return_inverse=True, return_counts=True)
+        times = np.minimum(times, 65535)[at]
+        more = np.flatnonzero(times > 1)
+        more = more[np.argsort(d[more], kind="stable")]  # runs of equal ids are small in a shuffle
+        out = packed(home(d[more]), key[0].as_py(), h[more], times[more].astype(np.uint16), d[more])
+        del h, d, at, times
+        release()
+        yield out
+
+    def choose(_: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, h, often, d = unpacked(batches)
+        size = source < 0
+        docs, n = d[size], h[size].astype(np.int64)
+        docs, n = docs[np.argsort(docs)], n[np.argsort(docs)]
+        source, h, often, d = (x[~size] for x in (source, h, often, d))
+        order = np.lexsort((h, source, often, d))
+        source, h, d = source[order], h[order], d[order]
+        starts, ends = np.searchsorted(d, docs), np.searchsorted(d, docs, "right")
+        # n-grams that nobody else has come first
+        places = np.maximum(ends - starts - -(-n * percent // 100) + 1, 0)
+        at = np.repeat(starts, places) + np.arange(places.sum()) - np.repeat(np.cumsum(places) - places, places)
+        keys = mix64(source[at].astype(np.uint64) << np.uint64(32) | h[at].astype(np.uint64)).view(np.int64)
+        nodes = np.repeat(docs, places)
+        del source, h, often, d, order
+        release()
+        for low in range(0, len(keys), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[low : low + 200_000]), pa.array(nodes[low : low + 200_000])], names=["key", "node"])
 
-def similar(percent: int | float, n: Column, m: Column, a: Column) -> Column:
-    """Whether sets of n and m n-grams, a of which only one of them has, are similar to percent or more."""
-    return F.lit(100) * (n + m - a) >= F.lit(percent) * (n + m + a)
+    counts = sets.select("doc_id", "part").mapInArrow(send, schema).groupBy("bucket").applyInArrow(count, schema)
+    all_ = counts.unionByName(sets.filter("frag = 0").select("doc_id", "n").mapInArrow(sizes, schema))
+    return all_.groupBy("bucket").applyInArrow(choose, "key long, node long")
 
 
 def runs(rows: DataFrame) -> DataFrame:
@@ -609,40 +632,28 @@ def linked(docs: DataFrame, members: DataFrame, same: DataFrame, n: int, percent
         labels = components(links)
         return True
 
-    # fragments whose members still lie in different components, and of these documents the same test again
+    # fragments whose members still lie in different components: families of their documents by rare n-grams
     open_ = labelled(members, labels)
     if not open_.limit(1).count():
         return labels
-    sets = only(sets, open_)
-    nodes = written(alone(sets).filter(F.lit(100) * F.col("own") <= F.lit(100 - percent) * F.col("n")), "ngram-nodes")
-    open_ = labelled(open_.select("key", "node").join(nodes.select(F.col("doc_id").alias("node"), "n", "own"), "node"), labels)
-    core, zone = CORE, CORE - (100 - percent)
-    for _ in range(ROUNDS):
-        if not open_.limit(1).count():
-            return labels
-        # small groups are done with all their pairs
-        more(written(verified(sets, written(few_pairs(open_, percent), "ngram-pairs"), percent), "ngram-near"))
-        open_ = labelled(open_.filter(F.col("members") > FEW).drop("label", "members"), labels)
-        pivots = open_.groupBy("key").agg(F.min(F.struct("own", "node")).alias("m")).select("key", F.col("m.node").alias("pivot"))
-        open_ = written(open_.drop("label", "members").join(pivots, "key").filter("node <> pivot"), "ngram-open")
-        far = written(differences(sets, open_.select("node", "pivot").distinct()), "ngram-differences")
-        more(written(far.filter(similar(percent, F.col("n"), F.col("n_pivot"), F.col("a"))).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "ngram-near"))
-        # members near a pivot whose group still lies in different components
-        group = far.filter(similar(zone, F.col("n"), F.col("n_pivot"), F.col("a"))).select(F.col("pivot").alias("grp"), "node", "n", F.col("a").alias("size"), "differ")
-        group = group.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = group.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("grp")
-        more(written(connected(written(group.join(mixed, "grp", "left_semi"), "ngram-group"), percent), "ngram-near"))
-        away = far.filter(~similar(core, F.col("n"), F.col("n_pivot"), F.col("a"))).select("node", "pivot")
-        open_ = labelled(open_.join(away, ["node", "pivot"], "left_semi").drop("pivot"), labels)
-        # of the others, those that have too many n-grams which nobody else in their group has
-        sets = only(sets, open_)
-        open_ = labelled(not_alone(sets, open_.drop("label", "members"), percent), labels)
-    # far from all pivots: whole sets, as differences from nothing
-    rest = open_.groupBy("node").agg(F.min("label").alias("label")).withColumnRenamed("node", "doc_id")
-    if rest.limit(1).count():
-        whole = sets.groupBy("doc_id", "n").agg(F.flatten(F.collect_list("part")).alias("differ")).join(rest, "doc_id")
-        met = meeting(written(whole.select(F.lit(0).cast("long").alias("grp"), F.col("doc_id").alias("node"), "label", "n", F.col("n").alias("size"), "differ"), "ngram-rest"), percent)
-        more(written(verified(sets, written(met, "ngram-met"), percent), "ngram-near"))
+    nodes = written(open_.select(F.col("node").alias("doc_id")).distinct(), "ngram-ids")
+    open_sets = written(sets.join(nodes, "doc_id", "left_semi"), "ngram-sets")
+    discard(sets)
+    sets = open_sets
+    open_ = labelled(written(rare_keys(sets, percent), "ngram-keys"), labels)
+    if not open_.limit(1).count():
+        return labels
+    first = open_.groupBy("key").agg(F.min("node").alias("a"))
+    families = components(written(open_.join(first, "key").filter("node > a").select("a", F.col("node").alias("b")).distinct(), "ngram-pairs")).withColumnRenamed("label", "grp")
+    placed = families.join(labels, "node", "left").select(F.col("node").alias("doc_id"), "grp", F.coalesce("label", "node").alias("label"))
+    whole = sets.join(placed, "doc_id").groupBy("grp", F.col("doc_id").alias("node"), "label", "n").agg(F.flatten(F.collect_list("part")).alias("differ"))
+    group = written(whole.select("grp", "node", "label", "n", F.col("n").alias("size"), "differ"), "ngram-differences")
+    loads = group.groupBy("grp").agg(F.sum(F.col("size") + MEMBER).alias("load"))
+    large = written(loads.filter(F.col("load") > MOST * BLOCK).select("grp"), "ngram-large")
+    more(written(connected(group.join(large, "grp", "left_anti"), percent), "ngram-near"))
+    if large.limit(1).count():
+        rest = written(group.join(large, "grp", "left_semi"), "ngram-rest")
+        more(written(verified(sets, written(meeting(rest, percent), "ngram-met"), percent), "ngram-near"))
     return labels
 
 

@@ -504,6 +504,23 @@ def test_ngram_join_of_groups_that_share_a_passage_only(spark, monkeypatch):
     assert got[500][-1] == 0 and "ngram-differences" in [name for name, _ in seen] and sum(n for name, n in seen if name == "ngram-rest") == 0
 
 
+def test_families_of_loose_copies_that_share_a_passage(spark, monkeypatch):
+    """Families of copies just too different to be linked, all with one passage: fragments of the passage bring all
+    families together, rare n-grams keep them apart, so nobody is left for the meeting of whole sets by chains."""
+    seen = rows_by_table(monkeypatch)
+    rng = random.Random(9)
+    new = lambda: f"w{rng.randrange(10**7)}"
+    passage, rows = [new() for _ in range(30)], []
+    for _ in range(12):
+        base = [[new(), new()] for _ in range(70)]
+        for _ in range(6):
+            rows.append((len(rows), " ".join(passage + [x[rng.random() < 0.04] for x in base])))
+    got = {i: tuple(r)[1:] for i, r in by_id(ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)).items()}
+    assert got == brute_components(rows, 5, 80)
+    assert sum(n for name, n in seen if name == "ngram-rest") == 0
+    assert 0 < sum(n for name, n in seen if name == "ngram-differences") <= len(rows)
+
+
 def test_ngrams_of_one_set_are_counted_apart_by_key(spark):
     """In many buckets, too, a set's counts come back together; with a key, sets of other keys don't count."""
     rng = np.random.default_rng(5)
