@@ -521,6 +521,20 @@ def test_families_of_loose_copies_that_share_a_passage(spark, monkeypatch):
     assert 0 < sum(n for name, n in seen if name == "ngram-differences") <= len(rows)
 
 
+def test_families_of_too_many_blocks_meet_by_chains(spark, monkeypatch):
+    seen = rows_by_table(monkeypatch)
+    monkeypatch.setattr(ngram_join, "MOST", 0)
+    rng, rows = random.Random(12), []
+    new = lambda: f"w{rng.randrange(10**7)}"
+    for _ in range(4):
+        base = [[new(), new()] for _ in range(80)]
+        for _ in range(8):
+            rows.append((len(rows), " ".join(x[rng.random() < 0.025] for x in base)))
+    got = {i: tuple(r)[1:] for i, r in by_id(ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)).items()}
+    assert got == brute_components(rows, 5, 80)
+    assert sum(n for name, n in seen if name == "ngram-rest") > 0
+
+
 def test_ngrams_of_one_set_are_counted_apart_by_key(spark):
     """In many buckets, too, a set's counts come back together; with a key, sets of other keys don't count."""
     rng = np.random.default_rng(5)
