@@ -40,6 +40,7 @@ component; an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,9 @@ VERTICAL = 4  # fragments in which overlaps are counted
 FLUSH = 600_000  # keys a task holds before it sends them
 MANY = 16  # members of a chain of runs up to which they meet in pairs without a look at longer chains
 BLOCK, MEMBER = 1 << 20, 512  # n-grams of a block of members, a member counting as so many more
+PAIRED = 32  # documents with a rare n-gram up to which those of large families are compared in pairs
+BINS = 256  # bins of a sketch
+WAVE = 4  # blocks that a block is sent to at once
 MOST = 64  # blocks of a family up to which all of them meet
 HEAVY = 1 << 15  # pairs of members with an n-gram, beyond which it is counted by a product of matrices
 BUCKET = 8 << 20  # bytes of input (as stored) whose keys meet in one task
@@ -553,18 +557,23 @@ def connected(group: DataFrame, percent: int) -> DataFrame:
     The members of a group are dealt into blocks of at most about BLOCK n-grams, and two blocks meet in one task,
     which knows all overlaps at once and sends a spanning forest of its links. A label with more than that has
     blocks of its own, which don't meet each other: where most of a group is one component already, the work
-    grows with the group, not with its square."""
+    grows with the group, not with its square. Blocks meet in waves, in each of which a block is sent to about WAVE
+    others, and a wave's shuffle files go before the next: disk grows with the group, too."""
     sums = group.groupBy("grp", "label").agg(F.sum(F.col("size") + MEMBER).alias("load"))
     tag = F.when(F.col("load") > BLOCK, F.col("label").cast("string")).otherwise(F.lit(""))
     sums = written(sums.withColumn("tag", tag), "ngram-loads")
     kinds = sums.groupBy("grp", "tag").agg(F.ceil(F.sum("load") / F.lit(BLOCK)).alias("blocks"))
-    others = kinds.select("grp", F.col("tag").alias("other_tag"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
+    one = Window.partitionBy("grp")
+    kinds = kinds.withColumn("before", F.sum("blocks").over(one.orderBy("tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("blocks"))
+    kinds = written(kinds.withColumn("waves", F.ceil(F.sum("blocks").over(one) / F.lit(WAVE))), "ngram-kinds")
+    others = kinds.select("grp", F.col("tag").alias("other_tag"), F.col("before").alias("other_before"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
     mine = group.join(sums.select("grp", "label", "tag"), ["grp", "label"]).join(kinds, ["grp", "tag"])
-    mine = mine.withColumn("block", F.concat_ws(":", F.pmod(F.xxhash64("node"), "blocks"), "tag"))
-    others = others.select("grp", "other_tag", F.concat_ws(":", "k", "other_tag").alias("other"))
+    mine = mine.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks")).withColumn("block", F.concat_ws(":", "mine", "tag"))
+    others = others.select("grp", "other_tag", F.concat_ws(":", "k", "other_tag").alias("other"), (F.col("other_before") + F.col("k")).alias("at"))
     met = mine.join(others, "grp").filter((F.col("tag") == "") | (F.col("tag") != F.col("other_tag")))
+    met = met.withColumn("wave", (F.col("before") + F.col("mine") + F.col("at")) % F.col("waves"))  # the same for both blocks
     first, second = F.least("block", "other"), F.greatest("block", "other")
-    met = met.select("grp", first.alias("x"), second.alias("y"), (F.col("block") == first).alias("left"), "node", "label", "n", "size", "differ")
+    met = met.select("grp", first.alias("x"), second.alias("y"), (F.col("block") == first).alias("left"), "node", "label", "n", "size", "differ", "wave")
 
     def links(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(list(batches))
@@ -605,7 +614,56 @@ def connected(group: DataFrame, percent: int) -> DataFrame:
         release()
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-    return met.groupBy("grp", "x", "y").applyInArrow(links, "a long, b long")
+    waves = kinds.agg(F.max("waves")).first()[0] or 1
+    parts = [written(met.filter(F.col("wave") == w).drop("wave").groupBy("grp", "x", "y").applyInArrow(links, "a long, b long"), "ngram-wave") for w in range(waves)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def families_of(keys: DataFrame) -> DataFrame:
+    """(node, grp): nodes of rows (key, node) that keys connect."""
+    first = keys.groupBy("key").agg(F.min("node").alias("a"))
+    star = keys.join(first, "key").filter("node > a").select("a", F.col("node").alias("b")).distinct()
+    return components(written(star, "ngram-pairs")).select("node", F.col("label").alias("grp"))
+
+
+def paired(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (key, node, label) with the same key, different labels, and sizes of a link."""
+    sizes = sets.filter("frag = 0").select(F.col("doc_id").alias("node"), "n")
+    each = keys.select("key", "node", "label").join(sizes, "node")
+    x, y = (each.select("key", *[F.col(c).alias(f"{c}_{z}") for c in ("node", "label", "n")]) for z in "xy")
+    fits = F.lit(100) * F.least("n_x", "n_y") >= F.lit(percent) * F.greatest("n_x", "n_y")
+    met = x.join(y, "key").filter((F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & fits)
+    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
+def likely(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) that can be links by their sketches: how many n-grams of a set each of BINS ranges of hashes
+    has. Where these numbers differ n-grams do, so no link is lost, and a pair is a kilobyte here instead of two sets."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = b.column("part")
+            h = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            row = np.repeat(np.arange(b.num_rows), part.value_lengths().to_numpy(zero_copy_only=False))
+            at = (h >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)
+            width = BINS // VERTICAL  # a fragment has its own bins
+            bins = np.bincount(row * width + at.astype(np.int64) % width, minlength=b.num_rows * width)
+            bins = np.minimum(bins, 65535).astype(np.uint16).reshape(b.num_rows, width)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("frag"), b.column("n"), pa.array([x.tobytes() for x in bins], pa.binary())], names=["doc_id", "frag", "n", "bins"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1).astype(np.int64) for c in ("bins_a", "bins_b"))
+            apart, n = np.abs(x - y).sum(1), b.column("n").to_numpy()
+            yield b.filter(pa.array(100 * (n - apart) >= percent * (n + apart))).select(["a", "b"])
+
+    either = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    each = sets.join(either, "doc_id", "left_semi").mapInArrow(sketch, "doc_id long, frag int, n long, bins binary")
+    whole = each.groupBy("doc_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("frag", "bins"))).alias("bins"))
+    whole = written(whole.select("doc_id", "n", F.concat(*[F.col("bins")[k]["bins"] for k in range(VERTICAL)]).alias("bins")), "ngram-sketches")
+    left, right = (whole.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab")
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "bins_a", "bins_b")
+    return met.mapInArrow(close, "a long, b long")
 
 
 def linked(docs: DataFrame, members: DataFrame, same: DataFrame, n: int, percent: int, unique: bool) -> DataFrame:
@@ -643,8 +701,17 @@ def linked(docs: DataFrame, members: DataFrame, same: DataFrame, n: int, percent
     open_ = labelled(written(rare_keys(sets, percent), "ngram-keys"), labels)
     if not open_.limit(1).count():
         return labels
-    first = open_.groupBy("key").agg(F.min("node").alias("a"))
-    families = components(written(open_.join(first, "key").filter("node > a").select("a", F.col("node").alias("b")).distinct(), "ngram-pairs")).withColumnRenamed("label", "grp")
+    families = written(families_of(open_), "ngram-families")
+    sizes = sets.filter("frag = 0").select(F.col("doc_id").alias("node"), "n")
+    wide = families.join(sizes, "node").groupBy("grp").agg(F.sum(F.col("n") + MEMBER).alias("load")).filter(F.col("load") > BLOCK)
+    wide = written(families.join(wide, "grp").select("node", "grp"), "ngram-wide")
+    if wide.limit(1).count():
+        # families of several blocks: what few documents have connects none, these documents are compared in pairs
+        keys = written(open_.join(wide.select("node"), "node"), "ngram-wide-keys")
+        few = written(paired(keys.filter(F.col("members") <= PAIRED), sets, percent), "ngram-few")
+        more(written(verified(sets, written(likely(sets, few, percent), "ngram-likely"), percent), "ngram-near"))
+        rest = labelled(keys.filter(F.col("members") > PAIRED).select("key", "node"), labels)
+        families = families.join(wide.select("grp").distinct(), "grp", "left_anti").select("node", "grp").unionByName(families_of(rest))
     placed = families.join(labels, "node", "left").select(F.col("node").alias("doc_id"), "grp", F.coalesce("label", "node").alias("label"))
     whole = sets.join(placed, "doc_id").groupBy("grp", F.col("doc_id").alias("node"), "label", "n").agg(F.flatten(F.collect_list("part")).alias("differ"))
     group = written(whole.select("grp", "node", "label", "n", F.col("n").alias("size"), "differ"), "ngram-differences")

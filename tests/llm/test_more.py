@@ -535,6 +535,37 @@ def test_families_of_too_many_blocks_meet_by_chains(spark, monkeypatch):
     assert sum(n for name, n in seen if name == "ngram-rest") > 0
 
 
+def test_rare_ngrams_of_few_connect_no_large_family(spark, monkeypatch):
+    """Texts with one passage, each with a few words of the next one: rare n-grams make a chain of all of them, which
+    is compared in pairs, so no whole sets meet in blocks."""
+    seen = rows_by_table(monkeypatch)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4096)
+    rng = random.Random(13)
+    new = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    passage, bits, rows = new(40), [new(12) for _ in range(61)], []
+    for k in range(60):
+        rows.append((k, " ".join(passage + bits[k] + new(1) + bits[k + 1])))
+    rows += [(100 + k, rows[k][1] + " end " + " ".join(new(1))) for k in (3, 30)]
+    got = {i: tuple(r)[1:] for i, r in by_id(ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)).items()}
+    assert got == brute_components(rows, 5, 80)
+    assert max(n for name, n in seen if name == "ngram-mixed") >= 60 and sum(n for name, n in seen if name == "ngram-differences") < 20
+
+
+def test_blocks_meet_in_waves(spark, monkeypatch):
+    """A family of many blocks meets in several waves, and no pair of blocks is left out."""
+    seen = rows_by_table(monkeypatch)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3000)
+    rng = random.Random(14)
+    sets = [sorted(rng.sample(range(10_000), 98)) for _ in range(60)]
+    sets += [sorted({*s[2:], 20_000 + i, 30_000 + i}) for i, s in enumerate(sets)]
+    rows = [(0, i, i, 98, 98, s) for i, s in enumerate(sets)]
+    rows += [(1, 500 + i, 500 + i, 98, 98, s) for i, s in enumerate(sets[:2])]
+    got = {(r["a"], r["b"]) for r in ngram_join.connected(spark.createDataFrame(rows, "grp long, node long, label long, n long, size long, differ array<long>"), 90).collect()}
+    assert got == {(i, i + 60) for i in range(60)}
+    blocks = -(-len(sets) * (98 + ngram_join.MEMBER) // 3000)
+    assert len([1 for name, _ in seen if name == "ngram-wave"]) == -(-blocks // ngram_join.WAVE)
+
+
 def test_ngrams_of_one_set_are_counted_apart_by_key(spark):
     """In many buckets, too, a set's counts come back together; with a key, sets of other keys don't count."""
     rng = np.random.default_rng(5)
